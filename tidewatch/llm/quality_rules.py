@@ -91,10 +91,10 @@ def rules() -> list[Rule]:
     return [
         Rule("symbols", 10 * F.col("n_symbols") > n),
         Rule("word_length", (F.col("word_chars") > 15 * n) | (10 * F.col("word_chars") < 25 * n)),
-        Rule("repeated_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+        Rule("repeated_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
         Rule("capitals", capitals > small),
         Rule("exclamations", 4 * shouts > n),
-        Rule("insults", 100 * insults > n),
+        Rule("insults", (100 * insults > n) | (insults >= 3)),
     ]
 
 
