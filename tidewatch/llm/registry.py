@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["url_filter", "quality_rules", "secret_scan", "sequence_packing", "decontamination"]
+MODULES = ["url_filter", "quality_rules", "secret_scan", "sequence_packing", "decontamination", "ngram_jaccard"]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _name in MODULES:
