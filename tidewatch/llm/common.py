@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,9 @@ SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = "[ \\t\\n\\x0B\\f\\r]"
 #: Characters of text that a worker handles at a time; longer single texts go alone.
 CHUNK_CHARS = 1 << 21
+#: Bits of a table that says which digests may be in a set (1 MB). The rest of the digest is
+#: compared by the join that follows, so the table only saves work.
+MASK_BITS = 23
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For str.translate: A-Z to a-z and nothing else.
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
@@ -67,11 +71,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def pieces(batch: pa.RecordBatch, texts: int | None = None, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` with at most ``limit`` bytes in its column ``texts`` each, one row at
+    """Slices of ``batch`` with at most ``limit`` bytes (or list elements) in its column ``texts`` each, one row at
     least; a batch of very long texts is so never worked on as one array."""
     column = batch.column(batch.num_columns - 1 if texts is None else texts)
     start = size = 0
-    for i, n in enumerate(pc.binary_length(column).to_pylist()):
+    lengths = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+    for i, n in enumerate(lengths.to_pylist()):
         n = n or 0
         if i > start and size + n > limit:
             yield batch.slice(start, i - start)
@@ -92,3 +97,14 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | N
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def mask_of(df: DataFrame, column: str) -> np.ndarray:
+    """A table of bits by the digests' leading bits; at most ``2 ** MASK_BITS / 64`` rows reach
+    the driver, however many digests there are."""
+    at = df.select(F.shiftrightunsigned(column, 64 - MASK_BITS).alias("i")).select(F.shiftright("i", 6).alias("w"), F.expr("shiftleft(1L, cast(i & 63 as int))").alias("bits"))
+    rows = at.groupBy("w").agg(F.bit_or("bits").alias("bits")).collect()
+    words = np.zeros(1 << (MASK_BITS - 6), np.uint64)
+    for w, bits in rows:
+        words[w] = bits % (1 << 64)
+    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)

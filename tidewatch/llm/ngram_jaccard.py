@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import LOWER, UPPER, keep, pieces, table
+from tidewatch.llm.common import LOWER, MASK_BITS, UPPER, keep, mask_of, pieces, table
 from tidewatch.llm.components import components
 
 WORDS = 4
@@ -34,9 +34,6 @@ WORDS = 4
 PERCENT = 85
 #: Largest group whose pairs of different components are listed; others are sketched anew.
 GROUP = 64
-#: Bits of the table that says which digests may be in a pair (1 MB); other bits of the digest
-#: are compared by the join that follows, so it only saves work.
-MASK_BITS = 23
 # A-Z to a-z; the other bytes stay. bytes.split() cuts at the six white-space bytes.
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -158,17 +155,6 @@ def set_rows(docs: DataFrame, size: int, mask: np.ndarray) -> DataFrame:
     return _sets(docs, size, mask, emit, "d long, tokens array<long>").dropDuplicates(["d"])
 
 
-def mask_of(digests: DataFrame) -> np.ndarray:
-    """A table of bits by the digests' leading bits; at most ``2 ** MASK_BITS / 64`` rows reach
-    the driver, however many digests there are."""
-    at = digests.select(F.shiftrightunsigned("d", 64 - MASK_BITS).alias("i")).select(F.shiftright("i", 6).alias("w"), F.expr("shiftleft(1L, cast(i & 63 as int))").alias("bits"))
-    rows = at.groupBy("w").agg(F.bit_or("bits").alias("bits")).collect()
-    words = np.zeros(1 << (MASK_BITS - 6), np.uint64)
-    for w, bits in rows:
-        words[w] = bits % (1 << 64)
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
-
-
 def groups(keys: DataFrame) -> DataFrame:
     """(key, hub, d): each set of a key's group beside the group's smallest, the hub. The rows of
     a key stream by in order; a group is never held."""
@@ -180,7 +166,7 @@ def groups(keys: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose sets are similar."""
     pairs = keep(pairs, "pairs")
-    sets = set_rows(docs, size, mask_of(pairs.select(F.explode(F.array("a", "b")).alias("d"))))
+    sets = set_rows(docs, size, mask_of(pairs.select(F.explode(F.array("a", "b")).alias("d")), "d"))
     sets = keep(sets, "sets")
     left = pairs.join(sets.select(F.col("d").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("d").alias("b"), F.col("tokens").alias("y")), "b")
@@ -209,7 +195,7 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, group: int
         second = keep(verified(pairs, docs, size, percent), "second")
         made = keep(made.unionByName(second), "made")
         large = rest.join(sized.where(F.col("n") > group), "key", "left_semi").select("d").distinct()
-        mask_next = None if large.isEmpty() else mask_of(large)
+        mask_next = None if large.isEmpty() else mask_of(large, "d")
         if mask_next is None:
             return made
         mask, seed = mask_next, seed + 1

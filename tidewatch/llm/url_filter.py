@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import LOWER, UPPER, table
+from tidewatch.llm.common import LOWER, UPPER, let, table
 
 #: (verdict, host and path): the contract's rules.
 RULES = [
@@ -118,7 +118,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]] = RU
     split = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
     held = split.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), bloom(listed, blocks).scalar().alias("words"))
-    possible = F.filter(candidates(F.col("host"), F.col("path")), lambda key: passes(key, F.col("words"), blocks))
+    possible = let(F.col("words"), lambda words: F.filter(candidates(F.col("host"), F.col("path")), lambda key: passes(key, words, blocks)))
     probed = held.select(
         "page_id", "host", "path", "rule", "ruled",
         F.when(F.col("ruled").isNull() & (F.col("host") != ""), possible).otherwise(F.array().cast("array<string>")).alias("possible"),
