@@ -1,61 +1,63 @@
 """Jaccard join of shingle sets by parity sketches.
 
-Sizes fall into bands, and for all pairs that meet in a band the size of the symmetric difference
-is at most ``D``. A band's sketch has ``P > D`` words of 64 bits; every shingle flips one bit of
-one word. Differing words are no more than differing bits, and these no more than the symmetric
-difference, so two linked sets have ``P - D`` equal words at least: joining on equal words loses
-no link. Words with at most one bit say little and many sets share them. A set with no more than
-``P - D - 1`` of these need not emit them, for one of its equal words is then another one; a set
-with more emits all. What meets in a word is verified on the whole sets.
+A sketch is a row of bits; each shingle flips the one that its hash names. So the Hamming distance
+of two sketches is at most the symmetric difference of their sets. Sizes fall into bands, and all
+linked pairs that meet in a band have a symmetric difference of at most ``D``. A band's sketch is
+cut into ``P > D`` words of ``2 ** WORD_BITS`` bits; two linked sets have ``P - D`` equal words at
+least, so joining on equal words (by a hash of their set bits) loses no link. Words with at most one
+bit say little and many sets share them. A set with no more than ``P - D - 1`` of these need not
+emit them, for one of its equal words is then another one; a set with more emits all. Of what meets in
+a word, the Hamming distance of short sketches takes most of the rest away; what is left is
+verified on the whole sets.
 
 Sets are compared by their digest first: equal sets are one node, however many copies there are.
-In a word's group each set is verified against the group's smallest digest only; what that links
-is settled by connected components. Only groups that still hold several components are looked at
-again, for pairs of different components. Groups that are then still large are split by sketches
-with another seed, in which linked sets meet again and the others seldom do.
+Of its words a set can do without as many as there are more than needed, if all sets give up their
+most frequent ones in the same order: of the words that two linked sets share, the rarest stays.
+In a word's group each set is first verified against the group's smallest digest only; what that
+links is settled by connected components. Groups that then still hold several components are
+joined again, for pairs of different components whose sketches do not rule a link out.
 """
 
 from __future__ import annotations
 
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import LOWER, MASK_BITS, UPPER, keep, mask_of, pieces, table
 from tidewatch.llm.components import components
+from tidewatch.llm.words import ODD, Words, mix
 
 WORDS = 4
 #: The least Jaccard similarity is this many hundredths.
 PERCENT = 85
-#: Largest group whose pairs of different components are listed; others are sketched anew.
-GROUP = 64
-# A-Z to a-z; the other bytes stay. bytes.split() cuts at the six white-space bytes.
-_LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _M[3]
-    x = (x ^ (x >> np.uint64(29))) * _M[4]
-    return x ^ (x >> np.uint64(32))
-
-
-def shingle_set(text: bytes | None, size: int = WORDS) -> np.ndarray:
-    """The sorted hashes of a text's shingles (64 bits for each); of a text with fewer words, the
-    hash of all of them; without words empty."""
-    words = (text or b"").translate(_LOW).split()
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    size = min(size, len(words))
-    n = len(words) - size + 1 if size else 0
-    out = np.full(n, size, np.uint64)
-    for k in range(size):
-        out = mix(out * _M[k % 3] + h[k : k + n])
-    return np.unique(out)
+#: Bits of a word of the sketches by band.
+WORD_BITS = 20
+#: Bits of a hash that place a shingle in a short sketch.
+SHORT = 40
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+
+
+def shingle_sets(texts: list[bytes | None], size: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted hashes of its shingles (64 bits for each); of a text with fewer
+    words, the hash of all of them; without words empty."""
+    words = Words(texts)
+    runs = {k: words.runs(k) for k in range(1, size + 1)}
+    out = []
+    for at, end in pairwise(words.first.tolist()):
+        k = min(size, end - at)
+        out.append(distinct(runs[k][at : end - k + 1]) if k else np.empty(0, np.uint64))
+    return out
 
 
 @cache
@@ -75,15 +77,23 @@ def shape(band: int, limits: list[int], percent: int = PERCENT) -> tuple[int, in
     return d, -(-(d + 1) * 139 // 100) + 2
 
 
-def sketch(tokens: np.ndarray, band: int, words: int, seed: int) -> np.ndarray:
-    h = mix(tokens + np.uint64((band * 0x9E3779B97F4A7C15 + seed * 0xC2B2AE3D27D4EB4F) % (1 << 64)))
-    bit = (h & np.uint64(63)) + np.uint64(64) * ((h >> np.uint64(6)) % np.uint64(words))
-    flips = np.bincount(bit.astype(np.int64), minlength=64 * words).astype(np.uint8) & 1
-    return np.packbits(flips, bitorder="little").view(np.uint64)
+def words_of_sketch(tokens: np.ndarray, band: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with a set bit, how many they have, and a hash of which."""
+    h = mix(tokens + np.uint64(band * ODD % (1 << 64)))
+    bit = ((h % np.uint64(words)) << np.uint64(WORD_BITS)) | (h >> np.uint64(64 - WORD_BITS))
+    bit.sort()
+    if (bit[1:] == bit[:-1]).any():  # what flips twice is not set
+        bit, flips = np.unique(bit, return_counts=True)
+        bit = bit[flips & 1 == 1]
+    at = (bit >> np.uint64(WORD_BITS)).astype(np.int64)
+    start = np.flatnonzero(np.diff(at, prepend=-1))
+    n = np.diff(start, append=len(at))
+    return at[start], n, np.bitwise_xor.reduceat(mix(bit), start) if len(at) else bit
 
 
-def keys_of(tokens: np.ndarray, limits: list[int], seed: int = 0, percent: int = PERCENT) -> list[np.ndarray]:
-    """A set's keys: in its band, and in the next one if a linked set may be there."""
+def keys_of(tokens: np.ndarray, limits: list[int], percent: int = PERCENT) -> list[tuple[np.ndarray, int, int]]:
+    """A set's keys in its band (0), and in the next one (1) if a linked set may be there; with
+    how many of these keys it can still do without, given the sizes that linked sets can have."""
     n, out = len(tokens), []
     own = int(np.searchsorted(limits, n, "right")) - 1
     for band in (own, own + 1):
@@ -92,13 +102,29 @@ def keys_of(tokens: np.ndarray, limits: list[int], seed: int = 0, percent: int =
         d, p = shape(band, limits, percent)
         if d == 0:  # only equal sets
             continue
-        words = sketch(tokens, band, p, seed)
-        full = (words & (words - np.uint64(1))) != 0
-        at = np.flatnonzero(full) if p - int(full.sum()) <= p - d - 1 else np.arange(p)
-        out.append(mix(words[at] * _M[0] + mix(at.astype(np.uint64) * _M[1] + np.uint64(band * 2 + seed * 1000))))
+        at, bits, words = words_of_sketch(tokens, band, p)
+        full = bits > 1
+        largest = min(limits[band + 1] - 1, 100 * n // percent)
+        d = (n + largest) * (100 - percent) // (100 + percent)
+        room = int(full.sum()) - d - 1  # of P - d - 1 what the words with a bit or none leave
+        if room >= 0:
+            at, words = at[full], words[full]
+        else:
+            every = np.zeros(p, np.uint64)
+            every[at] = words
+            at, words = np.arange(p), every
+        keys = mix(words * np.uint64(ODD) + mix(at.astype(np.uint64) * np.uint64(ODD ^ 0xFF00) + np.uint64(band)))
+        out.append((keys, max(0, room), band - own))
     return out
 
 
+def short_sketch(tokens: np.ndarray) -> np.ndarray:
+    """A sketch with as many bits as the set has shingles, to the next power of 2, 64 at least."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length())
+    flips = np.bincount((tokens >> np.uint64(64 - SHORT)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(flips, bitorder="little").view(np.uint64)
+
+
 def digest(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes())
 
@@ -117,8 +143,7 @@ def _sets(docs: DataFrame, size: int, mask: np.ndarray | None, emit, schema: str
         for batch in batches:
             for part in pieces(batch):
                 found = []
-                for text in part.column(0).cast(pa.binary()).to_pylist():
-                    tokens = shingle_set(text, size)
+                for tokens in shingle_sets(part.column(0).cast(pa.binary()).to_pylist(), size):
                     d = digest(tokens)
                     if not len(tokens) or d in seen or held is not None and not held.value[d >> (64 - MASK_BITS)]:
                         continue
@@ -131,17 +156,23 @@ def _sets(docs: DataFrame, size: int, mask: np.ndarray | None, emit, schema: str
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def key_rows(docs: DataFrame, size: int, percent: int, seed: int, mask: np.ndarray | None = None) -> DataFrame:
-    """(key, d): the keys of all sets."""
+def key_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(key, d, room): the keys of all sets; room is twice how many of its keys a set can do
+    without, and 1 more for those in the next band."""
 
     def emit(found):
         limits = bands(max(len(t) for _, t in found), percent)
-        keys = [keys_of(t, limits, seed, percent) for _, t in found]
-        n = [sum(map(len, k)) for k in keys]
-        flat = np.concatenate([np.empty(0, np.uint64), *(x for k in keys for x in k)])
-        return pa.RecordBatch.from_arrays([_signed(flat), _signed(np.repeat(np.array([d for d, _ in found], np.uint64), n))], names=["key", "d"])
+        keys, ds, rooms, n = [np.empty(0, np.uint64)], [], [], []
+        for d, t in found:
+            for k, room, band in keys_of(t, limits, percent):
+                keys.append(k)
+                n.append(len(k))
+                ds.append(d)
+                rooms.append(2 * room + band)
+        ds, rooms = np.repeat(np.array(ds, np.uint64), n), np.repeat(np.array(rooms, np.int32), n)
+        return pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), _signed(ds), pa.array(rooms)], names=["key", "d", "room"])
 
-    return _sets(docs, size, mask, emit, "key long, d long")
+    return _sets(docs, size, None, emit, "key long, d long, room int")
 
 
 def set_rows(docs: DataFrame, size: int, mask: np.ndarray) -> DataFrame:
@@ -155,67 +186,84 @@ def set_rows(docs: DataFrame, size: int, mask: np.ndarray) -> DataFrame:
     return _sets(docs, size, mask, emit, "d long, tokens array<long>").dropDuplicates(["d"])
 
 
-def groups(keys: DataFrame) -> DataFrame:
-    """(key, hub, d): each set of a key's group beside the group's smallest, the hub. The rows of
-    a key stream by in order; a group is never held."""
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(key, d): the keys that several sets have, without those that a set can do without."""
+    order = W.partitionBy("key").orderBy("d")
+    whole = W.partitionBy("key")
+    n = F.count(F.lit(1)).over(whole)
+    rows = keys.select("key", "d", "room", n.alias("n"), F.lag("d").over(order).alias("before"))
+    rows = keep(rows.where((F.col("n") > 1) & (F.col("before").isNull() | (F.col("before") != F.col("d")))).drop("before"), "shared")
+    rank = F.row_number().over(W.partitionBy("d", "room").orderBy(F.desc("n"), "key"))
+    return rows.withColumn("rank", rank).where(F.col("rank") > F.shiftright("room", 1)).select("key", "d")
+
+
+def hubs(rows: DataFrame) -> DataFrame:
+    """(key, hub, d): each set of a key's group beside the group's smallest, the hub."""
     order = W.partitionBy("key").orderBy("d")
-    rows = keys.select("key", "d", F.first("d").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("hub"), F.lag("d").over(order).alias("before"))
-    return rows.where((F.col("d") != F.col("hub")) & (F.col("d") != F.col("before"))).select("key", "hub", "d")
+    return rows.select("key", F.first("d").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("hub"), "d").where("hub <> d")
+
+
+def within_reach(nx: Column, sx: Column, ny: Column, sy: Column, percent: int) -> Column:
+    """Whether sizes and short sketches leave it open that two sets are linked. A sketch of twice
+    the other's length is folded; that flips the bits that the shorter one has."""
+
+    def fold(s: Column, other: Column) -> Column:
+        half = F.shiftright(F.size(s), 1)
+        folded = F.zip_with(F.slice(s, 1, half), F.slice(s, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(s) > F.size(other), folded).otherwise(s)
+
+    far = F.aggregate(F.zip_with(fold(sx, sy), fold(sy, sx), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, x: t + x)
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * far <= (100 - percent) * (nx + ny))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose sets are similar."""
     pairs = keep(pairs, "pairs")
-    sets = set_rows(docs, size, mask_of(pairs.select(F.explode(F.array("a", "b")).alias("d")), "d"))
-    sets = keep(sets, "sets")
+    if pairs.isEmpty():
+        return pairs
+    sets = keep(set_rows(docs, size, mask_of(pairs.select(F.explode(F.array("a", "b")).alias("d")), "d")), "sets")
     left = pairs.join(sets.select(F.col("d").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("d").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return keep(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "verified")
 
 
-def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
+def links(docs: DataFrame, base: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between the digests of different sets, enough to connect all that are linked."""
-    made: DataFrame | None = None
-    mask, seed = None, 0
-    while True:
-        met = keep(groups(key_rows(docs, size, percent, seed, mask)), "groups")
-        first = keep(verified(met.select(F.col("hub").alias("a"), F.col("d").alias("b")).distinct(), docs, size, percent), "star")
-        made = first if made is None else made.unionByName(first)
-        roots = components(made)
-        # Groups that hold several components: their members with these.
-        root = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))  # noqa: B023, E731
-        apart = root(root(met, "hub"), "d")
-        open_keys = apart.where(F.col("hub_root") != F.col("d_root")).select("key").distinct()
-        rest = keep(apart.select("key", "d", F.col("d_root").alias("root"), F.col("hub_root") != F.col("d_root")).toDF("key", "d", "root", "other").join(open_keys, "key", "left_semi"), "rest")
-        sized = rest.groupBy("key").agg(F.count("*").alias("n"))
-        small = rest.join(sized.where(F.col("n") <= group), "key", "left_semi")
-        x, y = small.select("key", F.col("d").alias("x"), F.col("root").alias("x_root")), small.where("other").select("key", F.col("d").alias("y"), F.col("root").alias("y_root"))
-        pairs = x.join(y, "key").where(F.col("x_root") != F.col("y_root")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        second = keep(verified(pairs, docs, size, percent), "second")
-        made = keep(made.unionByName(second), "made")
-        large = rest.join(sized.where(F.col("n") > group), "key", "left_semi").select("d").distinct()
-        mask_next = None if large.isEmpty() else mask_of(large, "d")
-        if mask_next is None:
-            return made
-        mask, seed = mask_next, seed + 1
+    known = base.where("d IS NOT NULL").dropDuplicates(["d"]).select("d", F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
+    named = lambda df, t: df.select(*[F.col(c).alias(f"{c}{t}" if c != "key" else c) for c in df.columns])
+    reach = within_reach(F.col("nx"), F.col("sx"), F.col("ny"), F.col("sy"), percent)
+    rows = keep(shared_keys(key_rows(docs, size, percent)), "rows")
+    star = hubs(rows).select(F.col("hub").alias("dx"), F.col("d").alias("dy")).distinct()
+    star = star.join(named(known, "x"), "dx").join(named(known, "y"), "dy").where(reach)
+    first = verified(star.select(F.col("dx").alias("a"), F.col("dy").alias("b")), docs, size, percent)
+    roots = components(first)
+    rooted = rows.join(roots.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high AND size > 2").select("key")
+    rest = keep(rooted.join(several, "key").join(known, "d"), "rest")
+    x, y = named(rest, "x"), named(rest, "y").withColumnRenamed("key", "keyy")
+    pairs = x.join(y, (F.col("key") == F.col("keyy")) & (F.col("dx") < F.col("dy")) & (F.col("rootx") != F.col("rooty")) & reach)
+    second = verified(pairs.select(F.col("dx").alias("a"), F.col("dy").alias("b")).distinct(), docs, size, percent)
+    return first.unionByName(second)
 
 
 def base_rows(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, d); d is null for a document without words."""
+    """(doc_id, n_shingles, d, sketch); d is null for a document without words."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch):
-                n, d = [], []
-                for text in part.column(1).cast(pa.binary()).to_pylist():
-                    tokens = shingle_set(text, size)
-                    n.append(len(tokens))
-                    d.append(digest(tokens) - (1 << 63) if len(tokens) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["doc_id", "n_shingles", "d"])
+                sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), size)
+                d = np.array([digest(t) for t in sets], np.uint64).view(np.int64)
+                sketches = [short_sketch(t) for t in sets]
+                offsets = pa.array(np.cumsum([0, *map(len, sketches)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array(d, mask=np.array([not len(t) for t in sets])),
+                    pa.ListArray.from_arrays(offsets, _signed(np.concatenate(sketches))),
+                ], names=["doc_id", "n_shingles", "d", "sketch"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d long")
-    return out.withColumn("d", F.col("d").bitwiseXOR(F.lit(-(1 << 63))))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return out.mapInArrow(run, "doc_id long, n_shingles long, d long, sketch array<long>")
 
 
 def find(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -229,8 +277,8 @@ def find(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     are not read.
     """
     base = keep(base_rows(docs, size), "base")
-    roots = components(links(docs, size, percent))
-    rooted = base.join(roots.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
+    roots = components(links(docs, base, size, percent))
+    rooted = base.drop("sketch").join(roots.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     some = rooted.where("root IS NOT NULL").join(least, "root").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     return some.unionByName(rooted.where("root IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
