@@ -18,39 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.common import LOWER, UPPER, pieces, table
+from tidewatch.llm.words import SIGNS, Words
 
 WINDOW, SHINGLE = 13, 3
 #: A document is contaminated if 1 in so many of its words is hit.
 SHARE = 20
 #: Bytes of item texts in a block, about.
 BLOCK_BYTES = 8 << 20
-# What separates words, as bytes, and A-Z to a-z; other bytes are parts of words.
-_CUT = bytes.maketrans(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]) + UPPER.encode(), b" " * (0x30 + 7 + 6 + 5) + LOWER.encode())
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(_CUT).split()
-
-
-def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash for each run of ``size`` words, from the words' hashes."""
-    n = max(0, len(words) - size + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out = (out ^ words[k : k + n]) * _MIX[k]
-        out ^= out >> np.uint64(31)
-    return out
-
-
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 class Lookup:
@@ -76,14 +55,20 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, bytes]]) -> None:
         owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item_id, text in items:
-            words = words_of(text)
+        hashes: dict[tuple[bytes, ...], np.ndarray] = {}
+        all_words = Words([text for _, text in items], SIGNS)
+        runs = {k: all_words.runs(k) for k in range(1, SHINGLE + 1)}
+        for (item_id, _), at, end in zip(items, all_words.first[:-1].tolist(), all_words.first[1:].tolist(), strict=True):
+            words = [all_words.text_of(i) for i in range(at, end)]
             size = min(WINDOW, len(words))
+            shingle = min(SHINGLE, size)
             for i in range(len(words) - size + 1 if size else 0):
-                owners[tuple(words[i : i + size])].add(item_id)
+                window = tuple(words[i : i + size])
+                owners[window].add(item_id)
+                hashes[window] = runs[shingle][at + i : at + i + size - shingle + 1]
         self.words = list(owners)
         self.items = [sorted(x) for x in owners.values()]
-        self.shingles = [shingle_hashes(hashes_of(list(w)), min(SHINGLE, len(w))) for w in self.words]
+        self.shingles = [hashes[w] for w in self.words]
         self.sizes = sorted({min(SHINGLE, len(w)) for w in self.words})
         self.by_size = {s: Lookup(np.concatenate([h for h, w in zip(self.shingles, self.words, strict=True) if min(SHINGLE, len(w)) == s])) for s in self.sizes}
 
@@ -96,17 +81,20 @@ class Windows:
         self.by_size = {s: Lookup(np.array([h for h, ks in self.prefix.items() if min(SHINGLE, len(self.words[ks[0][0]])) == s], np.uint64)) for s in self.sizes}
         self.shingles = []
 
-    def hits(self, words: list[bytes], hashes: np.ndarray) -> list[tuple[int, int, int]]:
-        """(start, end, window) of all occurrences in a document."""
-        out = []
+    def hits(self, words: Words) -> dict[int, list[tuple[int, int, int]]]:
+        """For each text that has any the (start, end, window) of all occurrences in it."""
+        out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for size in self.sizes:
             lookup = self.by_size[size]
-            for pos, place in zip(*(x.tolist() for x in lookup.find(shingle_hashes(hashes, size))), strict=True):
-                for k, at in self.prefix[int(lookup.values[place])]:
-                    start, window = pos - at, self.words[k]
-                    end = start + len(window)
-                    if start >= 0 and end <= len(words) and tuple(words[start:end]) == window:
-                        out.append((start, end, k))
+            pos, place = lookup.find(words.runs(size))
+            texts = np.searchsorted(words.first, pos, "right") - 1
+            for p, h, t in zip(pos.tolist(), lookup.values[place].tolist(), texts.tolist(), strict=True):
+                first, last = int(words.first[t]), int(words.first[t + 1])
+                for k, at in self.prefix[h]:
+                    window = self.words[k]
+                    start, end = p - at, p - at + len(window)
+                    if start >= first and end <= last and all(words.text_of(start + i) == w for i, w in enumerate(window)):
+                        out[t].append((start - first, end - first, k))
         return out
 
 
@@ -140,13 +128,13 @@ def shingle_counts(docs: DataFrame, windows: Windows) -> dict[int, int]:
         w = held.value
         for batch in batches:
             for part in pieces(batch):
-                texts = [words_of(t) for t in part.column(0).cast(pa.binary()).to_pylist()]
-                for words in texts:
-                    hashes = hashes_of(words)
-                    for size in w.sizes:
-                        _, place = w.by_size[size].find(shingle_hashes(hashes, size))
-                        for h in w.by_size[size].values[place].tolist():
-                            counts[h] += 1
+                words = Words(part.column(0).cast(pa.binary()).to_pylist(), SIGNS)
+                for size in w.sizes:
+                    pos, place = w.by_size[size].find(words.runs(size))
+                    text = np.searchsorted(words.first, pos, "right") - 1
+                    within = pos + size <= words.first[text + 1]
+                    for h in w.by_size[size].values[place[within]].tolist():
+                        counts[h] += 1
         keys = np.array(list(counts), np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(counts.values()), pa.int64())], names=["h", "n"])
 
@@ -177,14 +165,12 @@ def find(docs: DataFrame, items: DataFrame, carried: list[str]) -> DataFrame:
             w = held.value
             for batch in batches:
                 for part in pieces(batch):
-                    n, spans, found = [], [], []
-                    before = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
-                    for text, (old, known) in zip(part.column(4).cast(pa.binary()).to_pylist(), before, strict=True):
-                        words = words_of(text)
-                        hits = w.hits(words, hashes_of(words))
-                        n.append(len(words))
-                        spans.append([{"start": a, "end": b} for a, b in merged([*((x["start"], x["end"]) for x in old), *((a, b) for a, b, _ in hits)])])
-                        found.append(sorted({*known, *(i for k in {k for _, _, k in hits} for i in w.items[k])}))
+                    words = Words(part.column(4).cast(pa.binary()).to_pylist(), SIGNS)
+                    n, spans, found = np.diff(words.first), part.column(2).to_pylist(), part.column(3).to_pylist()
+                    for i, hits in w.hits(words).items():
+                        merge = merged([*((x["start"], x["end"]) for x in spans[i]), *((a, b) for a, b, _ in hits)])
+                        spans[i] = [{"start": a, "end": b} for a, b in merge]
+                        found[i] = sorted({*found[i], *(x for k in {k for _, _, k in hits} for x in w.items[k])})
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.string())), part.column(4)], names=["row", "n_words", "spans", "items", "text"])
 
         df = df.mapInArrow(run, schema)
