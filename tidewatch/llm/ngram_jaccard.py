@@ -240,10 +240,13 @@ def links(docs: DataFrame, base: DataFrame, size: int = WORDS, percent: int = PE
     roots = components(first)
     rooted = rows.join(roots.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high AND size > 2").select("key")
-    rest = keep(rooted.join(several, "key").join(known, "d"), "rest")
+    open_rows = rooted.join(several, "key")
+    # A pair is taken in the first of the groups in which its sets meet.
+    held = known.join(open_rows.groupBy("d").agg(F.collect_list("key").alias("keys")), "d")
+    rest = keep(open_rows.join(held, "d"), "rest")
     x, y = named(rest, "x"), named(rest, "y").withColumnRenamed("key", "keyy")
-    pairs = x.join(y, (F.col("key") == F.col("keyy")) & (F.col("dx") < F.col("dy")) & (F.col("rootx") != F.col("rooty")) & reach)
-    second = verified(pairs.select(F.col("dx").alias("a"), F.col("dy").alias("b")).distinct(), docs, size, percent)
+    pairs = x.join(y, (F.col("key") == F.col("keyy")) & (F.col("dx") < F.col("dy")) & (F.col("rootx") != F.col("rooty")) & reach & (F.array_min(F.array_intersect("keysx", "keysy")) == F.col("key")))
+    second = verified(pairs.select(F.col("dx").alias("a"), F.col("dy").alias("b")), docs, size, percent)
     return first.unionByName(second)
 
 
