@@ -11,6 +11,7 @@ their places, so no task holds all pieces of a length.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -58,27 +59,40 @@ class Ids:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: str) -> bytes:
-        runs, cache = re.split("[ \t\n\r]+", text) if OTHER_SPACE.search(text) else text.split(), self.cache
-        try:
-            return b"".join([cache[r] for r in runs])
-        except KeyError:
-            pass
+        return self.of_all([text])[0]
+
+    def of_all(self, texts: list[str]) -> list[bytes]:
+        runs, cache = [_runs(t) for t in texts], self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        new = list({r for r in runs if r not in cache})
+        new = list({r for rs in runs for r in rs if r not in cache})
         cache.update((r, self.whole(r)) for r in new if MARK in r)
         new = [r for r in new if MARK not in r]
-        lines = [f" {MARK} ".join(new[i : i + TOGETHER]) + f" {MARK}" for i in range(0, len(new), TOGETHER)]
-        ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], "<u4")
-        ends = np.flatnonzero(ids == self.mark)
-        data = ids.tobytes()
-        cache.update((r, data[a:b]) for r, a, b in zip(new, [0, *(4 * ends + 4).tolist()], (4 * ends).tolist()))  # noqa: B905
-        return b"".join([cache[r] for r in runs])
+        for at in range(0, len(new), 64 * TOGETHER):
+            part = new[at : at + 64 * TOGETHER]
+            lines = [f" {MARK} ".join(part[i : i + TOGETHER]) + f" {MARK}" for i in range(0, len(part), TOGETHER)]
+            ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], "<u4")
+            ends = 4 * np.flatnonzero(ids == self.mark)
+            data = ids.tobytes()
+            cache.update((r, data[a:b]) for r, a, b in zip(part, [0, *(ends + 4).tolist()], ends.tolist()))  # noqa: B905
+        return [b"".join([cache[r] for r in rs]) for rs in runs]
+
+
+def _runs(text: str) -> list[str]:
+    """What stands between spaces, tabs and line ends; in lower case where that is sure to be the
+    tokenizer's (no composed characters, no letters whose case depends on others)."""
+    try:
+        text.encode("latin-1")
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
+    return re.split("[ \t\n\r]+", text) if OTHER_SPACE.search(text) else text.split()
 
 
 @functools.cache
 def ids_for(path: str) -> Ids:
-    """One tokenizer and cache for each worker process."""
+    """One tokenizer and cache for each worker process, which has one core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Ids(path)
 
 
@@ -91,8 +105,9 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = ids_for(tokenizer)
         rows: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data = memoryview(ids.of(text or "") + END.to_bytes(4, "little"))
+        encoded = ids.of_all([t or "" for t in batch.column(1).to_pylist()])
+        for doc_id, known in zip(batch.column(0).to_pylist(), encoded, strict=True):
+            data = memoryview(known + END.to_bytes(4, "little"))
             n = len(data) // 4
             for k, start in enumerate(range(0, n, capacity)):
                 end = min(n, start + capacity)
