@@ -62,7 +62,7 @@ def _filled(df: DataFrame, numeric: list[str], category: str | None) -> DataFram
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numeric}).fillna("__missing__", [category] if category else [])
 
 
-def fit_score(model: str, train: DataFrame, valid: DataFrame, numeric: list[str], target: str, category: str | None = None, seed: int = 42) -> DataFrame:
+def fit_score(model: str, train: DataFrame, valid: DataFrame, numeric: list[str], target: str, category: str | None = None, seed: int = 42, trees: int | None = None) -> DataFrame:
     """``valid`` with ``score`` by a model fitted on ``train``; the target's mean with one class."""
     model = resolve(model)
     stats = train.agg(F.min(target).alias("a"), F.max(target).alias("b"), F.avg(target).alias("m"), F.count(F.lit(1)).alias("n")).first()
@@ -83,9 +83,9 @@ def fit_score(model: str, train: DataFrame, valid: DataFrame, numeric: list[str]
         est = GeneralizedLinearRegression(**common, family="poisson", link="log", regParam=1e-3, maxIter=50)
         prob = 1 - F.exp(-F.col("prediction"))
     elif model == "random_forest":
-        est = RandomForestClassifier(**common, weightCol="_w", numTrees=200, maxDepth=10, minInstancesPerNode=2, seed=seed)
+        est = RandomForestClassifier(**common, weightCol="_w", numTrees=trees or 200, maxDepth=10, minInstancesPerNode=2, seed=seed)
     else:
-        est = GBTClassifier(**common, weightCol="_w", maxIter=300, stepSize=0.05, maxDepth=int(model[-1]), subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+        est = GBTClassifier(**common, weightCol="_w", maxIter=trees or 300, stepSize=0.05, maxDepth=int(model[-1]), subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
     fitted = Pipeline(stages=[*_assembled(numeric, category), est]).fit(t)
     return fitted.transform(v).withColumn("score", prob).select(*valid.columns, "score")
 
@@ -136,12 +136,12 @@ def nb_score(train: DataFrame, valid: DataFrame, numeric: list[str], target: str
     return valid.withColumn("score", F.least(mu, F.lit(1.0)))
 
 
-def out_of_fold(df: DataFrame, folds: DataFrame, models: list[str], numeric: list[str], target: str, key: list[str], category: str | None = None) -> DataFrame:
+def out_of_fold(df: DataFrame, folds: DataFrame, models: list[str], numeric: list[str], target: str, key: list[str], category: str | None = None, trees: int | None = None) -> DataFrame:
     """(key, fold, model, score) of all validation rows of all yielded folds."""
     out = None
     for fold, train, valid in fold_ops.splits(df, folds, target):
         for m in models:
-            part = fit_score(m, train, valid, numeric, target, category).select(*key, F.lit(fold["fold"]).alias("fold"), F.lit(resolve(m)).alias("model"), "score", target)
+            part = fit_score(m, train, valid, numeric, target, category, trees=trees).select(*key, F.lit(fold["fold"]).alias("fold"), F.lit(resolve(m)).alias("model"), "score", target)
             out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no fold can be trained")

@@ -1,7 +1,7 @@
 """Registered queries and their SQL.
 
 A query is declared with the kinds of its columns (s as it is, l a long, d a double rounded to six
-places), a function and, where SQL can say the same, its body over the tables of ``bridge.SQL``.
+places, after a shift that keeps exact halves from falling either way), a function and, where SQL can say the same, its body over the tables of ``bridge.SQL``.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(name: str, columns: str, body: str | None = None):
     kinds = [c.split(":") for c in columns.split()]
-    spark_kinds = {"l": lambda c: F.col(c).cast("long"), "d": lambda c: F.round(F.col(c).cast("double"), 6), "s": F.col}
-    sql_kinds = {"l": "CAST({0} AS BIGINT) AS {0}", "d": "round(CAST({0} AS DOUBLE), 6) AS {0}", "s": "{0}"}
+    spark_kinds = {"l": lambda c: F.col(c).cast("long"), "d": lambda c: F.round(F.col(c).cast("double") + 1e-9, 6), "s": F.col}
+    sql_kinds = {"l": "CAST({0} AS BIGINT) AS {0}", "d": "round(CAST({0} AS DOUBLE) + 1e-9, 6) AS {0}", "s": "{0}"}
 
     def register(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir).select(*[spark_kinds[k](c).alias(c) for c, k in kinds])
@@ -495,7 +495,7 @@ def histogram(spark, d):
     return f.crossJoin(span).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("coverage_missing_pairs", "district:s year:l", "SELECT district, y AS year FROM (SELECT DISTINCT district FROM obs), (SELECT CAST(unnest(range(1994, 2004)) AS BIGINT) AS y) WHERE NOT EXISTS (SELECT 1 FROM obs o WHERE o.district = district AND year(o.date) = y) AND (district, y) NOT IN (SELECT DISTINCT district, year(date) FROM obs)")
+@query("coverage_missing_pairs", "district:s year:l", "SELECT e.district, y AS year FROM (SELECT DISTINCT district FROM obs) e, (SELECT CAST(unnest(range(1994, 2004)) AS BIGINT) AS y) WHERE (e.district, y) NOT IN (SELECT (district, year(date)) FROM obs)")
 def coverage_missing_pairs(spark, d):
     o = observed(spark, d).select("district", F.year("date").alias("year")).distinct()
     grid = o.select("district").distinct().withColumn("year", F.explode(F.sequence(F.lit(1994), F.lit(2003))))
@@ -576,7 +576,7 @@ def _oof(models_: list[str]):
     def run(spark, d):
         f = features.causal(panel(spark, d))
         f = labels.next_step_label(labels.train_thresholds(f, 0.75, "t"), F.col("t"), "outbreak_label").where("t IS NOT NULL")
-        return models.out_of_fold(f, folds.rolling(spark, 2000, 2001), models_, NUMERIC, "outbreak_label", ["district", "date"])
+        return models.out_of_fold(f, folds.rolling(spark, 2001, 2001), models_, NUMERIC, "outbreak_label", ["district", "date"], trees=40)
 
     return run
 
