@@ -98,37 +98,48 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, CHUNKS)
 
 
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, start, end, first): the chunks that two documents or more have, with the
+    smallest doc_id among these."""
+    cut = keep(chunks(docs), "chunks")
+    shared = cut.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("digest", "first")
+    return cut.join(shared, "digest").select("doc_id", "at", "start", "end", "first").distinct()
+
+
+def runs_of(found: DataFrame, least: int) -> DataFrame:
+    """(doc_id, start, end, first_doc_id): longest runs of neighbouring chunks with ``least`` code
+    points or more; ``first_doc_id`` is that of the longest chunk, for short ones can agree by chance."""
+    by_place = W.partitionBy("doc_id").orderBy("at", "start", "end")
+    new = F.coalesce((F.col("at") > F.lag("at").over(by_place) + 1).cast("int"), F.lit(1))
+    runs = found.withColumn("run", F.sum(new).over(by_place)).groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("first", F.struct(F.col("end") - F.col("start"), -F.col("at"))).alias("first_doc_id"),
+    )
+    return runs.where(F.col("end") - F.col("start") >= least).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "first_doc_id")
+
+
 def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, start, end, n_chars, first_doc_id, is_first): the passages of ``docs`` (doc_id,
     text) that other documents have too.
 
     A passage is a longest run of neighbouring chunks of which each is in two documents or more,
-    with at least ``least`` code points; it is reported for each document that has it, and
-    ``first_doc_id`` is the smallest doc_id among those of its first chunk. ``is_first`` is true where
-    all its chunks occur first in this document: there the passage stays, elsewhere it can be
-    cut. What only one document repeats is not reported. Nulls: a null or empty text has no
-    chunk, rows without a doc_id are passed over. Rows with an equal doc_id are one document;
-    repeated rows report the same passage once. Without documents the result is empty. Other
-    columns are not read.
+    with at least ``least`` code points; it is reported for each document that has it, with the
+    smallest doc_id that has its longest chunk; ``is_first``: that is this document. What only one
+    document repeats is not reported. Nulls: a null or empty text has no chunk, rows without a
+    doc_id are passed over. Rows with an equal doc_id are one document; repeated rows report a
+    passage once. Without documents the result is empty. Other columns are not read.
     """
-    cut = keep(chunks(docs), "chunks")
-    shared = cut.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("digest", "first")
-    found = cut.join(shared, "digest").select("doc_id", "at", "start", "end", "first").distinct()
-    by_place = W.partitionBy("doc_id").orderBy("at", "start", "end")
-    new = F.coalesce((F.col("at") > F.lag("at").over(by_place) + 1).cast("int"), F.lit(1))
-    runs = found.withColumn("run", F.sum(new).over(by_place))
-    out = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first", "at").alias("first_doc_id"), F.min((F.col("first") == F.col("doc_id")).cast("int")).alias("own"),
-    )
-    n = F.col("end") - F.col("start")
-    return out.where(n >= least).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), n.cast("long").alias("n_chars"), "first_doc_id", (F.col("own") == 1).alias("is_first"))
+    out = runs_of(repeated_chunks(docs), least)
+    return out.select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_chars"), "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("is_first"))
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``docs`` without the passages that are not first: of each the earliest document keeps it."""
-    cuts = passages(docs, least).where(~F.col("is_first")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    """``docs`` without runs of chunks that a document with a smaller doc_id has: the earliest
+    document keeps a passage. Rows without a doc_id or text stay as they are."""
+    later = repeated_chunks(docs).where(F.col("first") < F.col("doc_id"))
+    cuts = runs_of(later, least).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
     text, spans = F.col("text"), F.col("_cuts")
-    kept = F.transform(spans, lambda s, i: F.substring(text, (F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)) + 1).cast("int"), (s["start"] - F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))).cast("int")))
+    before = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+    kept = F.transform(spans, lambda s, i: F.substring(text, (before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int")))
     tail = F.substring(text, (F.element_at(spans, -1)["end"] + 1).cast("int"), F.length(text))
     joined = docs.join(cuts, "doc_id", "left")
     return joined.withColumn("text", F.when(spans.isNull(), text).otherwise(F.concat(F.array_join(kept, ""), tail))).select(*docs.columns)
