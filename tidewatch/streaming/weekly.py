@@ -19,7 +19,7 @@ def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def weekly_counts(events: DataFrame, entity: str, ts: str = "ts", late: str = "14 days") -> DataFrame:
     """(entity, week, cases); weeks start on Monday."""
-    week = F.window(F.col(ts).cast("timestamp"), "7 days", startTime="4 days").alias("w")
+    week = F.window(ts, "7 days", startTime="4 days").alias("w")
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(entity, week).agg(F.count(F.lit(1)).alias("cases")).select(entity, F.to_date("w.start").alias("week"), "cases")
 
 
