@@ -29,7 +29,7 @@ CAPACITY, END = 2048, 0
 #: Words whose ids a worker remembers; then it starts anew.
 CACHE_WORDS = 800_000
 #: Pieces of one length that are ranked in one group, about.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 1_000
 #: Largest plan (intervals of about 60 bytes) that is broadcast; a larger one is joined by shuffle.
 PLAN_ROWS = 50_000
 
@@ -252,8 +252,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     rows = pieces.groupBy("length").count().collect()  # at most ``capacity`` rows
     places = plan({r["length"]: r["count"] for r in rows}, capacity)
-    groups = max(1, -(-max((r["count"] for r in rows), default=1) // GROUP_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    groups = spark.createDataFrame([(r["length"], 1 + r["count"] // GROUP_ROWS) for r in rows], "length long, groups long")
+    salted = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("groups"))).drop("groups")
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     starts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     place_in = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
