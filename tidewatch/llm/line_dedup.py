@@ -177,7 +177,9 @@ def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     met = keep(met.join(firsts, "h").select("h", "at.doc_id", "at.line"), "met")
     words = keep(met.join(word_rows(docs, least, mask_of(met, "h")), "h"), "words")
     later = verified(near_pairs(keep(variant_rows(words), "variants")), words)
+    # Written, so that the join with all lines is one of its own, whose frequent lines Spark splits.
     known = firsts.select("h", "at").join(later.withColumn("near", F.lit(True)), "h", "left").select("h", "at", F.coalesce("near", F.lit(False)).alias("near"))
+    known = keep(known, "known")
     spots = lines.select("h", "doc_id", "line", F.struct("doc_id", "line").alias("own")).join(known, "h")
     return spots.where(F.col("near") | (F.col("own") != F.col("at"))).select("doc_id", "line", "near").distinct()
 
