@@ -282,7 +282,9 @@ def find(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     base = keep(base_rows(docs, size), "base")
     roots = components(links(docs, base, size, percent))
     rooted = base.drop("sketch").join(roots.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
-    least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # Both written, so that the join is one of its own, whose large components Spark splits.
+    rooted = keep(rooted, "rooted")
+    least = keep(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     some = rooted.where("root IS NOT NULL").join(least, "root").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     return some.unionByName(rooted.where("root IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
