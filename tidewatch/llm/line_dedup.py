@@ -173,7 +173,7 @@ def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     by_half = W.partitionBy("half").orderBy("h")
     half = firsts.select("h", F.explode("halves").alias("half"))
     near = lambda f: F.coalesce(f("h").over(by_half) != F.col("h"), F.lit(False))
-    met = half.where(F.lit(True)).select("h", (near(F.lag) | near(F.lead)).alias("met")).where("met").select("h").distinct()
+    met = half.select("h", (near(F.lag) | near(F.lead)).alias("met")).where("met").select("h").distinct()
     met = keep(met.join(firsts, "h").select("h", "at.doc_id", "at.line"), "met")
     words = keep(met.join(word_rows(docs, least, mask_of(met, "h")), "h"), "words")
     later = verified(near_pairs(keep(variant_rows(words), "variants")), words)
