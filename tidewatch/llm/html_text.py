@@ -29,11 +29,13 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 PARTS = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head"}
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adbox|sponsor(?:ed)?|banner|promo(?:tion)?|cookies?|consent|notices?|alert|popup|modal|overlay|"
-    r"nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|aside|foot(?:er)?|masthead|site-?header|page-?header|topbar|header|"
+    r"nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|aside|foot(?:er)?|"
     r"comments?(?:-?list)?|disqus|respon(?:d|ses)|replies|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscri(?:be|ption)|"
     r"login|signup|search|widget|contentinfo|complementary|skip(?:-?link)?|pagination|pager|tags|copyright|legal|disclaimer|gdpr|paywall)(?:$|[\s_-])",
     re.I,
 )
+HEADERS = re.compile(r"(?:^|[\s_-])(?:masthead|top-?bar|header)(?:$|[\s_-])", re.I)  # outside an article
+HUMP = re.compile("([a-z0-9])([A-Z])")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^'">])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -115,8 +117,8 @@ def lines_of(page: str) -> list[Line]:
         if m[3].endswith("/") and name not in BLOCKS:
             continue
         _, part, article, link = stack[-1]
-        marks = " ".join(x.strip("\"'") for x in ATTRIBUTE.findall(m[3])) if m[3] else ""
-        part = part or name in PARTS or name == "header" and not article or name not in ("html", "body", "article", "main") and bool(NAMED.search(marks)) or bool(m[3] and HIDDEN.search(m[3]))
+        marks = HUMP.sub(r"\1-\2", " ".join(x.strip("\"'") for x in ATTRIBUTE.findall(m[3]))) if m[3] else ""
+        part = part or name in PARTS or name == "header" and not article or name not in ("html", "body", "article", "main") and bool(NAMED.search(marks) or not article and HEADERS.search(marks)) or bool(m[3] and HIDDEN.search(m[3]))
         article = max(article, 2 if name == "article" or "articleBody" in m[3] else 1 if name == "main" or MAIN.search(marks) else 0)
         stack.append((name, part, article, link or name == "a"))
     if "<" in page[at:]:  # a tag that the page's end cuts off

@@ -167,5 +167,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *STATS, "base_failed", "kept")
 
 
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+s AS (SELECT r, k, count(*) OVER (PARTITION BY r, array_to_string(w[k + 1 : k + 8], ' ')) AS c FROM d, unnest(range(0, len(w) - 7)) u(k)),
+p AS (SELECT r, count(DISTINCT q) AS n FROM s, unnest(range(k, k + 8)) u(q) WHERE c > 1 GROUP BY r),
+b AS (SELECT d.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS caps,
+  length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) AS small, length(t) - length(replace(t, '!', '')) AS shouts,
+  len(list_filter(regexp_extract_all(low, '[a-z]+'), lambda x: x IN ({", ".join(f"'{x}'" for x in INSULTS)}))) AS insults FROM d LEFT JOIN p USING (r))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR word_chars > 15 * n_words OR 10 * word_chars < 25 * n_words
+    OR 2 * n_dup_lines > len(ls) OR caps > small OR 4 * shouts > n_words OR 100 * insults > n_words OR insults >= 3) AS kept FROM b"""
 QUERIES = {"op8_quality_rules": op8_quality_rules}
-ORACLE_SQL: dict = {}
+ORACLE_SQL = {"op8_quality_rules": ORACLE}
