@@ -35,25 +35,40 @@ def score_table(df: DataFrame, y: str, p: str) -> DataFrame:
     return _clean(df, y, p).groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
 
 
+def running(t: DataFrame, key: str, columns: list[str], descending: bool = False, parts: int = 200) -> DataFrame:
+    """``t`` with ``cum_`` columns: sums over the rows up to and with this one by ``key``.
+
+    One window over all rows would be one task. So approximate quantiles cut the key's range into
+    at most ``parts`` parts (any cut gives the same sums), a window runs within each, and what the
+    parts before hold is added; those totals are a row for each part."""
+    steps = ", ".join(f"{k / parts}D" for k in range(1, parts))
+    edges = t.agg(F.array_distinct(F.coalesce(F.expr(f"percentile_approx(`{key}`, array({steps}), 2000)"), F.array().cast("array<double>"))).alias("_edges"))
+    cut = t.crossJoin(F.broadcast(edges)).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(key)))).drop("_edges")
+    order = F.desc if descending else F.asc
+    before = W.orderBy(order("_part")).rowsBetween(W.unboundedPreceding, -1)
+    totals = cut.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    totals = totals.select(F.col("_part").alias("_p"), *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in columns])
+    within = W.partitionBy("_part").orderBy(order(key)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = cut.join(F.broadcast(totals), F.col("_part") == F.col("_p"))
+    return out.select(*t.columns, *[(F.sum(c).over(within) + F.col(f"_before_{c}")).alias(f"cum_{c}") for c in columns])
+
+
 def roc_auc(df: DataFrame, y: str, p: str) -> DataFrame:
-    below = F.coalesce(F.sum("neg").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    t = score_table(df, y, p).withColumn("below", below)
+    t = running(score_table(df, y, p), "p", ["neg"]).withColumn("below", F.col("cum_neg") - F.col("neg"))
     pairs = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
     return t.agg(ratio(pairs, (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, y: str, p: str) -> DataFrame:
-    w = W.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    t = score_table(df, y, p).withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    t = running(score_table(df, y, p), "p", ["pos", "neg"], descending=True).withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
     return t.agg(ratio(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("pos").cast("double")).alias("average_precision"))
 
 
 def curves(df: DataFrame, y: str, p: str) -> DataFrame:
     """(p, tpr, fpr, precision): a row for each distinct score, descending."""
-    w = W.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    t = score_table(df, y, p)
-    t = t.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w), "np": F.sum("pos").over(whole), "nn": F.sum("neg").over(whole)})
+    table = score_table(df, y, p)
+    t = running(table, "p", ["pos", "neg"], descending=True).withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
+    t = t.crossJoin(F.broadcast(table.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"))))
     return t.select("p", ratio(F.col("tp").cast("double"), F.col("np").cast("double")).alias("tpr"), ratio(F.col("fp").cast("double"), F.col("nn").cast("double")).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
@@ -117,9 +132,9 @@ def interval_coverage(df: DataFrame, y: str, low: str, high: str) -> DataFrame:
 def average_rank(x: str, name: str, df: DataFrame) -> DataFrame:
     """``df`` with average ranks of ``x``. Values are counted first, so the global order is over
     distinct values only."""
-    counts = df.groupBy(F.col(x).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    up = F.sum("_n").over(W.orderBy("_x").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return df.join(counts.withColumn(name, up - (F.col("_n") - 1) / 2.0).drop("_n"), df[x] == F.col("_x")).drop("_x")
+    counts = running(df.groupBy(F.col(x).alias("_x")).agg(F.count(F.lit(1)).alias("_n")), "_x", ["_n"])
+    ranks = counts.select("_x", (F.col("cum__n") - (F.col("_n") - 1) / 2.0).alias(name))
+    return df.join(ranks, df[x] == F.col("_x")).drop("_x")
 
 
 def univariate(df: DataFrame, x: str, y: str, least: int = 12) -> DataFrame:
