@@ -187,3 +187,19 @@ def test_sampler_finds_the_means(spark):
     mean = {r.parameter: math.exp(r.m) for r in draws.groupBy("parameter").agg(F.avg("value").alias("m")).collect() if r.parameter in ("low", "high")}
     assert abs(mean["low"] - 1) < 0.25 and abs(mean["high"] - 12) < 1.5
     assert {r.parameter for r in posterior.bulk_ess(draws).where("ess > 10").collect()} >= {"low", "high"}
+
+
+def test_last_known_neighbours(spark):
+    df = spark.createDataFrame([(1, "A", 5), (2, "B", 7), (3, "A", 9), (4, "C", 1), (5, "B", 2), (6, "A", 3)], "o int, district string, cases int")
+    edges = spark.createDataFrame([("A", "B"), ("A", "C"), ("B", "A")], "src string, dst string")
+    assert col(features.neighbour_last_mean(df, edges, "o"), "neighbor_mean_cases", "o") == [None, 5, 7, None, 9, 1.5]
+
+
+def test_permutation_importance(spark):
+    from tidewatch.operators import importance
+
+    df = spark.range(500).selectExpr("id", "date_add(DATE'2020-01-01', cast(id AS int)) AS date", "cast(hash(id) % 2 = 0 AS int) AS y", "cast(hash(id) % 2 AS double) AS good", "cast(hash(id, 5) % 7 AS double) AS noise")
+    moved = importance.permuted(df, "noise", ["id"], 3)
+    assert sorted(col(moved, "noise", "id")) == sorted(col(df, "noise", "id")) and col(moved, "noise", "id") != col(df, "noise", "id")
+    out = {r.feature: r for r in importance.permutation_importance(df, ["good", "noise"], "y", ["id"], repeats=2, trees=5).collect()}
+    assert out["good"].importance > 0.2 > abs(out["noise"].importance) and out["good"].forest > out["noise"].forest

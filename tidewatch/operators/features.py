@@ -125,6 +125,18 @@ def neighbour_mean(df: DataFrame, edges: DataFrame, cases: str = "cases", distri
     return df.join(hit, (df[district] == hit["_s"]) & (df[date] == hit["_t"]), "left").drop("_s", "_t")
 
 
+def neighbour_last_mean(df: DataFrame, edges: DataFrame, order: str, cases: str = "cases", district: str = "district") -> DataFrame:
+    """``neighbor_mean_cases`` where there are no dates: the mean over neighbours of their last value
+    before this row in ``order``. Observations and rows of an edge are one sorted stream, so
+    the last value is a running one."""
+    seen = edges.join(df, edges["dst"] == df[district]).select("src", "dst", F.col(order).alias("_o"), F.col(cases).cast("double").alias("_v"), F.lit(0).alias("_ask"))
+    asks = edges.join(df, edges["src"] == df[district]).select("src", "dst", F.col(order).alias("_o"), F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_ask"))
+    w = W.partitionBy("src", "dst").orderBy("_o", F.desc("_ask")).rowsBetween(W.unboundedPreceding, -1)
+    last = seen.unionByName(asks).withColumn("_l", F.last("_v", ignorenulls=True).over(w)).where("_ask = 1")
+    mean = last.groupBy("src", "_o").agg(F.avg("_l").alias("neighbor_mean_cases"))
+    return df.join(mean, (df[district] == mean["src"]) & (df[order] == mean["_o"]), "left").drop("src", "_o")
+
+
 def order_issues(df: DataFrame, order: list[str], district: str = "district", date: str = "date") -> DataFrame:
     """How often a date is before the one of the row before it, and how many keys are double."""
     w = W.partitionBy(district).orderBy(*order)

@@ -108,6 +108,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def remove_matching(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Deletes generated files of a folder whose names match a pattern; the names."""
+    fs, p = _fs(spark, folder)
+    gone = []
+    for status in fs.listStatus(p) if fs.exists(p) else []:
+        name = status.getPath().getName()
+        if re.fullmatch(pattern, name):
+            fs.delete(status.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
+
 def year_chunks(start: int, end: int, size: int) -> list[tuple[int, int]]:
     return [(y, min(end, y + size - 1)) for y in range(start, end + 1, max(1, size))]
 
