@@ -50,10 +50,13 @@ def docs(spark, rows):
 def test_quality_counts_and_order_of_rules(docs, rows):
     got = sorted(map(str, (tuple(r)[:7] for r in quality_rules.judge(docs).select("doc_id", *quality_rules.STATS, "base_failed").collect())))
     assert got == sorted(str((i, *brute.quality(t))) for i, t in rows)
-    rules = quality_rules.rules()
+    rules = [r.name for r in quality_rules.rules()]
     one, other = (quality_rules.judge(docs, order).select("doc_id", "kept") for order in (rules, rules[::-1]))
     assert one.exceptAll(other).isEmpty()
-    assert sorted(map(str, quality_rules.ordered_rules(docs))) == sorted(map(str, rules)) or len(quality_rules.ordered_rules(docs)) == len(rules)
+    assert sorted(quality_rules.ordered_rules(docs)) == sorted(rules)
+    kept = quality_rules.filter_documents(docs)
+    want = [r.doc_id for r in one.where("kept").collect()]
+    assert kept.columns == docs.columns and sorted(map(str, want)) == sorted(str(r.doc_id) for r in kept.collect())
 
 
 def test_quality_rejects_toxic_and_keeps_clean(spark):

@@ -9,6 +9,7 @@ order moves the cost and never the verdict.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,10 +77,11 @@ class Rule:
     rejects: Column
 
 
-def rules() -> list[Rule]:
-    """The rules beside the base ones, over the columns of ``with_stats``. None is null."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    n = F.col("n_words")
+def rules(of: Callable[[str], Column] = F.col) -> list[Rule]:
+    """The rules beside the base ones, over the columns of ``with_stats``, which ``of`` gives by
+    name. None is null."""
+    text = F.coalesce(of("text"), F.lit(""))
+    n = of("n_words")
     lower = F.translate(text, UPPER, LOWER)
     some = F.lit(False)
     for word in INSULTS:
@@ -89,15 +91,28 @@ def rules() -> list[Rule]:
     small = F.length(text) - F.length(F.regexp_replace(text, "[a-z]+", ""))
     shouts = F.length(text) - F.length(F.regexp_replace(text, "!+", ""))
     return [
-        Rule("symbols", 10 * F.col("n_symbols") > n),
-        Rule("word_length", (F.col("word_chars") > 15 * n) | (10 * F.col("word_chars") < 25 * n)),
-        Rule("repeated_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
+        Rule("symbols", 10 * of("n_symbols") > n),
+        Rule("word_length", (of("word_chars") > 15 * n) | (10 * of("word_chars") < 25 * n)),
+        Rule("repeated_lines", 2 * of("n_dup_lines") > of("n_lines")),
         Rule("capitals", capitals > small),
         Rule("exclamations", 4 * shouts > n),
         Rule("insults", (100 * insults > n) | (insults >= 3)),
     ]
 
 
+def base_failed(of: Callable[[str], Column] = F.col) -> Column:
+    return (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > MAX_REPEATED * of("n_words"))
+
+
+def rejected(order: list[str], of: Callable[[str], Column] = F.col) -> Column:
+    """One CASE: the base rules, then the others in the given order up to the first that rejects."""
+    by_name = {r.name: r.rejects for r in rules(of)}
+    out = F.when(base_failed(of), True)
+    for name in order:
+        out = out.when(by_name[name], True)
+    return out.otherwise(False)
+
+
 def with_stats(docs: DataFrame) -> DataFrame:
     """``docs`` with the base counts, ``n_lines`` and ``base_failed`` as further columns."""
     held = docs.withColumn("_m", measures(F.col("text")))
@@ -109,11 +124,11 @@ def with_stats(docs: DataFrame) -> DataFrame:
         F.col("_m.w.n_repeat_words").alias("n_repeat_words"),
         F.col("_m.lines.n").cast("long").alias("n_lines"),
     )
-    return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
+    return out.withColumn("base_failed", base_failed())
 
 
-def ordered_rules(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by falling rejection per second on the first ``rows`` rows at hand. Each rule is timed
+def ordered_rules(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
+    """The rules' names by falling rejection per second on the first ``rows`` rows at hand. Each rule is timed
     alone over the same held rows; the cost of an empty pass is taken off."""
     docs = docs.select("doc_id", "text")
     sample = with_stats(docs.sparkSession.createDataFrame(docs.take(rows), docs.schema)).persist()
@@ -133,10 +148,10 @@ def ordered_rules(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[Rule]:
             found.append((share / max(cost - empty, 1e-3), rule))
     finally:
         sample.unpersist()
-    return [rule for _, rule in sorted(found, key=lambda x: (-x[0], x[1].name))]
+    return [rule.name for _, rule in sorted(found, key=lambda x: (-x[0], x[1].name))]
 
 
-def judge(docs: DataFrame, order: list[Rule] | None = None) -> DataFrame:
+def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """``docs`` (doc_id, text) with the columns of ``with_stats`` and ``kept``.
 
     Nulls: a null text is an empty one, has no words and so fails a base rule; a null doc_id is
@@ -145,21 +160,24 @@ def judge(docs: DataFrame, order: list[Rule] | None = None) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     order = ordered_rules(docs) if order is None else order
-    rejected = F.when(F.col("base_failed"), True)
-    for rule in order:
-        rejected = rejected.when(rule.rejects, True)
-    return with_stats(docs).withColumn("kept", ~rejected.otherwise(False))
+    return with_stats(docs).withColumn("kept", ~rejected(order))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that every rule lets pass, with their own columns."""
-    names = docs.columns
-    inner = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[docs[c] for c in names]).alias("_row"))
-    order = ordered_rules(inner.select("doc_id", "text"))
-    rejected = F.when(F.col("base_failed"), True)
-    for rule in order:
-        rejected = rejected.when(rule.rejects, True)
-    return with_stats(inner).where(~rejected.otherwise(False)).select(*[F.col(f"_row.{c}").alias(c) for c in names])
+    """The rows of ``docs`` that every rule lets pass, with their own columns.
+
+    The condition binds the measures of a text once; as columns of their own they would be computed
+    again for each mention when the filter moves below them."""
+    order = ordered_rules(docs)
+
+    def keeps(m: Column) -> Column:
+        at = {
+            "text": docs["text"], "n_words": m["w"]["n_words"], "word_chars": m["w"]["word_chars"], "n_repeat_words": m["w"]["n_repeat_words"],
+            "n_symbols": m["n_symbols"], "n_dup_lines": m["lines"]["dup"], "n_lines": m["lines"]["n"],
+        }
+        return ~rejected(order, at.__getitem__)
+
+    return docs.where(let(measures(docs["text"]), keeps))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
