@@ -163,6 +163,16 @@ def test_line_dedup(spark, docs, rows):
     assert len(got) == len(known) and sum(r.n_near for r in got) > 5 and sum(r.n_exact for r in got) > 5
 
 
+def test_short_lines_are_compared_as_equal(spark, tmp_path):
+    """Every line with a word goes if an earlier one is equal; only lines of 8 words or more go by one edit."""
+    long = "one two three four five six seven eight"
+    texts = ["Title\nReleased under the MIT license.\n" + long, "title \n\n  \nreleased  under the MIT License.\nfresh", "Released under the GPL license.\n" + long + " nine\n\n" + long, "title\nfresh\none two three four five six seven"]
+    path = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_exact, r.n_near) for r in line_dedup.op10_line_dedup(spark, path).collect()}
+    assert got == {0: (texts[0], 0, 0), 1: ("\n  \nfresh", 2, 0), 2: ("Released under the GPL license.\n", 1, 1), 3: ("one two three four five six seven", 2, 0)}
+
+
 def test_edit_distance_of_words():
     rng = random.Random(5)
     for _ in range(3000):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import LOWER, MASK_BITS, UPPER, keep, mask_of, pieces, table
 
-#: Shorter lines are left alone: they recur in texts that have nothing else in common.
+#: Lines of fewer words are not compared by edits: one word is too large a part of them.
 MIN_WORDS = 8
 # A-Z to a-z; the other bytes stay. bytes.split() cuts at the white-space bytes.
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -74,21 +74,24 @@ def _lines(text: bytes | None, least: int):
             yield k, words
 
 
-def line_rows(docs: DataFrame, least: int) -> DataFrame:
-    """(h, doc_id, line, halves) of all lines that are long enough."""
+def line_rows(docs: DataFrame, least: int, shortest: int) -> DataFrame:
+    """(h, doc_id, line, halves) of the lines with ``shortest`` words or more; those with fewer than
+    ``least`` have no halves and so can only be equal to another line."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch):
-                h, ids, at, keys = [], [], [], []
+                h, ids, at, keys, ends = [], [], [], [], [0]
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    for k, words in _lines(text, least):
+                    for k, words in _lines(text, shortest):
                         h.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
                         ids.append(doc_id)
                         at.append(k)
-                        keys += halves(words)
+                        if len(words) >= least:
+                            keys += halves(words)
+                        ends.append(len(keys))
                 if h:
-                    offsets = pa.array(np.arange(0, len(keys) + 1, 4, dtype=np.int32))
+                    offsets = pa.array(ends, pa.int32())
                     signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, keys)]
                     yield pa.RecordBatch.from_arrays([signed[0], pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.ListArray.from_arrays(offsets, signed[1])], names=["h", "doc_id", "line", "halves"])
 
@@ -165,10 +168,10 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return both.select("h", "x", "y").mapInArrow(run, "h long").distinct()
 
 
-def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS, shortest: int | None = None) -> DataFrame:
     """(doc_id, line, near): the lines of ``docs`` that an earlier line makes superfluous; near:
     by one edit, else it is equal."""
-    lines = keep(line_rows(docs, least), "lines")
+    lines = keep(line_rows(docs, least, least if shortest is None else shortest), "lines")
     firsts = keep(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("halves").alias("halves")), "firsts")
     by_half = W.partitionBy("half").orderBy("h")
     half = firsts.select("h", F.explode("halves").alias("half"))
@@ -184,11 +187,12 @@ def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return spots.where(F.col("near") | (F.col("own") != F.col("at"))).select("doc_id", "line", "near").distinct()
 
 
-def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, least: int = MIN_WORDS, shortest: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text, others) with the remaining text, and ``n_lines``, ``n_exact`` and
     ``n_near`` (lines before; removed as equal, removed as within one edit) as further columns.
 
-    Lines are compared by their lower-case (A-Z) words; those with fewer than ``least`` words
+    Lines are compared by their lower-case (A-Z) words. Those with ``least`` words or more are compared
+    by one edit, those with ``shortest`` or more (``least`` if not given) only as equal; the others
     stay. Earlier means a smaller doc_id, then a smaller line number; a line goes if any earlier
     line is within the bound, whether that one stays or not. Nulls: a null text stays null and
     has no lines; rows without a doc_id stay as they are and are compared with nothing. Rows with
@@ -196,7 +200,7 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     is empty. Clashing columns: those of ``docs`` that are named like a new one give way.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
-    removed = duplicate_lines(docs.select("doc_id", "text"), least)
+    removed = duplicate_lines(docs.select("doc_id", "text"), least, shortest)
     by_doc = removed.groupBy("doc_id").agg(F.collect_set(F.when(F.col("near"), F.col("line"))).alias("_near"), F.collect_set(F.when(~F.col("near"), F.col("line"))).alias("_exact"))
     none = F.array().cast("array<int>")
     count: Column = F.size(F.split("text", "\n"))
@@ -218,13 +222,13 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
 def dedup_documents(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the superfluous lines; a document that loses all its words goes."""
-    out = dedup(docs, least)
+    out = dedup(docs, least, 1)
     changed = F.col("n_exact") + F.col("n_near") > 0
     return out.where(~changed | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]")).select(*docs.columns)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_exact", "n_near", "text")
+    return dedup(table(spark, sf_dir, "documents"), shortest=1).select("doc_id", "n_lines", "n_exact", "n_near", "text")
 
 
 QUERIES = {"op10_line_dedup": op10_line_dedup}
