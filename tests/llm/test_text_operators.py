@@ -173,6 +173,16 @@ def test_short_lines_are_compared_as_equal(spark, tmp_path):
     assert got == {0: (texts[0], 0, 0), 1: ("\n  \nfresh", 2, 0), 2: ("Released under the GPL license.\n", 1, 1), 3: ("one two three four five six seven", 2, 0)}
 
 
+def test_copies_with_a_short_title_leave_no_stub(spark):
+    body = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(4))
+    poem = "\n".join(f"verse {i} of mine" for i in range(9))
+    texts = {0: "A short title\n" + body, 1: "A short title\n" + body, 2: "Another title\n" + body, 3: "A short title\n" + poem, 4: "Some words of its own here\nA short title", 5: body + "\n" + poem.replace("mine", "yours"), 6: "few words"}
+    out = line_dedup.dedup_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    # A copy and a copy under another title go; own lines stay if they are many, or most of the text.
+    assert out.columns == ["doc_id", "text"]
+    assert {r.doc_id: r.text for r in out.collect()} == {0: texts[0], 3: poem, 5: poem.replace("mine", "yours"), 6: "few words", 4: "Some words of its own here"}
+
+
 def test_edit_distance_of_words():
     rng = random.Random(5)
     for _ in range(3000):

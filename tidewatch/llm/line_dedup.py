@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import LOWER, MASK_BITS, UPPER, keep, mask_of, pieces, table
+from tidewatch.llm.common import LOWER, MASK_BITS, SPACE_CLASS, UPPER, keep, let, mask_of, pieces, table
 
 #: Lines of fewer words are not compared by edits: one word is too large a part of them.
 MIN_WORDS = 8
+#: A document with fewer words would not pass the quality rules.
+LEFT_WORDS = 20
 # A-Z to a-z; the other bytes stay. bytes.split() cuts at the white-space bytes.
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _ODD = 0x9E3779B97F4A7C15
@@ -221,10 +223,17 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS, shortest: int | None = None)
 
 
 def dedup_documents(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the superfluous lines; a document that loses all its words goes."""
-    out = dedup(docs, least, 1)
+    """``docs`` without the superfluous lines. A document that loses lines goes if it has no words left, or only
+    leftovers: lines under ``least`` words, fewer than ``LEFT_WORDS`` in all and under half of its characters."""
+    out = dedup(docs.withColumn("_chars", F.length("text")), least, 1)
     changed = F.col("n_exact") + F.col("n_near") > 0
-    return out.where(~changed | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]")).select(*docs.columns)
+
+    def leftover(lines: Column) -> Column:
+        longest, total = F.array_max(lines), F.aggregate(lines, F.lit(0), lambda a, n: a + n)
+        return (total == 0) | ((longest < least) & (total < LEFT_WORDS) & (2 * F.length("text") < F.col("_chars")))
+
+    sizes = F.transform(F.split("text", "\n"), lambda line: F.size(F.array_remove(F.split(line, SPACE_CLASS + "+"), "")))
+    return out.where(~F.when(changed, let(sizes, leftover)).otherwise(F.lit(False))).select(*docs.columns)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
