@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontamination, line_dedup, ngram_jaccard, quality_rules, sequence_packing
+from tidewatch.llm import decontamination, line_dedup, ngram_jaccard, quality_rules, sequence_packing, toxicity
 from tidewatch.llm.common import keep, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that every quality rule lets pass."""
-    return quality_rules.filter_documents(docs)
+    """Documents that every quality rule lets pass, with a toxicity score fitted on the labels."""
+    return quality_rules.filter_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

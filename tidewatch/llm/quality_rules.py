@@ -15,12 +15,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm import toxicity
 from tidewatch.llm.common import LOWER, SPACE_CLASS, SPACES, UPPER, let, table
 
 #: Words in a window, and the limits of the base rules.
 WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
-#: Insults; the toxicity rule counts words that are one of these.
+#: English insults; the insults rule counts words that are one of these. Other languages: ``toxicity``.
 INSULTS = ["clown", "disgusting", "dumb", "filthy", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless"]
 #: Rows of the sample on which cost and selectivity are estimated.
 SAMPLE_ROWS = 500
@@ -163,8 +164,9 @@ def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     return with_stats(docs).withColumn("kept", ~rejected(order))
 
 
-def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that every rule lets pass, with their own columns.
+def filter_documents(docs: DataFrame, parts: dict[str, list[str]] | None = None) -> DataFrame:
+    """The rows of ``docs`` that every rule lets pass, with their own columns; with the ``parts`` of
+    ``toxicity.fit`` (``docs`` has a column lang then) the toxicity score is one more rule, the last one.
 
     The condition binds the measures of a text once; as columns of their own they would be computed
     again for each mention when the filter moves below them."""
@@ -175,7 +177,8 @@ def filter_documents(docs: DataFrame) -> DataFrame:
             "text": docs["text"], "n_words": m["w"]["n_words"], "word_chars": m["w"]["word_chars"], "n_repeat_words": m["w"]["n_repeat_words"],
             "n_symbols": m["n_symbols"], "n_dup_lines": m["lines"]["dup"], "n_lines": m["lines"]["n"],
         }
-        return ~rejected(order, at.__getitem__)
+        passed = ~rejected(order, at.__getitem__)
+        return passed & ~toxicity.is_toxic(docs["text"], docs["lang"], at["n_words"], parts) if parts else passed
 
     return docs.where(let(measures(docs["text"]), keeps))
 
