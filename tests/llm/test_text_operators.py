@@ -50,13 +50,17 @@ def docs(spark, rows):
 def test_quality_counts_and_order_of_rules(docs, rows):
     got = sorted(map(str, (tuple(r)[:7] for r in quality_rules.judge(docs).select("doc_id", *quality_rules.STATS, "base_failed").collect())))
     assert got == sorted(str((i, *brute.quality(t))) for i, t in rows)
-    rules = [r.name for r in quality_rules.rules()]
-    one, other = (quality_rules.judge(docs, order).select("doc_id", "kept") for order in (rules, rules[::-1]))
-    assert one.exceptAll(other).isEmpty()
-    assert sorted(quality_rules.ordered_rules(docs)) == sorted(rules)
-    kept = quality_rules.filter_documents(docs)
-    want = [r.doc_id for r in one.where("kept").collect()]
-    assert kept.columns == docs.columns and sorted(map(str, want)) == sorted(str(r.doc_id) for r in kept.collect())
+    rules = ["few_words", "repeated_windows", "symbols", "word_length", "repeated_lines", "capitals", "exclamations", "insults"]
+    parts = {"en": ["w12", "w13"], "xx": ["w"]}
+    for toxic in (None, parts):
+        names = [*rules, "toxic"] if toxic else rules
+        one, other = (quality_rules.judge(docs, toxic, order).select("doc_id", "kept") for order in (names, names[::-1]))
+        assert one.exceptAll(other).isEmpty()
+        assert sorted(quality_rules.ordered_rules(docs, toxic)) == sorted(quality_rules.ordered_rules(docs, toxic, counted=True)) == sorted(names)
+        want = sorted(str(r.doc_id) for r in one.where("kept").collect())
+        for order in (None, names, names[::-1]):
+            kept = quality_rules.filter_documents(docs, toxic, order)
+            assert kept.columns == docs.columns and want == sorted(str(r.doc_id) for r in kept.collect())
 
 
 def test_quality_rejects_toxic_and_keeps_clean(spark):

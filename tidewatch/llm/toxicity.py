@@ -2,70 +2,112 @@
 
 A part is a beginning of four to eight letters that stands much more often in toxic texts than in
 clean ones. A text is toxic if two words, and more than 15 in a thousand, begin with a part of its
-language; the parts of all languages count where the language is unknown. The fit looks at the
-beginnings of the sampled texts only; the score is one native expression over whole texts.
+language; the parts of all languages count where the language has none or is unknown. The fit counts
+the beginnings of the sampled texts by aggregation, so that only the chosen parts reach the driver;
+the score is one native expression over whole texts. All of it are DataFrame functions.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts of the sample for each language, on average, and characters of each; languages, the most frequent ones.
-TOXIC_ROWS, CLEAN_ROWS, CHARS, LANGUAGES = 300, 600, 2000, 20
-#: Lengths of parts; times that a part is as frequent in toxic texts; most parts of a language.
-SHORTEST, LONGEST, RATIO, MAX_PARTS = 4, 8, 12, 200
-LETTERS = re.compile(r"[^\W\d_]+")
+from tidewatch.llm.common import let
 
+#: Texts of the sample for each language, on average, and characters of each.
+TOXIC_ROWS, CLEAN_ROWS, CHARS = 300, 600, 2000
+#: Lengths of parts; times that a part is as frequent in toxic texts; most parts of a language; toxic texts that a part needs.
+SHORTEST, LONGEST, RATIO, MAX_PARTS, LEAST_TEXTS = 4, 8, 12, 200, 4
+WORD = r"\p{L}+"
 
-def _starts(text: str) -> list[str]:
-    return [w[:k] for w in LETTERS.findall(text.lower()) for k in range(SHORTEST, min(LONGEST, len(w)) + 1)]
 
-
-def parts_of(toxic: list[str], clean: list[str]) -> list[str]:
-    """The parts that tell toxic texts from clean ones, without those that begin with another part."""
-    bad, good, texts = Counter(), Counter(), Counter()
-    for text in toxic:
-        found = _starts(text)
-        bad.update(found)
-        texts.update(set(found))
-    for text in clean:
-        good.update(_starts(text))
-    words = [sum(len(LETTERS.findall(t)) for t in some) for some in (toxic, clean)]
-    least = max(4, len(toxic) / 10)
-    chosen = {p for p, n in bad.items() if texts[p] >= least and n * words[1] >= RATIO * (good[p] + 1) * words[0]}
-    short = [p for p in chosen if not any(p[:k] in chosen for k in range(SHORTEST, len(p)))]
-    return sorted(sorted(short, key=lambda p: (-bad[p], p))[:MAX_PARTS])
+def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, lang, toxic, words) of the labelled texts; of languages with many, a share by hash
+    that gives the numbers above on average."""
+    known = labels.where("toxic IS NOT NULL").select("doc_id", (F.col("toxic") == 1).alias("toxic")).distinct()
+    known = known.join(docs.where("lang IS NOT NULL").select("doc_id", "lang").distinct(), "doc_id")
+    rows = F.when(F.col("toxic"), TOXIC_ROWS).otherwise(CLEAN_ROWS)
+    shares = known.groupBy("lang", "toxic").agg(F.floor(rows * F.lit(1_000_000) / F.count(F.lit(1))).alias("share"))
+    place = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") % 1_000_000
+    ids = known.join(shares, ["lang", "toxic"]).where(place < F.col("share")).select("doc_id", "lang", "toxic")
+    # One row a language: of many labelled texts only those that the share can choose are shuffled.
+    most = shares.groupBy("lang").agg(F.max("share").alias("share"))
+    texts = docs.where("text IS NOT NULL").select("doc_id", "lang", F.substring("text", 1, CHARS).alias("text")).join(F.broadcast(most), "lang").where(place < F.col("share")).drop("share")
+    return texts.join(ids, ["doc_id", "lang"]).select("doc_id", "lang", "toxic", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict[str, list[str]]:
-    """Parts by language, from ``docs`` (doc_id, text, lang) with ``labels`` (doc_id, toxic). Of many
-    labelled texts, a share by hash that gives the numbers above on average."""
-    known = labels.where("toxic IS NOT NULL").select("doc_id", "toxic").distinct().join(docs.select("doc_id", "lang").where("lang IS NOT NULL"), "doc_id")
-    counts = known.groupBy("lang").agg(F.sum((F.col("toxic") == 1).cast("int")).alias("bad"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    chosen = F.lit(False)
-    for r in counts:
-        for toxic, n, rows in ((1, r["bad"], TOXIC_ROWS), (0, r["n"] - r["bad"], CLEAN_ROWS)):
-            share = min(1_000_000, rows * 1_000_000 // max(n, 1))
-            chosen = chosen | ((F.col("lang") == r["lang"]) & ((F.col("toxic") == 1) == bool(toxic)) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share))
-    ids = known.where(chosen).select("doc_id", "lang", "toxic").distinct()
-    sample = docs.select("doc_id", "lang", F.substring("text", 1, CHARS).alias("text")).where("text IS NOT NULL").join(F.broadcast(ids), ["doc_id", "lang"]).collect()
-    by = {(r["lang"], k): [x["text"] for x in sample if x["lang"] == r["lang"] and (x["toxic"] == 1) == k] for r in counts for k in (True, False)}
-    return {r["lang"]: parts for r in counts if (parts := parts_of(by[r["lang"], True], by[r["lang"], False]))}
+    """Parts by language, from ``docs`` (doc_id, text, lang) with ``labels`` (doc_id, toxic); the most
+    frequent ``MAX_PARTS``, without those that begin with another part. Rows without an id, text,
+    lang or label are not learned from; without labels there are no parts."""
+    sample = sampled(docs, labels).persist()
+    try:
+        sizes = sample.groupBy("lang").agg(
+            F.sum(F.when(F.col("toxic"), F.size("words")).otherwise(0)).alias("bad_words"), F.sum(F.when(~F.col("toxic"), F.size("words")).otherwise(0)).alias("good_words"),
+            F.sum(F.col("toxic").cast("int")).alias("bad_texts"),
+        )
+        lengths = F.sequence(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.length("word")))
+        starts = sample.select("doc_id", "lang", "toxic", F.explode("words").alias("word")).where(F.length("word") >= SHORTEST)
+        starts = starts.select("doc_id", "lang", "toxic", F.explode(F.transform(lengths, lambda k: F.substring("word", F.lit(1), k))).alias("part"))
+        in_text = starts.groupBy("lang", "part", "toxic", "doc_id").count()
+        bad = F.col("toxic")
+        counts = in_text.groupBy("lang", "part").agg(F.sum(F.when(bad, F.col("count")).otherwise(0)).alias("bad"), F.sum(F.when(~bad, F.col("count")).otherwise(0)).alias("good"), F.sum(bad.cast("int")).alias("texts"))
+        often = (F.col("texts") >= LEAST_TEXTS) & (10 * F.col("texts") >= F.col("bad_texts"))
+        chosen = counts.join(F.broadcast(sizes), "lang").where(often & (F.col("bad") * F.col("good_words") >= RATIO * (F.col("good") + 1) * F.col("bad_words")))
+        rows = chosen.select("lang", "part", "bad").collect()
+    finally:
+        sample.unpersist()
+    out: dict[str, list[str]] = {}
+    for lang in sorted({r["lang"] for r in rows}):
+        bad_of = {r["part"]: r["bad"] for r in rows if r["lang"] == lang}
+        short = [p for p in bad_of if not any(p[:k] in bad_of for k in range(SHORTEST, len(p)))]
+        out[lang] = sorted(sorted(short, key=lambda p: (-bad_of[p], p))[:MAX_PARTS])
+    return out
+
+
+def pattern(parts: Iterable[str]) -> str:
+    """A regular expression for words that begin with one of ``parts`` (letters only). Parts with the
+    same beginning share a branch, so a word is compared letter by letter and not part by part."""
+    tree: dict = {}
+    for part in sorted(parts):
+        at = tree
+        for letter in part:
+            at = at.setdefault(letter, {})
+            if None in at:  # a shorter part says it already
+                break
+        else:
+            at.clear()
+            at[None] = {}
+
+    def written(at: dict) -> str:
+        some = [letter + written(below) for letter, below in at.items() if letter]
+        return "(?:" + "|".join(some) + ")" if len(some) > 1 else "".join(some)
+
+    return r"(?<!\p{L})" + written(tree)
 
 
 def is_toxic(text: Column, lang: Column, n_words: Column, parts: dict[str, list[str]]) -> Column:
     """Whether the score of a text is over the bound; never null."""
     if not parts:
         return F.lit(False)
+    count = lambda some: F.regexp_count(F.lower(text), F.lit(pattern(some)))
+    found = F
+    for name, some in parts.items():
+        found = found.when(lang == name, count(some))
+    found = found.otherwise(count({p for some in parts.values() for p in some}))
+    return F.coalesce(let(found, lambda k: (k >= 2) & (200 * k > 3 * n_words)), F.lit(False))
 
-    def count(some: list[str]) -> Column:
-        return F.regexp_count(F.lower(text), F.lit(r"(?<!\p{L})(?:" + "|".join(some) + ")"))
 
-    found = count(sorted({p for some in parts.values() for p in some}))
-    for name, some in parts.items():
-        found = F.when(lang == name, count(some)).otherwise(found)
-    return F.coalesce(F.transform(F.array(found), lambda k: (k >= 2) & (200 * k > 3 * n_words))[0], F.lit(False))
+#: The parts as SQL over the tables documents and labels: a table parts (lang, part).
+PARTS_SQL = rf"""known AS (SELECT DISTINCT l.doc_id, d.lang, l.toxic = 1 AS toxic FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic IS NOT NULL AND d.lang IS NOT NULL),
+shares AS (SELECT lang, toxic, floor(CASE WHEN toxic THEN {TOXIC_ROWS} ELSE {CLEAN_ROWS} END * 1000000 / count(*)) AS share FROM known GROUP BY lang, toxic),
+ids AS (SELECT doc_id, lang, toxic FROM known JOIN shares USING (lang, toxic) WHERE CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 1000000 < share),
+sample AS (SELECT doc_id, lang, toxic, regexp_extract_all(lower(substr(text, 1, {CHARS})), '{WORD}') AS words FROM documents JOIN ids USING (doc_id, lang) WHERE text IS NOT NULL),
+sizes AS (SELECT lang, sum(CASE WHEN toxic THEN len(words) ELSE 0 END) AS bad_words, sum(CASE WHEN toxic THEN 0 ELSE len(words) END) AS good_words, count(*) FILTER (toxic) AS bad_texts FROM sample GROUP BY lang),
+starts AS (SELECT doc_id, lang, toxic, substr(word, 1, k) AS part FROM (SELECT doc_id, lang, toxic, unnest(words) AS word FROM sample), unnest(range({SHORTEST}, {LONGEST + 1})) u(k) WHERE length(word) >= k),
+counts AS (SELECT lang, part, count(*) FILTER (toxic) AS bad, count(*) FILTER (NOT toxic) AS good, count(DISTINCT CASE WHEN toxic THEN doc_id END) AS texts FROM starts GROUP BY lang, part),
+chosen AS (SELECT lang, part, bad FROM counts JOIN sizes USING (lang) WHERE texts >= {LEAST_TEXTS} AND 10 * texts >= bad_texts AND bad * good_words >= {RATIO} * (good + 1) * bad_words),
+parts AS (SELECT lang, part FROM (SELECT lang, part, row_number() OVER (PARTITION BY lang ORDER BY bad DESC, part) AS k FROM chosen c
+  WHERE NOT EXISTS (SELECT 1 FROM chosen s WHERE s.lang = c.lang AND length(s.part) < length(c.part) AND starts_with(c.part, s.part))) WHERE k <= {MAX_PARTS})"""
