@@ -78,6 +78,40 @@ def article(page):
     return " ".join(html.unescape(re.sub(r"</?(?:p|h1|br)\b[^>]*>", " ", re.sub("</?b>", "", m[1]))).split())
 
 
+def block_distribution(lines):
+    """Kept lines of (text, characters in links, boilerplate, marked) by the sums of all windows, each computed anew."""
+    on_page = any(m and not b for _, _, b, m in lines)
+    w = [0 if b else max(60, 4 * len(t)) if m else max(0, len(t) - 2 * min(k, len(t))) for t, k, b, m in lines]
+    groups, parts = [], []
+    for i, x in enumerate(lines):
+        if not groups or (x[3] and on_page) != (lines[groups[-1][-1]][3] and on_page):
+            groups.append([])
+        groups[-1].append(i)
+    for g in groups:
+        sums = {i: sum(w[j] for j in range(i, i + 3) if j in g) for i in g}
+        runs, open_ = [], False
+        for i in g:
+            if not open_ and w[i] and sums[i] >= 60:
+                runs.append([])
+                open_ = True
+            elif open_ and not sums[i]:
+                open_ = False
+            if open_:
+                runs[-1].append(i)
+        some = [i for i in g if w[i]]
+        runs = runs or ([list(range(some[0], some[-1] + 1))] if some else [])
+        parts += [(r, lines[g[0]][3] and on_page) for r in runs]
+    total = sum(w[i] for r, m in parts if m for i in r)
+    weight = [total if m else sum(w[i] for i in r) for r, m in parts]
+    out = []
+    for (r, _), x in zip(parts, weight, strict=True):
+        while r and not w[r[-1]]:
+            r = r[:-1]
+        if 5 * x >= max(weight):
+            out += [lines[i][0] for i in r if not lines[i][2] and (w[i] or lines[i][1] < len(lines[i][0]))]
+    return " ".join(out)
+
+
 def edit_within_one(a, b):
     if a == b:
         return True

@@ -269,6 +269,47 @@ def test_html_against_the_template():
         assert isinstance(html_text.main_text(odd), str)
 
 
+def test_html_names_that_are_not_what_they_look_like():
+    story = "".join(f"<p>{'A sentence of the story that goes on for a while. ' * 2}</p>" for _ in range(3))
+    comment = '<article class="comment"><p>Nice story, thank you very much for all of it, I say.</p></article>'
+    for page in (
+        f'<div class="overflow-hidden">{story}</div>', f'<article title="the hidden city">{story}</article>', f"<main>{story}{comment}</main>", f"<article>{story}</article>{comment}",
+        f"<article>{story}</article><div hidden>{story}</div>", f'<article>{story}<p style="display: none">no</p></article>', f'<article class="post">{story}</article><div class="commentList">{comment}</div>',
+    ):
+        assert html_text.main_text(page).count("story") == 6 and "Nice" not in html_text.main_text(page), page
+    assert html_text.main_text(f"<div hidden>{story}</div>") == html_text.main_text(f'<div aria-hidden="true">{story}</div>') == ""
+
+
+def test_html_distribution_decides():
+    para = lambda k: f"<p>{'A long line of the story that goes on. ' * k}</p>"
+    menu = "".join(f'<p><a href="/{i}">Link {i}</a></p>' for i in range(4))
+    # Several heavy parts of an unmarked page stay, a light one after a menu goes, a line half of links stays.
+    text = html_text.main_text(f"<div>{para(3)}{para(3)}{menu}{para(4)}<p>See <a href=x>this other one</a></p>{para(1)}{menu}<p>Legal text of this site, all rights reserved.</p></div>")
+    assert text.count("story") == 11 and "Link" not in text and "Legal" not in text and "See this other one" in text
+    # A marked teaser does not hide the story; a marked story leaves out its light surroundings.
+    assert html_text.main_text(f"<article><p>Teaser.</p></article><div>{para(9)}{para(9)}</div>").count("story") == 18
+    text = html_text.main_text(f"<p>Sign up for our letter and read the best that we have.</p><article><h1><a href=t>Title</a></h1>{para(5)}{menu}<p>The end.</p></article>{para(1)}")
+    assert text.startswith("Title A long") and text.endswith("Link 3 The end.") and text.count("story") == 5
+
+
+def test_html_against_all_windows():
+    rng, changed = random.Random(6), 0
+    for n in range(200):
+        marked, blocks = n % 2, []
+        for _ in range(rng.randint(1, 25)):
+            words = " ".join("word" * rng.randint(1, 3) for _ in range(rng.choice([1, 3, 10, 40])))
+            blocks.append(rng.choice([f"<p>{words}</p>", f"<p>{words}</p>", f"<p><a href=x>{words}</a></p>", f"<p>{words} <a href=y>{words}</a></p>", f'<div class="ad">{words}</div>', "<hr>"]))
+        if marked:
+            a, b = sorted(rng.randrange(len(blocks) + 1) for _ in range(2))
+            blocks[a:b] = ["<article>", *blocks[a:b], "</article>"]
+        page = "".join(blocks)
+        lines = html_text.lines_of(page)
+        want = brute.block_distribution([(x.text, x.links, x.boiler, x.marked) for x in lines])
+        assert html_text.main_text(page) == want
+        changed += want != " ".join(x.text for x in lines if not x.boiler and (x.marked or not any(y.marked for y in lines)))
+    assert changed > 100  # pages of which the distribution, and not the marks alone, says what stays
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "t"), (1, "u", None, "t"), (None, None, "<article><p>A&nbsp;b</article>", "t")], "page_id long, url string, html string, text string")
     assert sorted(str(tuple(r)) for r in html_text.extract(pages).collect()) == sorted(map(str, [(1, "u", "", 0), (1, "u", "", 0), (None, None, "A b", 3)]))

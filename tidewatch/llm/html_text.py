@@ -3,15 +3,17 @@
 The markup is stripped to lines, one for each block element's text. A line's weight is its text's
 length; lines in menus, headers, footers and other parts that are named as such weigh nothing, and
 text in links counts for none. Weights are summed over a sliding window of lines; a surge is where
-the sum rises over a threshold, a dive where it falls to nothing. The text between the heaviest
-surge and its dive is the main text. Where a page marks its article, only lines in it have weight
-and every one of them is over the threshold, so the surge is its first line and the dive its end.
+the sum rises over a threshold, a dive where it falls to nothing. The text between surges and
+their dives is the main text, as far as it is heavy for the page. Where a page marks its article,
+the lines in it weigh more and no window spans the mark's bounds; text outside still wins if the
+mark holds a small part of the page's text only.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import arrow_map, table
 
-#: Lines in a window; the sum that a surge needs.
-WINDOW, SURGE = 3, 60
+#: Lines in a window; the sum that a surge needs; times that a marked line's text counts; a part with
+#: less than one HEAVY-th of the heaviest one's weight is dropped.
+WINDOW, SURGE, MARKED, HEAVY = 3, 60, 4, 5
 # HTML's elements by what they mean for the lines.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "object", "math", "canvas", "select"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "button", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
@@ -37,14 +40,28 @@ NAMED = re.compile(
 HEADERS = re.compile(r"(?:^|[\s_-])(?:masthead|top-?bar|header)(?:$|[\s_-])", re.I)  # outside an article
 HUMP = re.compile("([a-z0-9])([A-Z])")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^'">])*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: What an article element is called if it is none of the page's own.
+NOT_THE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|respon(?:se|ses|d)|ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|related|recommend(?:ed|ations)?|teaser)(?:$|[\s_-])", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 MAIN = re.compile(r"(?:^|\s)(?:main|main-content|content-main|post-content|entry-content|article-body|article)(?:$|\s)", re.I)
 #: Elements that a new one of the same kind ends, unless one of the others stands between.
 ENDS = {"p": ({"p"}, None), "li": ({"li"}, {"ul", "ol", "menu"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr", "td", "th"}, {"table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, None)}
 CLOSES_P = BLOCKS - {"br", "body", "html", "head", "button"}
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Names (lower-case) and values of a tag's attributes; of repeated ones the first, as browsers do."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+    return out
+
+
+def hidden(at: dict[str, str]) -> bool:
+    return at.get("hidden", "false").lower() != "false" or at.get("aria-hidden", "").lower() == "true" or bool(UNSEEN.search(at.get("style", "")))
+
+
 class Line:
     __slots__ = ("boiler", "links", "marked", "text")
 
@@ -117,9 +134,14 @@ def lines_of(page: str) -> list[Line]:
         if m[3].endswith("/") and name not in BLOCKS:
             continue
         _, part, article, link = stack[-1]
-        marks = HUMP.sub(r"\1-\2", " ".join(x.strip("\"'") for x in ATTRIBUTE.findall(m[3]))) if m[3] else ""
-        part = part or name in PARTS or name == "header" and not article or name not in ("html", "body", "article", "main") and bool(NAMED.search(marks) or not article and HEADERS.search(marks)) or bool(m[3] and HIDDEN.search(m[3]))
-        article = max(article, 2 if name == "article" or "articleBody" in m[3] else 1 if name == "main" or MAIN.search(marks) else 0)
+        at_of = attributes(m[3]) if m[3] else {}
+        marks = HUMP.sub(r"\1-\2", " ".join(at_of.get(k, "") for k in ("class", "id", "role")))
+        own = name in ("article", "main")
+        part = part or name in PARTS or name == "header" and not article or hidden(at_of)
+        if name not in ("html", "body") and marks.strip():
+            part = part or bool(NOT_THE_ARTICLE.search(marks) if own else NAMED.search(marks) or not article and HEADERS.search(marks))
+        if not part:
+            article = max(article, 2 if name == "article" or "articleBody" in at_of.get("itemprop", "") else 1 if name == "main" or MAIN.search(marks) else 0)
         stack.append((name, part, article, link or name == "a"))
     if "<" in page[at:]:  # a tag that the page's end cuts off
         tail = page.find("<", at)
@@ -130,12 +152,19 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def weights(lines: list[Line]) -> tuple[list[int], bool]:
-    """What each line adds to the distribution; whether the page marks its article."""
+def weights(lines: list[Line]) -> tuple[list[int], int]:
+    """What each line adds to the distribution; how strongly the page marks its article (0: not). A
+    marked line adds enough for a surge of its own, so that short lines of an article stay."""
     level = max((x.marked for x in lines if not x.boiler), default=0)
-    if level:
-        return [0 if x.boiler or x.marked < level else max(SURGE, len(x.text)) for x in lines], True
-    return [0 if x.boiler else max(0, len(x.text) - 2 * min(x.links, len(x.text))) for x in lines], False
+
+    def weight(x: Line) -> int:
+        if x.boiler:
+            return 0
+        if level and x.marked == level:
+            return max(SURGE, MARKED * len(x.text))
+        return max(0, len(x.text) - 2 * min(x.links, len(x.text)))
+
+    return [weight(x) for x in lines], level
 
 
 def parts(weight: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -145,6 +174,7 @@ def parts(weight: list[int], window: int = WINDOW, surge: int = SURGE) -> list[t
     line with a weight whose sum reaches ``surge`` and ends where the sum has fallen to 0. If no
     sum reaches ``surge``, what lies from the first to the last weight is the part."""
     n, out, start = len(weight), [], None
+    last = max((i + 1 for i in range(n) if weight[i]), default=0)
     total = sum(weight[:window])
     for i in range(n):
         if start is None and total >= surge and weight[i]:
@@ -154,20 +184,29 @@ def parts(weight: list[int], window: int = WINDOW, surge: int = SURGE) -> list[t
             start = None
         total += (weight[i + window] if i + window < n else 0) - weight[i]
     if start is not None:
-        out.append((start, n))
+        out.append((start, last))
     some = [i for i in range(n) if weight[i]]
-    return out or ([(some[0], some[-1] + 1)] if some else [])
+    return out or ([(some[0], last)] if some else [])
 
 
 def main_text(page: str | None) -> str:
-    """The lines with a weight of the heaviest part; of all parts where the page marks them. Of
-    equal parts the first is taken."""
+    """The lines of the parts that are heavy for the page, without those that are boilerplate or
+    nothing but a link.
+
+    A distribution of its own is taken of each run of lines that are all in the marked article or
+    all outside. What it finds in the article counts as one part, however many advertisements
+    cut it; outside, each part counts alone."""
     lines = lines_of(page or "")
-    weight, marked = weights(lines)
-    found = parts(weight)
-    if not marked and found:
-        found = [max(found, key=lambda p: sum(weight[slice(*p)]))]
-    return " ".join(lines[i].text for a, b in found for i in range(a, b) if weight[i])
+    weight, level = weights(lines)
+    inside = [bool(level) and x.marked == level for x in lines]
+    edges = [0, *(i for i in range(1, len(lines)) if inside[i] != inside[i - 1]), len(lines)]
+    found = [(a + p, a + q) for a, b in pairwise(edges) for p, q in parts(weight[a:b])]
+    heavy = {p: sum(weight[slice(*p)]) for p in found}
+    marked = sum(w for (a, _), w in heavy.items() if inside[a])
+    heavy = {p: marked if inside[p[0]] else w for p, w in heavy.items()}
+    least = max(heavy.values(), default=0) / HEAVY
+    kept = [i for p in found if heavy[p] >= least for i in range(*p) if not lines[i].boiler and (weight[i] or lines[i].links < len(lines[i].text))]
+    return " ".join(lines[i].text for i in kept)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
