@@ -334,6 +334,38 @@ def test_passages(spark):
     assert all(len(left[i]) < len(texts[i]) - 90 for i in flagged if i % 2)
 
 
+def test_passages_against_all_pairs(spark):
+    """Every reported passage stands whole in its other document and in the first one; all spans that two documents
+    share from bound to bound are reported; texts put together from pieces of several documents are not."""
+    rng = random.Random(18)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    pool = [text(rng.choice([6, 10, 40, 80])) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(pool) if rng.random() < 0.5 else text(rng.randint(1, 60)) for _ in range(rng.randint(1, 5)))) for i in range(40)]
+    rows += [(50, pool[4] + "  " + pool[4]), (51, rows[3][1]), (52, rows[3][1].replace(" ", "\n", 9)), (53, None), (54, ""), (54, "short"), (3, rows[3][1]), (None, rows[3][1])]
+    got = substring_dedup.passages(frame(spark, rows)).collect()
+    plain = lambda t: " ".join((t or "").split(" ")).replace("\n", " ").replace("  ", " ")
+    texts = {i: t for i, t in rows if i is not None and t}
+    for r in got:
+        span = plain(texts[r.doc_id][r.start : r.end])
+        assert span in plain(texts[r.other_doc_id]) and span in plain(texts[r.first_doc_id]), r
+        assert r.n_chars >= 100 and r.other_doc_id != r.doc_id and r.is_first == (r.doc_id == r.first_doc_id)
+    spans = {}
+    for i, t in texts.items():
+        one, place = substring_dedup.one_spaced(t.encode())
+        ends = [0, *substring_dedup.bounds(__import__("numpy").frombuffer(one, "uint8")).tolist()]
+        at = [0, *(int(place[e - 1]) for e in ends[1:])]
+        spans[i] = [(one[a:b], at[k], at[j]) for k, a in enumerate(ends) for j, b in [next(((j, b) for j, b in enumerate(ends) if at[j] - at[k] >= 100), (0, 0))] if b]
+    have = {}
+    for i, some in spans.items():
+        for piece, *_ in some:
+            have.setdefault(piece, set()).add(i)
+    want = {(i, c) for i, some in spans.items() for piece, a, b in some if len(have[piece]) > 1 for c in range(a, b)}
+    assert {(r.doc_id, c) for r in got for c in range(r.start, r.end)} == want and len(want) > 1000
+    left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(frame(spark, [x for x in rows if x[0] not in (3, 54, None)])).collect()}
+    assert left[51] == "" or len(left[51]) <= len(texts[51])
+
+
 def test_chunk_bounds_follow_the_rolling_hash():
     import numpy as np
 
