@@ -122,22 +122,24 @@ def edit_within_one(a, b):
     return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def line_dedup(docs, least):
-    """{doc_id: (kept lines, exact, near)}"""
-    seen, out = [], {}
-    for doc_id, text in sorted((d for d in docs if d[0] is not None), key=lambda d: d[0]):
-        kept, exact, near = [], 0, 0
-        for line in (text or "").split("\n"):
-            w = split(low(line))
-            if len(w) < least:
+def line_dedup(docs, least, shortest):
+    """(kept lines, exact, near) of each row, in the given order."""
+    lines = [(i, k, split(low(line))) for i, text in docs if i is not None for k, line in enumerate((text or "").split("\n"))]
+    first = {}
+    for i, k, w in lines:
+        if len(w) >= shortest:
+            first[tuple(w)] = min((i, k), first.get(tuple(w), (i, k)))
+    near = {w for w, at in first.items() if len(w) >= least and any(len(v) >= least and v != w and x < at and edit_within_one(list(w), list(v)) for v, x in first.items())}
+    out = []
+    for i, text in docs:
+        kept, exact, n_near = [], 0, 0
+        for k, line in enumerate((text or "").split("\n")):
+            w = tuple(split(low(line)))
+            if i is None or w not in first or (w not in near and first[w] == (i, k)):
                 kept.append(line)
-                continue
-            if any(w != s and edit_within_one(w, s) for s in seen):
-                near += 1
-            elif w in seen:
-                exact += 1
+            elif w in near:
+                n_near += 1
             else:
-                kept.append(line)
-            seen.append(w)
-        out[doc_id] = ("\n".join(kept), exact, near)
+                exact += 1
+        out.append((i, "\n".join(kept), exact, n_near))
     return out

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tidewatch.llm import decontamination, html_text, language_id, line_dedup, ngram_jaccard, quality_rules, secret_scan, sequence_packing, substring_dedup, url_filter
@@ -84,6 +85,24 @@ def test_secrets(spark, docs, rows):
     assert by[901].n_random == 1 and by[902].n_random == 0
 
 
+def test_secrets_in_a_very_long_text(spark):
+    """20,000 random keys of each sort, 10 MB of text in all: found in time that grows with the text, each once."""
+    rng = random.Random(12)
+    of = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    lines = [f"line {i} {of('ABCDEFGHIJKLMNOPQRSTUVWXYZ' + small + digits, 40)} and {of(small + digits, 40)} and token={of(small, 20)} {of('ABCDEF' + digits, 32)}" for i in range(20000)]
+    text = "\n".join(lines) + " filler" * 1_000_000
+    assert len(text) > 10_000_000
+    base, added = secret_scan.scan(text)
+    spans = sorted([*base, *added])
+    assert all(a[2] <= b[0] for a, b in zip(added, added[1:])) and sum(x[1] == 0 for x in base) == 20000
+    assert len(added) > 50000
+    known = {(a, b) for a, _, b in base}
+    assert all(not (x[0] < b and a < x[2]) for x, (a, b) in zip(added[:200], sorted(known)[:200]))
+    assert secret_scan.apart([(0, 3, 4), (4, 3, 9), (12, 3, 20)], [(3, 0, 4), (5, 1, 30)]) == []
+    assert secret_scan.apart([(0, 3, 4), (9, 3, 12), (30, 3, 40)], [(4, 0, 9), (12, 1, 30)]) == [(0, 3, 4), (9, 3, 12), (30, 3, 40)]
+
+
 def test_window_entropy_is_incremental():
     import math
     from collections import Counter
@@ -156,15 +175,28 @@ def test_decontamination(spark, docs, rows):
 
 
 def test_line_dedup(spark, docs, rows):
-    known = [(i, t) for k, (i, t) in enumerate(rows) if i is None or i not in {x for x, _ in rows[:k]}]
-    want = brute.line_dedup(known, 8)
-    got = line_dedup.dedup(frame(spark, known)).collect()
-    for r in got:
-        if r.doc_id is not None and r.text is not None:
-            text, exact, near = want[r.doc_id]
-            assert r.text == text, r.doc_id
-            assert r.n_exact + r.n_near == exact + near
-    assert len(got) == len(known) and sum(r.n_near for r in got) > 5 and sum(r.n_exact for r in got) > 5
+    """Against all pairs of lines, with repeated rows, equal doc_ids of different texts, and rows without one."""
+    more = [(7, rows[0][1]), (7, (rows[9][1] or "") + "\n" + (rows[4][1] or "")), (9, rows[9][1].replace("w1", "w2")), (2, rows[1][1])]
+    known = [*rows, *more]
+    for least, shortest in ((8, None), (8, 1), (3, 2)):
+        want = brute.line_dedup(known, least, shortest or least)
+        got = line_dedup.dedup(frame(spark, known), least, shortest).collect()
+        assert sorted(str((r.doc_id, r.text or "", r.n_exact, r.n_near)) for r in got) == sorted(map(str, want))
+    assert sum(r.n_near for r in got) > 5 and sum(r.n_exact for r in got) > 5
+
+
+def test_lines_that_share_a_half_or_a_variant_are_split(spark):
+    """Very many distinct lines with one half, and with one placed variant, in common: found all, and
+    by joins and partial sums alone, which Spark can split, with no window over a key."""
+    half = "one two three four five"
+    rows = [(i, f"{half} six seven x{i} y{i} z{i}") for i in range(3000)] + [(10000 + i, f"{half} six seven eight nine v{i}") for i in range(3000)]
+    df = frame(spark, rows).repartition(8)
+    out = line_dedup.dedup(df).select("doc_id", "n_near")
+    assert out.where("n_near > 0").count() == 2999 and out.where("n_near > 0 AND doc_id <= 10000").isEmpty()
+    keys = spark.createDataFrame([(1, 0, i, i, 0) for i in range(10)], "key long, kind byte, h long, doc_id long, line int")
+    for made in (line_dedup.near_pairs(keys), ngram_jaccard.hubs(keys.select("key", F.col("h").alias("d")))):
+        assert "Window" not in made._jdf.queryExecution().toString()
+        assert made.count() == 9
 
 
 def test_short_lines_are_compared_as_equal(spark, tmp_path):
@@ -260,6 +292,31 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.identify(df.where("lang IS NULL")).collect()} == {"und"}
 
 
+def test_kernel_against_a_plain_one():
+    """The classifier's scores are those of ridge regression on the kernel matrix, computed from sets of n-grams."""
+    import numpy as np
+
+    rng = random.Random(7)
+    parts = {"aa": ["th", "ing"], "bb": ["sch", "ung"], "cc": ["eau", "oi"], "dd": ["ska", "ov"], "ee": ["zz", "ij"]}
+    texts, langs = zip(*[(" ".join("".join(rng.choice(parts[x]) for _ in range(3)) for _ in range(6)), x) for x in list(parts) * 12], strict=True)
+    model = language_id.Classifier(list(texts), list(langs), landmarks=4)
+    sets = [set(language_id.grams(t).tolist()) for t in texts]
+    z = [i for x in parts for i in [k for k, y in enumerate(langs) if y == x][:4]]
+    known = set().union(*(sets[i] for i in z))
+    k = lambda a, b: len(a & b & known) / max(1, len(a & known) * len(b & known)) ** 0.5
+    kz = np.array([[k(sets[i], sets[j]) for j in z] for i in z])
+    kx = np.array([[k(s, sets[j]) for j in z] for s in sets])
+    values, vectors = np.linalg.eigh(kz)
+    good = values > 1e-6 * values.max()
+    f = kx @ (vectors[:, good] / np.sqrt(values[good]))
+    y = np.array([[1.0 if x == c else -1.0 for c in sorted(parts)] for x in langs])
+    fc = f - f.mean(0)
+    w = np.linalg.solve(fc.T @ fc + 1e-2 * len(f) / 100 * np.eye(f.shape[1]), fc.T @ (y - y.mean(0)))
+    assert np.abs(model.scores(list(texts)) - (fc @ w + y.mean(0))).max() < 0.05
+    assert [model.predict([t])[0][0] for t in texts] == list(langs)
+    assert model.predict(["½ ² ③", "12 _", "", None, "1a"])[0][:4] == ["und"] * 4 and model.predict(["1a"])[0] != ["und"]
+
+
 def test_html_against_the_template():
     page = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header class="site">Top</header><nav><ul><li><a href="/a">a</a></li></ul></nav><!-- ad --><div class="ad">Buy.</div><article><h1>One &amp; two</h1><p><b>First para.<br><p>Second &eacute; &#39;x&#39;  y.</p><p>Short.</p></article><div class="comments"><p>Nice article, thank you very much for all of it.</p></div><form>Send</form><footer>&copy; x</footer></body></html>'
     assert html_text.main_text(page) == brute.article(page) == "One & two First para. Second é 'x' y. Short."

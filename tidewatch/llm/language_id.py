@@ -7,7 +7,8 @@ regression against the rest. All of it after a text's 0/1 row of n-grams is one
 of texts is scored by one matrix product.
 
 The classifier is fitted on ``TRAIN_ROWS`` labelled texts for each language, about, chosen by a
-hash; everything else covers all rows.
+hash, and on ``TRAIN_CHARS`` characters of each at most; everything else covers all rows and whole texts. The fit
+keeps one block of rows of n-grams at a time, so the driver's memory grows with languages and landmarks only.
 """
 
 from __future__ import annotations
@@ -22,15 +23,22 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import arrow_map, table
 
 SPECTRUM, FEATURE_BITS = 3, 18
-#: Labelled texts and landmarks for each language, about; the ridge; languages at most.
-TRAIN_ROWS, LANDMARKS, RIDGE, LANGUAGES = 300, 40, 1e-2, 200
+#: Labelled texts and landmarks for each language, about; the ridge; characters of a text that is learned from.
+TRAIN_ROWS, LANDMARKS, RIDGE, TRAIN_CHARS = 300, 40, 1e-2, 20_000
+#: Training texts that are one dense block of the fit.
+BLOCK = 512
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+WORD = re.compile(r"[^\W\d_]")
 _M = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
 #: Code points below 0x250 that are no letters count as a space.
 _PLAIN = np.array([c if chr(c).isalpha() else 32 for c in range(0x250)], np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; a fraction or a raised digit is none, though it is a word's part."""
+    return any(m[0].isalpha() for m in WORD.finditer(text))
+
+
 def grams(text: str) -> np.ndarray:
     """Hashed n-grams of a whole text, with repeats."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
@@ -55,20 +63,22 @@ class Classifier:
         self.column = np.full(1 << FEATURE_BITS, -1, np.int32)
         self.column[present] = np.arange(present.sum())
         self.width = int(present.sum())
-        x = self.rows(texts)
-        x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-        z = x[chosen]
+        z = self.normed([texts[i] for i in chosen])
         values, vectors = np.linalg.eigh((z @ z.T).astype(float))
         good = values > 1e-6 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])  # K(Z, Z)^(-1/2), up to a rotation
-        features = (x @ z.T) @ root
+        features = np.concatenate([self.normed(texts[i : i + BLOCK]) @ z.T for i in range(0, len(texts), BLOCK)]) @ root
         mean = features.mean(0)
         target = np.where(y[:, None] == np.arange(len(self.langs)), 1.0, -1.0)
         centred = features - mean
-        w = np.linalg.solve(centred.T @ centred + ridge * len(x) / 100 * np.eye(centred.shape[1]), centred.T @ (target - target.mean(0)))
+        w = np.linalg.solve(centred.T @ centred + ridge * len(texts) / 100 * np.eye(centred.shape[1]), centred.T @ (target - target.mean(0)))
         self.weights = (z.T @ (root @ w)).astype(np.float32)
         self.bias = (target.mean(0) - mean @ w).astype(np.float32)
 
+    def normed(self, texts: list[str]) -> np.ndarray:
+        x = self.rows(texts)
+        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
     def rows(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.width + 1), np.float32)
         for i, text in enumerate(texts):
@@ -80,7 +90,7 @@ class Classifier:
         return (x @ self.weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and has_letter(t)]
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         for at in range(0, len(known), 256):
             part = known[at : at + 256]
@@ -99,16 +109,11 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Classifier | None:
     """A classifier from the labelled texts of ``docs`` that are not held out; None without any.
     Of languages with many, a share by hash that gives ``rows`` on average."""
-    known = docs.where(~held_out(docs["doc_id"]) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return None
-    chosen = F.lit(False)
-    for r in counts:
-        share = int(min(1.0, rows / r["count"]) * 1_000_000)
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share))
-    sample = sorted(known.where(chosen).collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    sample = [r for r in sample if LETTER.search(r["text"])]
+    known = docs.where(~held_out(docs["doc_id"]) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.substring("text", 1, TRAIN_CHARS).alias("text"))
+    # One row a language.
+    shares = known.groupBy("lang").agg(F.floor(F.least(F.lit(1.0), rows / F.count(F.lit(1))) * 1_000_000).alias("share"))
+    chosen = known.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).select("doc_id", "lang", "text")
+    sample = sorted(r for r in chosen.collect() if has_letter(r["text"]))
     return Classifier([r["text"] for r in sample], [r["lang"] for r in sample]) if sample else None
 
 

@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import LOWER, MASK_BITS, SPACE_CLASS, UPPER, keep, let, mask_of, pieces, table
@@ -77,17 +76,19 @@ def _lines(text: bytes | None, least: int):
 
 
 def line_rows(docs: DataFrame, least: int, shortest: int) -> DataFrame:
-    """(h, doc_id, line, halves) of the lines with ``shortest`` words or more; those with fewer than
-    ``least`` have no halves and so can only be equal to another line."""
+    """(h, doc_id, row, line, halves) of the lines with ``shortest`` words or more; those with fewer than
+    ``least`` have no halves and so can only be equal to another line. ``row`` tells rows with an
+    equal doc_id apart, by a hash of the text."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch):
-                h, ids, at, keys, ends = [], [], [], [], [0]
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                h, ids, rows, at, keys, ends = [], [], [], [], [], [0]
+                for doc_id, row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
                     for k, words in _lines(text, shortest):
                         h.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
                         ids.append(doc_id)
+                        rows.append(row)
                         at.append(k)
                         if len(words) >= least:
                             keys += halves(words)
@@ -95,10 +96,10 @@ def line_rows(docs: DataFrame, least: int, shortest: int) -> DataFrame:
                 if h:
                     offsets = pa.array(ends, pa.int32())
                     signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, keys)]
-                    yield pa.RecordBatch.from_arrays([signed[0], pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.ListArray.from_arrays(offsets, signed[1])], names=["h", "doc_id", "line", "halves"])
+                    yield pa.RecordBatch.from_arrays([signed[0], pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.ListArray.from_arrays(offsets, signed[1])], names=["h", "doc_id", "row", "line", "halves"])
 
-    some = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return some.mapInArrow(run, "h long, doc_id long, line int, halves array<long>")
+    some = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
+    return some.mapInArrow(run, "h long, doc_id long, row long, line int, halves array<long>")
 
 
 def word_rows(docs: DataFrame, least: int, mask: np.ndarray) -> DataFrame:
@@ -147,12 +148,13 @@ def variant_rows(lines: DataFrame) -> DataFrame:
 
 
 def near_pairs(keys: DataFrame) -> DataFrame:
-    """(h, other): each line and an earlier one within the bound, the earliest of each group."""
-    placed = keys.where("kind = 0")
-    order = W.partitionBy("key").orderBy("doc_id", "line", "h").rowsBetween(W.unboundedPreceding, W.currentRow)
-    replaced = placed.select("h", F.first("h").over(order).alias("other"))
+    """(h, other): each line and an earlier one within the bound, the earliest of each group. The
+    earliest is found by partial aggregation and joined back, so that large groups can be split."""
+    placed = keys.where("kind = 0").select("key", "h", F.struct("doc_id", "line").alias("at"))
+    first = placed.groupBy("key").agg(F.min(F.struct("at", "h")).alias("first"), F.min("h").alias("low"), F.max("h").alias("high")).where("low < high")
+    replaced = placed.join(first.select("key", "first"), "key").where(F.col("at") > F.col("first.at")).select("h", F.col("first.h").alias("other"))
     whole = keys.where("kind = 2").select("key", F.col("h").alias("y"), F.struct("doc_id", "line").alias("y_at"))
-    added = keys.where("kind = 1").select("key", F.col("h").alias("x"), F.struct("doc_id", "line").alias("x_at")).join(whole, "key")
+    added = keys.where("kind = 1").select("key", F.col("h").alias("x"), F.struct("doc_id", "line").alias("x_at")).join(whole, "key").where("x_at <> y_at")
     later = F.col("x_at") > F.col("y_at")
     added = added.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("h"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("other"))
     return replaced.unionByName(added).where("h <> other").distinct()
@@ -171,22 +173,21 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS, shortest: int | None = None) -> DataFrame:
-    """(doc_id, line, near): the lines of ``docs`` that an earlier line makes superfluous; near:
-    by one edit, else it is equal."""
+    """(doc_id, row, line, near): the lines of ``docs`` that an earlier line makes superfluous; near:
+    where such a line first stands it is within one edit of an earlier one, else it is equal."""
     lines = keep(line_rows(docs, least, least if shortest is None else shortest), "lines")
     firsts = keep(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("halves").alias("halves")), "firsts")
-    by_half = W.partitionBy("half").orderBy("h")
     half = firsts.select("h", F.explode("halves").alias("half"))
-    near = lambda f: F.coalesce(f("h").over(by_half) != F.col("h"), F.lit(False))
-    met = half.select("h", (near(F.lag) | near(F.lead)).alias("met")).where("met").select("h").distinct()
+    several = half.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("half")
+    met = half.join(several, "half").select("h").distinct()
     met = keep(met.join(firsts, "h").select("h", "at.doc_id", "at.line"), "met")
     words = keep(met.join(word_rows(docs, least, mask_of(met, "h")), "h"), "words")
     later = verified(near_pairs(keep(variant_rows(words), "variants")), words)
     # Written, so that the join with all lines is one of its own, whose frequent lines Spark splits.
     known = firsts.select("h", "at").join(later.withColumn("near", F.lit(True)), "h", "left").select("h", "at", F.coalesce("near", F.lit(False)).alias("near"))
     known = keep(known, "known")
-    spots = lines.select("h", "doc_id", "line", F.struct("doc_id", "line").alias("own")).join(known, "h")
-    return spots.where(F.col("near") | (F.col("own") != F.col("at"))).select("doc_id", "line", "near").distinct()
+    spots = lines.select("h", "doc_id", "row", "line", F.struct("doc_id", "line").alias("own")).join(known, "h")
+    return spots.where(F.col("near") | (F.col("own") != F.col("at"))).select("doc_id", "row", "line", "near").distinct()
 
 
 def dedup(docs: DataFrame, least: int = MIN_WORDS, shortest: int | None = None) -> DataFrame:
@@ -198,15 +199,16 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS, shortest: int | None = None)
     stay. Earlier means a smaller doc_id, then a smaller line number; a line goes if any earlier
     line is within the bound, whether that one stays or not. Nulls: a null text stays null and
     has no lines; rows without a doc_id stay as they are and are compared with nothing. Rows with
-    an equal doc_id are one document: ties between them keep both. Without documents the result
+    an equal doc_id count as equally early: lines with the same number in them do not remove each other. Without documents the result
     is empty. Clashing columns: those of ``docs`` that are named like a new one give way.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
     removed = duplicate_lines(docs.select("doc_id", "text"), least, shortest)
-    by_doc = removed.groupBy("doc_id").agg(F.collect_set(F.when(F.col("near"), F.col("line"))).alias("_near"), F.collect_set(F.when(~F.col("near"), F.col("line"))).alias("_exact"))
+    by_doc = removed.groupBy("doc_id", "row").agg(F.collect_set(F.when(F.col("near"), F.col("line"))).alias("_near"), F.collect_set(F.when(~F.col("near"), F.col("line"))).alias("_exact"))
     none = F.array().cast("array<int>")
     count: Column = F.size(F.split("text", "\n"))
-    joined = docs.select(*names).join(by_doc, "doc_id", "left").withColumns({c: F.coalesce(c, none) for c in ("_near", "_exact")})
+    by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_near", "_exact")
+    joined = docs.select(*names).join(by_doc, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left").withColumns({c: F.coalesce(c, none) for c in ("_near", "_exact")})
     gone = joined.withColumn("_gone", F.sort_array(F.concat("_near", "_exact")))
     # The kept lines are those between the removed ones.
     lines, cut = F.split("text", "\n"), F.col("_gone")

@@ -187,20 +187,20 @@ def set_rows(docs: DataFrame, size: int, mask: np.ndarray) -> DataFrame:
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(key, d): the keys that several sets have, without those that a set can do without."""
-    order = W.partitionBy("key").orderBy("d")
-    whole = W.partitionBy("key")
-    n = F.count(F.lit(1)).over(whole)
-    rows = keys.select("key", "d", "room", n.alias("n"), F.lag("d").over(order).alias("before"))
-    rows = keep(rows.where((F.col("n") > 1) & (F.col("before").isNull() | (F.col("before") != F.col("d")))).drop("before"), "shared")
+    """(key, d): the keys that occur several times, without those that a set can do without. Keys are
+    counted by partial aggregation and joined back, so that a key of very many sets can be split.
+    A set that several tasks have counts once for each; all sets take the same counts as order."""
+    keys = keep(keys, "keys")
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = keep(keys.join(several, "key").dropDuplicates(["key", "d"]), "shared")
     rank = F.row_number().over(W.partitionBy("d", "room").orderBy(F.desc("n"), "key"))
     return rows.withColumn("rank", rank).where(F.col("rank") > F.shiftright("room", 1)).select("key", "d")
 
 
 def hubs(rows: DataFrame) -> DataFrame:
     """(key, hub, d): each set of a key's group beside the group's smallest, the hub."""
-    order = W.partitionBy("key").orderBy("d")
-    return rows.select("key", F.first("d").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("hub"), "d").where("hub <> d")
+    least = rows.groupBy("key").agg(F.min("d").alias("hub"), F.max("d").alias("high")).where("hub < high").select("key", "hub")
+    return rows.join(least, "key").where("hub <> d").select("key", "hub", "d")
 
 
 def within_reach(nx: Column, sx: Column, ny: Column, sy: Column, percent: int) -> Column:

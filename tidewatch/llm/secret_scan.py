@@ -44,6 +44,8 @@ class CharClass:
 CLASSES = [
     CharClass("random_hex", r"[0-9A-Fa-f]{20,}", 20, 2.9, 2),
     CharClass("random_base64", r"[A-Za-z0-9+/=_-]{24,}", 24, 3.9, 3),
+    CharClass("random_small", r"[a-z0-9]{24,}", 24, 3.7, 2),
+    CharClass("random_capital", r"[A-Z0-9]{24,}", 24, 3.7, 2),
 ]
 KINDS = ["assign", "access", "hex", *(c.kind for c in CLASSES)]
 #: What is known to be harmless though it looks random.
@@ -93,15 +95,26 @@ def scan(text: str, classes: list[CharClass] = CLASSES, allow: re.Pattern = ALLO
     base.sort()
     added: list[tuple[int, int, int]] = []
     for k, c in enumerate(classes, 3):
+        new = []
         for m in re.finditer(c.pattern, text):
             run = m[0]
             if bool(re.search("[0-9]", run)) + bool(re.search("[A-Z]", run)) + bool(re.search("[a-z]", run)) < c.kinds or allow.fullmatch(run):
                 continue
-            for a, b in dense_windows(run, c.window, c.bits):
-                span = (m.start() + a, k, m.start() + b)
-                if not any(x[0] < span[2] and span[0] < x[2] for x in (*base, *added)):
-                    added.append(span)
-    return base, sorted(added)
+            new += [(m.start() + a, k, m.start() + b) for a, b in dense_windows(run, c.window, c.bits)]
+        added = sorted([*added, *apart(new, sorted([*base, *added]))])
+    return base, added
+
+
+def apart(new: list[tuple[int, int, int]], known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of ``new`` that overlap none of ``known``; both are ordered, and one walk over both does."""
+    out, i, reach = [], 0, 0  # reach: the furthest end of the known spans that start before the new one ends
+    for span in new:
+        while i < len(known) and known[i][0] < span[2]:
+            reach = max(reach, known[i][2])
+            i += 1
+        if reach <= span[0]:
+            out.append(span)
+    return out
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
