@@ -438,10 +438,10 @@ def test_chunk_bounds_follow_the_rolling_hash():
 
 
 def test_urls(spark):
-    urls = ["http://a.com/x", "https://Example.com/en/1", "http://www.example.com/en/", "http://m.spam-farm.example.org/es/750?page=2&ref=x", "ftp://x.net/es/1", "http://net/fr/", "//nothing", None, "", "http://spam-farm.example.org", "http://notspam-farm.example.org/", "http://org/a?b://c", "a://b://c", "http://x.org#f/g"]
+    urls = ["http://a.com/x", "https://Example.com/en/1", "http://www.example.com/en/", "http://m.spam-farm.example.org/es/750?page=2&ref=x", "ftp://x.net/es/1", "http://net/fr/", "//nothing", None, "", "http://spam-farm.example.org", "http://notspam-farm.example.org/", "http://org/a?b://c", "a://b://c", "http://x.org#f/g", *(f"http://{a}{site}.example.{end}/x" for site in ("ads-track", "cheap-pills", "adult-x") for end in ("com", "net", "org") for a in ("", "m.", "not"))]
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in [*enumerate(urls), (0, urls[0]), (None, "http://x.org/")]], "page_id long, url string, host string, rule string")
     got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, url_filter.listed_frame(spark)).collect()}
-    listed = re.compile(r"(^|.*\.)(adult-x|casino-win|free-bets|spam-farm)\.example\.(com|net|org)$")
+    listed = re.compile(r"(^|.*\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$")
     want = set()
     for i, u in [*enumerate(urls), (None, "http://x.org/")]:
         rest = u.split("://", 1)[1] if u and "://" in u else ""
@@ -471,3 +471,8 @@ def test_empty_tables(spark, docs):
         assert f(none).count() == 0, f
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontamination.judge(none, bench).count() == 0
+    pages = spark.createDataFrame([(1, "http://spam-farm.example.org/", "<p>x</p>")], "page_id long, url string, html string")
+    listed = url_filter.listed_frame(spark)
+    assert html_text.extract(pages.limit(0)).isEmpty() and url_filter.judge(pages.limit(0), listed).isEmpty()
+    assert [r.verdict for r in url_filter.judge(pages, listed.limit(0)).collect()] == ["allow"]
+    assert [r.verdict for r in url_filter.judge(pages, listed).collect()] == ["block"]

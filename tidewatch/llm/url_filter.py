@@ -2,9 +2,9 @@
 
 Only DataFrame functions. A url's candidates are its host and all parent domains, each with every
 prefix of its path that ends in ``/`` and with the whole path. The filter has blocks of eight
-64-bit words; a key sets one bit in each word of its block. It reaches the rows as one scalar
-subquery of at most ``MAX_BLOCKS`` blocks (1 MB), whatever the list's size: a longer list only
-lets more false candidates pass, and the exact join with the list takes those away.
+64-bit words; a key sets one bit in each word of its block. It grows with the list and reaches the
+rows as one scalar subquery of at most ``MAX_BLOCKS`` blocks (16 MB): a list of more than some 8
+million entries lets more false candidates pass, and the exact join takes those away.
 """
 
 from __future__ import annotations
@@ -22,13 +22,14 @@ RULES = [
     ("block", "net/es/"),
     ("block", "net/fr/"),
 ]
-#: Listed canonical URLs (hosts with all their subdomains and paths).
-LISTED = ["adult-x.example.com/", "adult-x.example.net/", "adult-x.example.org/",
-          "casino-win.example.com/", "casino-win.example.net/", "casino-win.example.org/",
-          "free-bets.example.com/", "free-bets.example.net/", "free-bets.example.org/",
-          "spam-farm.example.com/", "spam-farm.example.net/", "spam-farm.example.org/"]
+# Sites of the list, each under all three endings. The list itself is a parameter of ``judge``.
+SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+ENDINGS = ["com", "net", "org"]
+#: Canonical URLs (hosts with all their subdomains, and paths).
+LISTED = [f"{site}.example.{ending}/" for site in SITES for ending in ENDINGS]
 WORDS = 8
-MAX_BLOCKS = 1 << 14
+#: 16 MB, which holds about 8 million entries at ``BITS_PER_KEY``.
+MAX_BLOCKS = 1 << 18
 BITS_PER_KEY = 16
 
 
