@@ -151,6 +151,19 @@ def test_jaccard_words_lose_no_link():
         assert keys[0] & keys[1] or change == 0
 
 
+def test_keys_of_many_sets_are_salted(spark):
+    """A key that very many sets have is dealt by salts, and is found as shared for each of them."""
+    texts = [(i, "one two three four five six seven eight nine ten eleven twelve " * 1 + " ".join(f"c{k}" for k in range(60)) + f" x{i}") for i in range(500)]
+    df = frame(spark, texts).repartition(3)
+    keys = ngram_jaccard.key_rows(df, 4, 85).persist()
+    group = keys.groupBy("key", "salt").count().where("salt = 0").agg(F.max("count").alias("n")).first()["n"]
+    assert keys.groupBy("key").count().agg(F.max("count").alias("n")).first()["n"] > 400 and group <= 3 * ngram_jaccard.FREE  # one shingle in twelve or so flips a bit of a word
+    rows = ngram_jaccard.shared_keys(keys)
+    want = keys.groupBy("key").agg(F.countDistinct("d").alias("n")).where("n > 1").select("key")
+    assert rows.select("key").distinct().exceptAll(want).isEmpty() and rows.select("d").distinct().count() == 500
+    assert {r.component_id for r in ngram_jaccard.find(df).collect()} == {0}
+
+
 def test_first_of_each_keeps_one(docs, rows):
     kept = ngram_jaccard.first_of_each(docs).collect()
     ids = [r.doc_id for r in kept if r.doc_id is not None]

@@ -41,6 +41,8 @@ PERCENT = 85
 WORD_BITS = 20
 #: Bits of a hash that place a shingle in a short sketch.
 SHORT = 40
+#: Rows of a batch that have one key without a salt, two at least; salts of those beyond.
+FREE, SALTS = 2, 4096
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -142,23 +144,25 @@ def _sets(docs: DataFrame, size: int, mask: np.ndarray | None, emit, schema: str
         seen: set[int] = set()
         for batch in batches:
             for part in pieces(batch):
-                found = []
+                found = {}
                 for tokens in shingle_sets(part.column(0).cast(pa.binary()).to_pylist(), size):
                     d = digest(tokens)
                     if not len(tokens) or d in seen or held is not None and not held.value[d >> (64 - MASK_BITS)]:
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(d)
-                    found.append((d, tokens))
+                    found[d] = tokens
                 if found:
-                    yield emit(found)
+                    yield emit(list(found.items()))
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def key_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(key, d, room): the keys of all sets; room is twice how many of its keys a set can do
-    without, and 1 more for those in the next band."""
+    """(key, salt, d, room): the keys of all sets; room is twice how many of its keys a set can do
+    without, and 1 more for those in the next band. Of the rows of a batch with one key, those
+    after the first ``FREE`` have a salt, so that a key of very many sets is dealt to many tasks;
+    a salted key is in several sets for certain."""
 
     def emit(found):
         limits = bands(max(len(t) for _, t in found), percent)
@@ -170,9 +174,16 @@ def key_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 ds.append(d)
                 rooms.append(2 * room + band)
         ds, rooms = np.repeat(np.array(ds, np.uint64), n), np.repeat(np.array(rooms, np.int32), n)
-        return pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), _signed(ds), pa.array(rooms)], names=["key", "d", "room"])
+        flat = np.concatenate(keys)
+        order = np.argsort(flat, kind="stable")
+        first = np.append(True, flat[order][1:] != flat[order][:-1])[: len(flat)]
+        at = np.arange(len(flat))
+        nth = np.empty(len(flat), np.int64)
+        nth[order] = at - np.maximum.accumulate(np.where(first, at, 0))
+        salts = np.where(nth < FREE, 0, 1 + (ds % np.uint64(SALTS)).astype(np.int64)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([_signed(flat), pa.array(salts), _signed(ds), pa.array(rooms)], names=["key", "salt", "d", "room"])
 
-    return _sets(docs, size, None, emit, "key long, d long, room int")
+    return _sets(docs, size, None, emit, "key long, salt int, d long, room int")
 
 
 def set_rows(docs: DataFrame, size: int, mask: np.ndarray) -> DataFrame:
@@ -187,14 +198,17 @@ def set_rows(docs: DataFrame, size: int, mask: np.ndarray) -> DataFrame:
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(key, d): the keys that occur several times, without those that a set can do without. Keys are
-    counted by partial aggregation and joined back, so that a key of very many sets can be split.
-    A set that several tasks have counts once for each; all sets take the same counts as order."""
-    keys = keep(keys, "keys")
-    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = keep(keys.join(several, "key").dropDuplicates(["key", "d"]), "shared")
+    """(key, d): the keys that several sets have, without those that a set can do without. Most keys
+    are in one set and go in one pass by key and salt; the rest is counted by partial aggregation
+    and joined back, so that a key of very many sets can be split."""
+    group = W.partitionBy("key", "salt")
+    before = F.lag("d").over(group.orderBy("d"))
+    rows = keys.select("key", "salt", "d", "room", F.min("d").over(group).alias("low"), F.max("d").over(group).alias("high"), before.alias("before"))
+    rows = rows.where(((F.col("salt") > 0) | (F.col("low") < F.col("high"))) & (F.col("before").isNull() | (F.col("before") != F.col("d"))))
+    rows = keep(rows.select("key", "d", "room"), "shared")
+    counted = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
     rank = F.row_number().over(W.partitionBy("d", "room").orderBy(F.desc("n"), "key"))
-    return rows.withColumn("rank", rank).where(F.col("rank") > F.shiftright("room", 1)).select("key", "d")
+    return counted.withColumn("rank", rank).where(F.col("rank") > F.shiftright("room", 1)).select("key", "d")
 
 
 def hubs(rows: DataFrame) -> DataFrame:
