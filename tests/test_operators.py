@@ -203,3 +203,28 @@ def test_permutation_importance(spark):
     assert sorted(col(moved, "noise", "id")) == sorted(col(df, "noise", "id")) and col(moved, "noise", "id") != col(df, "noise", "id")
     out = {r.feature: r for r in importance.permutation_importance(df, ["good", "noise"], "y", ["id"], repeats=2, trees=5).collect()}
     assert out["good"].importance > 0.2 > abs(out["noise"].importance) and out["good"].forest > out["noise"].forest
+
+
+def test_quantiles_by_ranks(spark):
+    """Nulls, ties, one value, no value, and many more values than parts."""
+    import numpy as np
+    from tidewatch.operators.ranks import quantiles
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=3000).round(3), rng.integers(0, 5, 3000)
+    rows = [(float(x), int(y) if k % 3 else None, None, 7.0) for k, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b int, c double, d double")
+    at = [0.0, 0.05, 0.37, 0.5, 0.95, 1.0]
+    r = quantiles(df, ["a", "b", "c", "d"], at).collect()
+    some = [y for _, y, _, _ in rows if y is not None]
+    assert len(r) == 1 and np.allclose(r[0]["a"], np.quantile(a, at)) and np.allclose(r[0]["b"], np.quantile(some, at))
+    assert r[0]["c"] is None and r[0]["d"] == [7.0] * 6
+    assert quantiles(df.limit(0), ["a"], at).collect()[0]["a"] is None
+
+
+def test_pages_that_never_end_are_an_error():
+    from tidewatch.sources.paged import pages
+
+    more = lambda url, headers: '{"results": [{"a": 1}], "has_more": true}'
+    with pytest.raises(ValueError, match="goes on"):
+        list(pages(more, "http://x", {}, {}, 1, most=5))

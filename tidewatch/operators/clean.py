@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.dates import from_parts, iso_week_start, to_anchor
 from tidewatch.functions.values import clip, number, shard
+from tidewatch.operators.ranks import quantiles_now
 
 # Other names of known columns; the first one present is taken.
 ALIASES = {"state_ut": "state", "preci": "rainfall", "longitute": "longitude"}
@@ -22,9 +23,10 @@ API_ALIASES = {
     "year": ["year", "ano"],
     "week": ["week", "epiweek", "se"],
 }
-#: Columns that ingestion must not have, by name or start.
+#: Columns that ingestion must not have, by name or start.
 ENGINEERED = ("outbreak_label", "threshold_", "case_lag", "case_roll", "case_trend", "case_cum", "neighbor_", "temp_anomaly", "month", "weekofyear")
 KELVIN = 273.15
+# Names of temperature columns; the first one present is taken.
 SOURCES = ["temp_kelvin", "temperature_kelvin", "temperature", "temp", "t2m"]
 
 
@@ -73,25 +75,27 @@ def coerce_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: number(c) for c in columns if c in df.columns})
 
 
-def temperature_unit(df: DataFrame, column: str) -> DataFrame:
-    """One row: whether the column is in kelvin, by its name or by its quantiles."""
-    named_k, named_c = re.search(r"kelvin|_k$", column.lower()), re.search(r"celsius|_c$", column.lower())
-    q = df.agg(F.expr(f"percentile({column}, array(0.05D, 0.5D, 0.95D))").alias("q"), F.min(column).alias("low"), F.max(column).alias("high"))
-    kelvin = F.when((F.col("q")[0] >= 150) & (F.col("q")[2] <= 360), True).when((F.col("low") >= -40) & (F.col("high") <= 80), False).otherwise(F.col("q")[1] > 120)
-    return q.select(F.coalesce(F.lit(True) if named_k else F.lit(False) if named_c else kelvin, F.lit(False)).alias("is_kelvin"))
+def is_kelvin(df: DataFrame, column: str) -> bool:
+    """Whether the column is in kelvin, by its name or else by its quantiles, which are read at once."""
+    if re.search(r"kelvin|_k$", column.lower()):
+        return True
+    if re.search(r"celsius|_c$", column.lower()):
+        return False
+    found = quantiles_now(df, [column], [0.0, 0.05, 0.5, 0.95, 1.0])[column]
+    if found is None:
+        return False
+    low, q05, q50, q95, high = found
+    return True if q05 >= 150 and q95 <= 360 else False if low >= -40 and high <= 80 else q50 > 120
 
 
 def normalize_temperature(df: DataFrame) -> DataFrame:
-    """``temperature`` in Celsius and ``temp_kelvin`` from the first source column there is. The
-    unit comes from one aggregation over the column, joined as a single broadcast row."""
+    """``temperature`` in Celsius and ``temp_kelvin`` from the first source column there is."""
     source = next((c for c in SOURCES if c in df.columns), None)
     if source is None:
         return df
     x = F.col(source)
-    out = df.crossJoin(F.broadcast(temperature_unit(df, source)))
-    kelvin = F.when(F.col("is_kelvin"), x).otherwise(x + KELVIN)
-    celsius = F.when(F.col("is_kelvin"), x - KELVIN).otherwise(x)
-    return out.withColumns({"temp_kelvin": kelvin, "temperature": celsius}).drop("is_kelvin")
+    kelvin, celsius = (x, x - KELVIN) if is_kelvin(df, source) else (x + KELVIN, x)
+    return df.withColumns({"temp_kelvin": kelvin, "temperature": celsius})
 
 
 def clean(df: DataFrame, numeric: list[str], start: int = 2009, end: int = 2019) -> DataFrame:

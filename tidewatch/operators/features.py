@@ -98,7 +98,7 @@ def group_anomaly(df: DataFrame, column: str, name: str, keys: list[str]) -> Dat
 def district_codes(df: DataFrame, district: str = "district") -> DataFrame:
     """Codes by name order from 0, -1 for null; ranked over the distinct names only."""
     codes = df.select(F.col(district).alias("_d")).where("_d IS NOT NULL").distinct().withColumn("district_code", F.dense_rank().over(W.orderBy("_d")) - 1)
-    return df.join(F.broadcast(codes), df[district] == codes["_d"], "left").withColumn("district_code", F.coalesce("district_code", F.lit(-1))).drop("_d")
+    return df.join(codes, df[district] == codes["_d"], "left").withColumn("district_code", F.coalesce("district_code", F.lit(-1))).drop("_d")
 
 
 def centroids(df: DataFrame, district: str = "district", lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.clean import KELVIN, clip_columns, normalize_temperature
+from tidewatch.operators.ranks import quantiles_now
 
 # Bounds of plausible values.
 BOUNDS = {"rainfall": (0, 2000), "temperature": (-10, 60), "temp_kelvin": (240, 340), "humidity": (0, 100)}
@@ -29,16 +30,16 @@ def with_month(df: DataFrame, date: str = "date") -> DataFrame:
 def median_impute(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """Nulls become the median of the group, else of all rows, both over the given values.
 
-    The medians are aggregated, so a group is a count map and not a partition of rows; the
-    groups' table is joined (null keys are equal), the overall row is broadcast."""
+    The overall medians are ranks over counted values. A group's median is aggregated, so a group is
+    a count map and not a partition of rows; the groups' table is joined (null keys are equal), the overall row is broadcast."""
     median = lambda c: F.expr(f"percentile({c}, 0.5D)")
-    whole = df.agg(*[median(c).alias(f"_all_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(whole))
+    # One row, read at once: as a part of the plan it would repeat all that is before it several times.
+    whole, out = quantiles_now(df, columns, [0.5]), df
     if keys:
         by = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*[median(c).alias(f"_by_{c}") for c in columns])
         cond = [out[k].eqNullSafe(by[f"_{k}"]) for k in keys]
         out = out.join(by, cond, "left")
-    fill = {c: F.coalesce(c, *([F.col(f"_by_{c}")] if keys else []), F.col(f"_all_{c}")) for c in columns}
+    fill = {c: F.coalesce(c, *([F.col(f"_by_{c}")] if keys else []), *([F.lit(whole[c][0])] if whole[c] else [])) for c in columns}
     return out.withColumns(fill).select(*df.columns)
 
 

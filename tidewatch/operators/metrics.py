@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions.values import ratio
+from tidewatch.operators.ranks import quantiles, running
 
 
 def _clean(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -35,24 +36,6 @@ def score_table(df: DataFrame, y: str, p: str) -> DataFrame:
     return _clean(df, y, p).groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
 
 
-def running(t: DataFrame, key: str, columns: list[str], descending: bool = False, parts: int = 200) -> DataFrame:
-    """``t`` with ``cum_`` columns: sums over the rows up to and with this one by ``key``.
-
-    One window over all rows would be one task. So approximate quantiles cut the key's range into
-    at most ``parts`` parts (any cut gives the same sums), a window runs within each, and what the
-    parts before hold is added; those totals are a row for each part."""
-    steps = ", ".join(f"{k / parts}D" for k in range(1, parts))
-    edges = t.agg(F.array_distinct(F.coalesce(F.expr(f"percentile_approx(`{key}`, array({steps}), 2000)"), F.array().cast("array<double>"))).alias("_edges"))
-    cut = t.crossJoin(F.broadcast(edges)).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(key)))).drop("_edges")
-    order = F.desc if descending else F.asc
-    before = W.orderBy(order("_part")).rowsBetween(W.unboundedPreceding, -1)
-    totals = cut.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
-    totals = totals.select(F.col("_part").alias("_p"), *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in columns])
-    within = W.partitionBy("_part").orderBy(order(key)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = cut.join(F.broadcast(totals), F.col("_part") == F.col("_p"))
-    return out.select(*t.columns, *[(F.sum(c).over(within) + F.col(f"_before_{c}")).alias(f"cum_{c}") for c in columns])
-
-
 def roc_auc(df: DataFrame, y: str, p: str) -> DataFrame:
     t = running(score_table(df, y, p), "p", ["neg"]).withColumn("below", F.col("cum_neg") - F.col("neg"))
     pairs = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
@@ -89,8 +72,7 @@ def _bins(df: DataFrame) -> DataFrame:
 
 def reliability_quantile(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
     rows = _clean(df, y, p)
-    steps = ", ".join(f"{k / bins}D" for k in range(bins + 1))
-    edges = rows.agg(F.array_distinct(F.expr(f"percentile(p, array({steps}))")).alias("edges"))
+    edges = quantiles(rows, ["p"], [k / bins for k in range(bins + 1)]).select(F.array_distinct("p").alias("edges"))
     return _bins(_bin(rows.crossJoin(F.broadcast(edges)), F.col("edges")))
 
 
@@ -154,10 +136,10 @@ def univariate(df: DataFrame, x: str, y: str, least: int = 12) -> DataFrame:
 def mutual_information(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     """Mutual information of a feature (in quantile bins) and a binary label, in nats."""
     rows = df.select(F.col(x).cast("double").alias("p"), F.col(y).cast("int").alias("y")).where("p IS NOT NULL AND y IS NOT NULL")
-    steps = ", ".join(f"{k / bins}D" for k in range(bins + 1))
-    edges = rows.agg(F.array_distinct(F.expr(f"percentile(p, array({steps}))")).alias("edges"), F.count(F.lit(1)).alias("n"))
-    cells = _bin(rows.crossJoin(F.broadcast(edges)), F.col("edges")).groupBy("_at", "y").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-    cells = cells.withColumns({"cx": F.sum("c").over(W.partitionBy("_at")), "cy": F.sum("c").over(W.partitionBy("y"))})
+    edges = quantiles(rows, ["p"], [k / bins for k in range(bins + 1)]).select(F.array_distinct("p").alias("edges"))
+    # From here on a row for each bin and label.
+    cells = _bin(rows.crossJoin(F.broadcast(edges)), F.col("edges")).groupBy("_at", "y").agg(F.count(F.lit(1)).alias("c"))
+    cells = cells.crossJoin(F.broadcast(cells.agg(F.sum("c").alias("n")))).withColumns({"cx": F.sum("c").over(W.partitionBy("_at")), "cy": F.sum("c").over(W.partitionBy("y"))})
     return cells.agg(F.coalesce(F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("cx") * F.col("cy")))), F.lit(0.0)).alias("mutual_info"))
 
 
@@ -169,7 +151,8 @@ def compare(a: DataFrame, b: DataFrame, on: str = "metric", value: str = "value"
 
 
 def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns scaled to 0..1 (0 where all are equal); null counts as 0. For small report tables."""
-    w = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    scaled = lambda c: F.coalesce(ratio(F.col(c) - F.min(c).over(w), F.max(c).over(w) - F.min(c).over(w)), F.lit(0.0))
-    return df.withColumns({f"{c}_scaled": scaled(c) for c in columns})
+    """Columns scaled to 0..1 (0 where all are equal); null counts as 0. The bounds are one row."""
+    low, high = (lambda c: F.col(f"_low_{c}")), (lambda c: F.col(f"_high_{c}"))
+    bounds = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))])
+    scaled = {f"{c}_scaled": F.coalesce(ratio(F.col(c) - low(c), high(c) - low(c)), F.lit(0.0)) for c in columns}
+    return df.crossJoin(F.broadcast(bounds)).withColumns(scaled).select(*df.columns, *scaled)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import folds as fold_ops
+from tidewatch.operators.ranks import quantiles
 
 # Other names of the models.
 ALIASES = {
@@ -38,7 +39,7 @@ def percentile_rule(train: DataFrame, valid: DataFrame, cases: str = "cases", di
     """``valid`` with ``score``: 1 where cases reach the district's quantile in ``train``, or that of
     all rows for a district that is not in it."""
     by = train.groupBy(F.col(district).alias("_d")).agg(F.expr(f"percentile(`{cases}`, {q}D)").alias("_t"))
-    whole = train.agg(F.expr(f"percentile(`{cases}`, {q}D)").alias("_w"))
+    whole = quantiles(train, [cases], [q]).select(F.get(cases, F.lit(0)).alias("_w"))
     out = valid.join(by, valid[district].eqNullSafe(by["_d"]), "left").crossJoin(F.broadcast(whole))
     return out.withColumn("score", F.coalesce((F.col(cases) >= F.coalesce("_t", "_w")).cast("double"), F.lit(0.0))).drop("_d", "_t", "_w")
 

@@ -49,7 +49,8 @@ def headers_of(options: dict[str, str]) -> dict[str, str]:
 
 
 def pages(fetch, base: str, query: dict[str, Any], headers: dict[str, str], size: int, pause: float = 0.0, most: int = 100_000) -> Iterator[dict]:
-    """All records; ends at an empty page, at one that says it is the last, at a url seen before."""
+    """All records; ends at an empty page, at one that says it is the last, at a url seen before. A
+    source that goes on after ``most`` pages is an error, so that no record is left out silently."""
     page, url, seen = 1, None, set()
     for _ in range(most):
         url = url or f"{base}?{urllib.parse.urlencode(query | {'page': page, 'per_page': size})}"
@@ -63,6 +64,7 @@ def pages(fetch, base: str, query: dict[str, Any], headers: dict[str, str], size
         page, url = page + 1, urllib.parse.urljoin(base, following) if following else None
         if pause:
             time.sleep(pause)
+    raise ValueError(f"{base} goes on after {most} pages")
 
 
 class Chunk(InputPartition):
