@@ -11,6 +11,17 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
+def test_stages_of_nothing_and_of_odd_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumnRenamed("n_chars", "line").withColumnsRenamed({"source": "n_words"})
+    none = docs.limit(0)
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 1), (1, "", None, "s", 1), (1, "", None, "s", 1), (None, "a b", "xx", "s", 1)], docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, SF)
+        assert out.isEmpty() and (name == "packing" or out.columns == docs.columns), name
+        kept = stage(spark, odd, SF).count()
+        assert kept == {"quality_rules": 0, "line_dedup": 5, "ngram_jaccard": 3, "decontamination": 5, "packing": 5}[name], (name, kept)
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, seen = docs.columns, []
