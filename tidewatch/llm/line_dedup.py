@@ -176,8 +176,8 @@ def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS, shortest: int | Non
     """(doc_id, row, line, near): the lines of ``docs`` that an earlier line makes superfluous; near:
     where such a line first stands it is within one edit of an earlier one, else it is equal."""
     lines = keep(line_rows(docs, least, least if shortest is None else shortest), "lines")
-    firsts = keep(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("halves").alias("halves")), "firsts")
-    half = firsts.select("h", F.explode("halves").alias("half"))
+    firsts = keep(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at")), "firsts")
+    half = lines.select("h", F.explode("halves").alias("half"))
     several = half.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("half")
     met = half.join(several, "half").select("h").distinct()
     met = keep(met.join(firsts, "h").select("h", "at.doc_id", "at.line"), "met")
