@@ -11,7 +11,7 @@ import pytest
 from tidewatch.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-CHOICE = ["early_warning", "threshold_train_fold", "causal_features", "neighbor_lag_mean", "population_cascade", "fold_ledger_rolling", "roc_auc", "reliability_quantile", "lead_time", "threshold_grid", "posterior_risk"]
+CHOICE = ["early_warning", "threshold_train_fold", "causal_features", "neighbor_lag_mean", "population_cascade", "fold_ledger_rolling", "roc_auc", "reliability_quantile", "lead_time", "threshold_grid", "posterior_risk", "leading_by_cases", "leading_by_rows", "leading_rows"]
 
 
 def value(x):

@@ -96,3 +96,24 @@ def alert_trend(df: DataFrame, date: str = "date", level: str = "alert_level") -
 
 def top_districts(df: DataFrame, metric: str, k: int = 10, district: str = "district") -> DataFrame:
     return df.groupBy(district).agg(F.avg(metric).alias("mean_value")).orderBy(F.desc_nulls_last("mean_value"), district).limit(k)
+
+
+# Columns that hold a risk, or else cases, in order of preference.
+RISK_NAMES = ("risk_score", "bayesian_risk", "risk", "probability", "outbreak_probability")
+CASE_NAMES = ("cases", "case_count")
+
+
+def leading_districts(df: DataFrame, k: int = 20, district: str = "district") -> DataFrame:
+    """(district, value): the ``k`` districts with the highest mean of the first risk column there is, else of the
+    first case column, else with the most rows. What is no number counts as 0; ties go by name."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    metric = next((c for c in RISK_NAMES + CASE_NAMES if c in df.columns), None)
+    number = F.lit(1) if metric is None else F.coalesce(F.expr(f"try_cast(`{metric}` AS DOUBLE)"), F.lit(0.0))
+    value = F.sum(number) if metric is None else F.avg(number)
+    return df.groupBy(F.col(district).cast("string").alias("district")).agg(value.cast("double").alias("value")).orderBy(F.desc("value"), "district").limit(k)
+
+
+def in_leading_districts(df: DataFrame, k: int = 20, district: str = "district") -> DataFrame:
+    """The rows of the leading districts; at most ``k`` names are broadcast."""
+    return df.join(F.broadcast(leading_districts(df, k, district).select(F.col("district").alias("_lead"))), F.col(district).cast("string") == F.col("_lead"), "left_semi")

@@ -502,6 +502,21 @@ def top_districts(spark, d):
     return decision.top_districts(panel(spark, d), "cases")
 
 
+@query("leading_by_cases", "district:s value:d", "SELECT district, avg(coalesce(cases, 0)) AS value FROM panel GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def leading_by_cases(spark, d):
+    return decision.leading_districts(panel(spark, d), 5)
+
+
+@query("leading_by_rows", "district:s value:d", "SELECT district, count(*) AS value FROM obs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def leading_by_rows(spark, d):
+    return decision.leading_districts(observed(spark, d).select("district", "date"), 5)
+
+
+@query("leading_rows", "district:s date:s cases:l", "SELECT district, date, cases FROM panel WHERE district IN (SELECT district FROM panel GROUP BY 1 ORDER BY avg(coalesce(cases, 0)) DESC, 1 LIMIT 5)")
+def leading_rows(spark, d):
+    return decision.in_leading_districts(panel(spark, d), 5)
+
+
 @query("coverage_crosstab", "district:s m1:l m2:l m12:l", "SELECT district, count(*) FILTER (month(date) = 1) AS m1, count(*) FILTER (month(date) = 2) AS m2, count(*) FILTER (month(date) = 12) AS m12 FROM obs GROUP BY 1")
 def coverage_crosstab(spark, d):
     return observed(spark, d).withColumn("m", F.concat(F.lit("m"), F.month("date"))).groupBy("district").pivot("m", [f"m{k}" for k in range(1, 13)]).count().fillna(0)
