@@ -228,3 +228,15 @@ def test_pages_that_never_end_are_an_error():
     more = lambda url, headers: '{"results": [{"a": 1}], "has_more": true}'
     with pytest.raises(ValueError, match="goes on"):
         list(pages(more, "http://x", {}, {}, 1, most=5))
+
+
+def test_leading_districts_prefer_risk_and_count_what_is_no_number_as_zero(spark):
+    rows = [("A", "0.2", 9), ("A", None, 9), ("B", "0.1", 1), ("C", "x", 50), (None, "0.9", 0)]
+    df = spark.createDataFrame(rows, "district string, risk string, cases int")
+    assert [tuple(r) for r in decision.leading_districts(df, 4).collect()] == [(None, 0.9), ("A", 0.1), ("B", 0.1), ("C", 0.0)]
+    assert [r.district for r in decision.leading_districts(df.drop("risk"), 1).collect()] == ["C"]
+    assert [r.district for r in decision.leading_districts(df.select("district"), 1).collect()] == ["A"]
+    assert decision.in_leading_districts(df.where("district IS NOT NULL"), 2).count() == 3
+    assert decision.leading_districts(df.limit(0), 3).count() == 0
+    with pytest.raises(ValueError):
+        decision.leading_districts(df, 0)
