@@ -6,9 +6,10 @@ once with and once without the word's position. Lines that differ in one place's
 variant of that place in common, a line with a word more has a variant that is the other line.
 So equal keys join what is within the bound and nothing else; the edit distance is then computed.
 
-Variants are as many as words, so a line emits them only if it can have a partner: one edit leaves
+Variants are as many as words, so a line emits them only where it can have a partner: one edit leaves
 the first or the second half of the shorter line as it is. Lines that share neither half with
-another line go no further. Keys lead from each line to the earliest one in its group only.
+another line go no further, and the others emit the variants of words outside the shared half only.
+Keys lead from each line to the earliest one in its group only.
 """
 
 from __future__ import annotations
@@ -28,18 +29,23 @@ LEFT_WORDS = 20
 # A-Z to a-z; the other bytes stay. bytes.split() cuts at the white-space bytes.
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _ODD = 0x9E3779B97F4A7C15
-_ALL = (1 << 64) - 1
+_digest = xxhash.xxh3_64_digest
 
 
-def halves(words: list[bytes]) -> list[int]:
-    """Keys of the halves that a line has in common with a line within one edit: the first and
-    the second half for a shorter line of its own length and of one word less."""
-    n, out = len(words), []
-    for s in (n, n - 1):
-        p = s // 2
-        out.append(xxhash.xxh3_64_intdigest(b" ".join(words[:p]), 2 * s))
-        out.append(xxhash.xxh3_64_intdigest(b" ".join(words[n - (s - p) :]), 2 * s + 1))
-    return out
+def _longs(digests: list[bytes]) -> pa.Array:
+    return pa.array(np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).view(np.int64))
+
+
+def halves(words: list[bytes], line: bytes) -> list[bytes]:
+    """Digests of the halves that a line (its words, joined by spaces) has in common with a line within
+    one edit: the first and the second half for a shorter line of its own length, then those for
+    one of one word less."""
+    n = len(words)
+    m = n // 2
+    at = len(b" ".join(words[:m]))
+    first, second = line[:at], line[at + 1 if m else 0 :]
+    first_less, second_less = (first, second[len(words[m]) + 1 :]) if n % 2 else (line[: max(at - len(words[m - 1]) - 1, 0)], second)
+    return [_digest(first, 2 * n), _digest(second, 2 * n + 1), _digest(first_less, 2 * n - 2), _digest(second_less, 2 * n - 1)]
 
 
 def variants(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -86,65 +92,79 @@ def line_rows(docs: DataFrame, least: int, shortest: int) -> DataFrame:
                 h, ids, rows, at, keys, ends = [], [], [], [], [], [0]
                 for doc_id, row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
                     for k, words in _lines(text, shortest):
-                        h.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+                        whole = b" ".join(words)
+                        h.append(_digest(whole))
                         ids.append(doc_id)
                         rows.append(row)
                         at.append(k)
                         if len(words) >= least:
-                            keys += halves(words)
+                            keys += halves(words, whole)
                         ends.append(len(keys))
                 if h:
                     offsets = pa.array(ends, pa.int32())
-                    signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, keys)]
-                    yield pa.RecordBatch.from_arrays([signed[0], pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.ListArray.from_arrays(offsets, signed[1])], names=["h", "doc_id", "row", "line", "halves"])
+                    yield pa.RecordBatch.from_arrays([_longs(h), pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.ListArray.from_arrays(offsets, _longs(keys))], names=["h", "doc_id", "row", "line", "halves"])
 
     some = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
     return some.mapInArrow(run, "h long, doc_id long, row long, line int, halves array<long>")
 
 
-def word_rows(docs: DataFrame, least: int, mask: np.ndarray) -> DataFrame:
-    """(h, words) of the lines that the mask lets pass; words as 64-bit hashes."""
-    held = docs.sparkSession.sparkContext.broadcast(mask)
+def word_rows(docs: DataFrame, least: int, met: DataFrame) -> DataFrame:
+    """(h, words) of the lines ``met`` (h, doc_id), read where they first stand; words as 64-bit hashes.
+    Two tables of bits say which documents and which lines may be in it, others are passed over."""
+    near = F.xxhash64("doc_id").alias("at")
+    held = docs.sparkSession.sparkContext.broadcast((mask_of(met.select(near), "at"), mask_of(met, "h")))
 
     def run(batches):
         seen: set[int] = set()
+        here, wanted = held.value
         for batch in batches:
-            for part in pieces(batch):
+            some = here[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MASK_BITS)]
+            for part in pieces(batch.filter(pa.array(some))):
                 h, rows = [], []
-                for text in part.column(0).cast(pa.binary()).to_pylist():
+                for text in part.column(1).cast(pa.binary()).to_pylist():
                     for _, words in _lines(text, least):
                         d = xxhash.xxh3_64_intdigest(b" ".join(words))
-                        if held.value[d >> (64 - MASK_BITS)] and d not in seen:
+                        if wanted[d >> (64 - MASK_BITS)] and d not in seen:
                             if len(seen) < 1_000_000:
                                 seen.add(d)
                             h.append(d)
-                            rows.append([xxhash.xxh3_64_intdigest(w) for w in words])
+                            rows.append([_digest(w) for w in words])
                 if h:
                     offsets = pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32))
-                    flat = pa.array(np.array([w for r in rows for w in r], np.uint64).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, flat)], names=["h", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, _longs([w for r in rows for w in r]))], names=["h", "words"])
 
-    return docs.where("doc_id IS NOT NULL").select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, words array<long>").dropDuplicates(["h"])
+    some = docs.where("doc_id IS NOT NULL").select(F.xxhash64(F.col("doc_id").cast("long")).alias("at"), F.col("text").cast("string").alias("text"))
+    return some.mapInArrow(run, "h long, words array<long>").dropDuplicates(["h"])
 
 
 def variant_rows(lines: DataFrame) -> DataFrame:
-    """(key, kind, h, doc_id, line): kind 0 a placed variant, 1 a variant, 2 the line itself."""
+    """(key, kind, h, doc_id, line): kind 0 a placed variant, 1 a variant, 2 the line itself. ``roles`` has
+    the bits of the halves (in their order) that the line shares; an edit lies outside of one that it
+    leaves, so a line emits only variants without a word there, and itself only for longer lines."""
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, 3, 1 << 18):
-                cols: list[list[np.ndarray]] = [[], [], []]
-                for i, words in enumerate(part.column(3).to_pylist()):
-                    placed, without, whole = variants(np.array(words, np.int64).view(np.uint64))
-                    n = len(words)
-                    cols[0] += [placed, without, np.array([whole], np.uint64)]
-                    cols[1].append(np.concatenate([np.zeros(n, np.int8), np.ones(n, np.int8), np.full(1, 2, np.int8)]))
-                    cols[2].append(np.full(2 * n + 1, i))
-                key, kind, at = (np.concatenate(c) for c in cols)
-                rows = pa.array(at)
+            for part in pieces(batch, 4, 1 << 18):
+                flat = part.column(4).flatten().to_numpy().view(np.uint64)
+                ends = np.cumsum(part.column(4).value_lengths().to_numpy())
+                keys, counts = [], []
+                for roles, a, b in zip(part.column(3).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    placed, without, whole = variants(flat[a:b])
+                    n = b - a
+                    mid, less = n // 2, (n - 1) // 2
+                    some = [
+                        placed[0 if roles & 2 else mid : n if roles & 1 else mid],
+                        without[0 if roles & 8 else less : n if roles & 4 else less],
+                        np.full(1 if roles & 3 else 0, whole, np.uint64),
+                    ]
+                    keys += some
+                    counts += map(len, some)
+                key = np.concatenate(keys)
+                kind = np.repeat(np.tile(np.arange(3, dtype=np.int8), part.num_rows), counts)
+                rows = pa.array(np.repeat(np.arange(part.num_rows), np.reshape(counts, (-1, 3)).sum(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(kind), *[part.column(k).take(rows) for k in range(3)]], names=["key", "kind", "h", "doc_id", "line"])
 
-    return lines.select("h", "doc_id", "line", "words").mapInArrow(run, "key long, kind byte, h long, doc_id long, line int")
+    return lines.select("h", "doc_id", "line", "roles", "words").mapInArrow(run, "key long, kind byte, h long, doc_id long, line int")
 
 
 def near_pairs(keys: DataFrame) -> DataFrame:
@@ -177,11 +197,11 @@ def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS, shortest: int | Non
     where such a line first stands it is within one edit of an earlier one, else it is equal."""
     lines = keep(line_rows(docs, least, least if shortest is None else shortest), "lines")
     firsts = keep(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at")), "firsts")
-    half = lines.select("h", F.explode("halves").alias("half"))
+    half = lines.select("h", F.posexplode("halves").alias("role", "half"))
     several = half.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("half")
-    met = half.join(several, "half").select("h").distinct()
-    met = keep(met.join(firsts, "h").select("h", "at.doc_id", "at.line"), "met")
-    words = keep(met.join(word_rows(docs, least, mask_of(met, "h")), "h"), "words")
+    met = half.join(several, "half").groupBy("h").agg(F.bit_or(F.expr("shiftleft(1, role)")).alias("roles"))
+    met = keep(met.join(firsts, "h").select("h", "at.doc_id", "at.line", "roles"), "met")
+    words = keep(met.join(word_rows(docs, least, met), "h"), "words")
     later = verified(near_pairs(keep(variant_rows(words), "variants")), words)
     # Written, so that the join with all lines is one of its own, whose frequent lines Spark splits.
     known = firsts.select("h", "at").join(later.withColumn("near", F.lit(True)), "h", "left").select("h", "at", F.coalesce("near", F.lit(False)).alias("near"))
