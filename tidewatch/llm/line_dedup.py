@@ -228,15 +228,18 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS, shortest: int | None = None)
     none = F.array().cast("array<int>")
     count: Column = F.size(F.split("text", "\n"))
     by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_near", "_exact")
-    joined = docs.select(*names).join(by_doc, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left").withColumns({c: F.coalesce(c, none) for c in ("_near", "_exact")})
+    # Hashed, as the removed lines are few beside the texts, which would have to be sorted.
+    joined = docs.select(*names).join(by_doc.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left").withColumns({c: F.coalesce(c, none) for c in ("_near", "_exact")})
     gone = joined.withColumn("_gone", F.sort_array(F.concat("_near", "_exact")))
-    # The kept lines are those between the removed ones.
-    lines, cut = F.split("text", "\n"), F.col("_gone")
-    before = lambda i: F.coalesce(F.get(cut, i - 1), F.lit(-1)) + 1
-    ends = F.concat(cut, F.array(F.size(lines)))
-    spans = F.flatten(F.transform(ends, lambda e, i: F.slice(lines, before(i) + 1, e - before(i))))
-    text = F.when(F.size(cut) == 0, F.col("text")).otherwise(F.array_join(spans, "\n"))
-    out = gone.withColumn("_text", text)
+
+    def rest(lines: Column, cut: Column) -> Column:
+        """The kept lines, which are those between the removed ones."""
+        before = lambda i: F.coalesce(F.get(cut, i - 1), F.lit(-1)) + 1
+        return F.array_join(F.flatten(F.transform(F.concat(cut, F.array(F.size(lines))), lambda e, i: F.slice(lines, before(i) + 1, e - before(i)))), "\n")
+
+    # The text is split once, not for each removed line.
+    less = let(F.split("text", "\n"), lambda lines: let(F.col("_gone"), lambda cut: rest(lines, cut)))
+    out = gone.withColumn("_text", F.when(F.size("_gone") == 0, F.col("text")).otherwise(less))
     return out.select(
         *[F.col("_text").alias("text") if c == "text" else F.col(c) for c in names],
         F.when(F.col("text").isNull(), 0).otherwise(count).cast("long").alias("n_lines"),
