@@ -99,11 +99,23 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def _set_bits(df: DataFrame, column: str) -> DataFrame:
+    """(w, bits): the word of 64 bits, and the bit in it, of each digest by its leading bits."""
+    at = df.select(F.shiftrightunsigned(column, 64 - MASK_BITS).alias("i"))
+    return at.select(F.shiftright("i", 6).alias("w"), F.expr("shiftleft(1L, cast(i & 63 as int))").alias("bits"))
+
+
+def bits_of(df: DataFrame, column: str) -> DataFrame:
+    """``mask_of`` as one row with an array of ``2 ** MASK_BITS / 64`` longs (1 MB), for a scalar subquery."""
+    none = df.sparkSession.range(1 << (MASK_BITS - 6)).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("bits"))
+    words = _set_bits(df, column).unionByName(none).groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    return words.agg(F.array_sort(F.collect_list(F.struct("w", "bits"))).alias("a")).select(F.col("a.bits").alias("bits"))
+
+
 def mask_of(df: DataFrame, column: str) -> np.ndarray:
     """A table of bits by the digests' leading bits; at most ``2 ** MASK_BITS / 64`` rows reach
     the driver, however many digests there are."""
-    at = df.select(F.shiftrightunsigned(column, 64 - MASK_BITS).alias("i")).select(F.shiftright("i", 6).alias("w"), F.expr("shiftleft(1L, cast(i & 63 as int))").alias("bits"))
-    rows = at.groupBy("w").agg(F.bit_or("bits").alias("bits")).collect()
+    rows = _set_bits(df, column).groupBy("w").agg(F.bit_or("bits").alias("bits")).collect()
     words = np.zeros(1 << (MASK_BITS - 6), np.uint64)
     for w, bits in rows:
         words[w] = bits % (1 << 64)

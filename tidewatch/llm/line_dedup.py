@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import LOWER, MASK_BITS, SPACE_CLASS, UPPER, keep, let, mask_of, pieces, table
+from tidewatch.llm.common import LOWER, MASK_BITS, SPACE_CLASS, UPPER, bits_of, keep, let, mask_of, pieces, table
 
 #: Lines of fewer words are not compared by edits: one word is too large a part of them.
 MIN_WORDS = 8
@@ -197,8 +197,12 @@ def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS, shortest: int | Non
     where such a line first stands it is within one edit of an earlier one, else it is equal."""
     lines = keep(line_rows(docs, least, least if shortest is None else shortest), "lines")
     firsts = keep(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at")), "firsts")
-    half = lines.select("h", F.posexplode("halves").alias("role", "half"))
+    half = lines.select("h", F.explode("halves").alias("half"))
     several = half.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("half")
+    several = keep(several, "several")
+    # The bits only spare the shuffle of most other halves; the join decides.
+    half = lines.select("h", F.posexplode("halves").alias("role", "half")).select("*", bits_of(several, "half").scalar().alias("bits"))
+    half = half.where(F.expr(f"shiftrightunsigned(get(bits, cast(shiftrightunsigned(half, {70 - MASK_BITS}) AS INT)), cast(shiftrightunsigned(half, {64 - MASK_BITS}) & 63 AS INT)) & 1 = 1")).drop("bits")
     met = half.join(several, "half").groupBy("h").agg(F.bit_or(F.expr("shiftleft(1, role)")).alias("roles"))
     met = keep(met.join(firsts, "h").select("h", "at.doc_id", "at.line", "roles"), "met")
     words = keep(met.join(word_rows(docs, least, met), "h"), "words")
