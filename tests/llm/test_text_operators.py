@@ -212,6 +212,18 @@ def test_lines_that_share_a_half_or_a_variant_are_split(spark):
         assert made.count() == 9
 
 
+def test_halves_of_lines():
+    import xxhash
+
+    for n in range(1, 12):
+        words = [b"w%d" % (k * 7) for k in range(n)]
+        want = []
+        for size in (n, n - 1):
+            p = size // 2
+            want += [xxhash.xxh3_64_digest(b" ".join(words[:p]), 2 * size), xxhash.xxh3_64_digest(b" ".join(words[n - (size - p) :]), 2 * size + 1)]
+        assert line_dedup.halves(words, b" ".join(words)) == want
+
+
 def test_short_lines_are_compared_as_equal(spark, tmp_path):
     """Every line with a word goes if an earlier one is equal; only lines of 8 words or more go by one edit."""
     long = "one two three four five six seven eight"

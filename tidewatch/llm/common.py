@@ -112,6 +112,11 @@ def bits_of(df: DataFrame, column: str) -> DataFrame:
     return words.agg(F.array_sort(F.collect_list(F.struct("w", "bits"))).alias("a")).select(F.col("a.bits").alias("bits"))
 
 
+def in_bits(bits: str, digest: str) -> Column:
+    """Whether the column ``bits`` (``bits_of``) has the bit of a digest."""
+    return F.expr(f"shiftrightunsigned(get({bits}, cast(shiftrightunsigned({digest}, {70 - MASK_BITS}) AS INT)), cast(shiftrightunsigned({digest}, {64 - MASK_BITS}) & 63 AS INT)) & 1 = 1")
+
+
 def mask_of(df: DataFrame, column: str) -> np.ndarray:
     """A table of bits by the digests' leading bits; at most ``2 ** MASK_BITS / 64`` rows reach
     the driver, however many digests there are."""

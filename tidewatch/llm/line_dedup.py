@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import LOWER, MASK_BITS, SPACE_CLASS, UPPER, bits_of, keep, let, mask_of, pieces, table
+from tidewatch.llm.common import LOWER, MASK_BITS, SPACE_CLASS, UPPER, bits_of, in_bits, keep, let, mask_of, pieces, table
 
 #: Lines of fewer words are not compared by edits: one word is too large a part of them.
 MIN_WORDS = 8
@@ -202,7 +202,7 @@ def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS, shortest: int | Non
     several = keep(several, "several")
     # The bits only spare the shuffle of most other halves; the join decides.
     half = lines.select("h", F.posexplode("halves").alias("role", "half")).select("*", bits_of(several, "half").scalar().alias("bits"))
-    half = half.where(F.expr(f"shiftrightunsigned(get(bits, cast(shiftrightunsigned(half, {70 - MASK_BITS}) AS INT)), cast(shiftrightunsigned(half, {64 - MASK_BITS}) & 63 AS INT)) & 1 = 1")).drop("bits")
+    half = half.where(in_bits("bits", "half")).drop("bits")
     met = half.join(several, "half").groupBy("h").agg(F.bit_or(F.expr("shiftleft(1, role)")).alias("roles"))
     met = keep(met.join(firsts, "h").select("h", "at.doc_id", "at.line", "roles"), "met")
     words = keep(met.join(word_rows(docs, least, met), "h"), "words")
@@ -231,9 +231,14 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS, shortest: int | None = None)
     by_doc = removed.groupBy("doc_id", "row").agg(F.collect_set(F.when(F.col("near"), F.col("line"))).alias("_near"), F.collect_set(F.when(~F.col("near"), F.col("line"))).alias("_exact"))
     none = F.array().cast("array<int>")
     count: Column = F.size(F.split("text", "\n"))
-    by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_near", "_exact")
+    by_doc = keep(by_doc.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_near", "_exact"), "removed")
+    # Documents that lose nothing are mostly told by bits and not shuffled; the join decides.
+    changed = bits_of(by_doc.select(F.xxhash64("_id").alias("at")), "at").scalar()
+    marked = docs.select(*names, changed.alias("_bits"), F.xxhash64(F.col("doc_id").cast("long")).alias("_at"))
+    whole = marked.where(~in_bits("_bits", "_at")).select(*names, none.alias("_near"), none.alias("_exact"))
     # Hashed, as the removed lines are few beside the texts, which would have to be sorted.
-    joined = docs.select(*names).join(by_doc.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left").withColumns({c: F.coalesce(c, none) for c in ("_near", "_exact")})
+    joined = marked.where(in_bits("_bits", "_at")).select(*names).join(by_doc.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left")
+    joined = joined.select(*names, *[F.coalesce(c, none).alias(c) for c in ("_near", "_exact")]).unionByName(whole)
     gone = joined.withColumn("_gone", F.sort_array(F.concat("_near", "_exact")))
 
     def rest(lines: Column, cut: Column) -> Column:
