@@ -61,9 +61,10 @@ def brier(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def _bin(df: DataFrame, edges: Column) -> DataFrame:
-    """Rows with their (low, high] bin; the first bin has its low edge too."""
-    at = F.size(F.filter(F.slice(edges, 2, F.size(edges) - 2), lambda e: e < F.col("p"))) + 1
-    return df.withColumn("_at", at).withColumns({"bin_lower": F.element_at(edges, F.col("_at")), "bin_upper": F.element_at(edges, F.col("_at") + 1)})
+    """Rows with their (low, high] bin; the first bin has its low edge too. One edge is a bin of one value."""
+    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
+    lower = F.get(edges, F.col("_at") - 1)
+    return df.withColumn("_at", F.size(F.filter(inner, lambda e: e < F.col("p"))) + 1).withColumns({"bin_lower": lower, "bin_upper": F.coalesce(F.get(edges, F.col("_at")), lower)})
 
 
 def _bins(df: DataFrame) -> DataFrame:
@@ -125,8 +126,9 @@ def univariate(df: DataFrame, x: str, y: str, least: int = 12) -> DataFrame:
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     ranked = average_rank("y", "ry", average_rank("x", "rx", rows))
     one, zero = F.when(F.col("y") == 1, F.col("x")), F.when(F.col("y") == 0, F.col("x"))
+    corr = lambda a, b: ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))  # noqa: E731 (F.corr divides by 0 where a side has one value)
     s = ranked.agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny"), F.corr("rx", "ry").alias("rho"), F.corr("x", "y").alias("r"),
+        F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny"), corr("rx", "ry").alias("rho"), corr("x", "y").alias("r"),
         F.coalesce(ratio(F.pow(F.avg(one) - F.avg(zero), 2), F.var_pop("x")), F.lit(0.0)).alias("f"),
     )
     valid = lambda c: F.when(F.col("n") < least, None).when(F.col("nx") < 2, 0.0).when(F.col("ny") < 2, None).otherwise(F.col(c))
