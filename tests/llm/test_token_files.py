@@ -81,7 +81,6 @@ def test_files_hold_all_documents_in_order(spark, tmp_path, tokenizer, per_shard
     data = rows()
     docs = spark.createDataFrame([(9, t, "x", i, 4) for i, t in data], "start long, text string, ids string, doc_id long, shard int").repartition(5)
     path = f"file://{tmp_path}/tokens"
-    (tmp_path / "tokens").mkdir()
     tf.write(docs, path, per_shard=per_shard, **limits)
     got = [(r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in tf.read(spark, path).orderBy("start").collect()]
     assert got == expected(data, tokenizer)

@@ -153,6 +153,7 @@ class FileOut:
         self.fs, where = opened(folder)
         self.name, self.width, self.shard = f"{shard:06d}-{uuid.uuid4().hex}.tok", width, shard
         self.path = f"{where}/{self.name}"
+        self.fs.create_dir(where)
         self.out = self.fs.open_output_stream(self.path)
         self.ends: list[np.ndarray] = []
         self.doc_ids: list[np.ndarray] = []
