@@ -52,12 +52,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidewatch-{spark.sparkContext.applicationId}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: it cuts the lineage, is
-    there for every executor and survives the loss of any. Deleted when the application ends."""
+    there for every executor and survives the loss of any. Deleted when the application ends.
+    With ``by``, the last column, each of its values has a folder of its own."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["url_filter", "quality_rules", "secret_scan", "sequence_packing", "decontamination", "ngram_jaccard", "language_id", "html_text", "substring_dedup", "line_dedup", "fill_in_middle", "token_files"]
+MODULES = ["url_filter", "quality_rules", "secret_scan", "sequence_packing", "decontamination", "ngram_jaccard", "language_id", "html_text", "substring_dedup", "line_dedup", "fill_in_middle", "token_files", "prefix_trie"]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _name in MODULES:
