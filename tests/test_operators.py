@@ -181,14 +181,6 @@ def test_risk_and_draws(spark):
     assert posterior.converged([{"r_hat": 1.0, "ess_bulk": 500}]) and not posterior.converged([{"r_hat": 1.2, "ess_bulk": 20}])
 
 
-def test_sampler_finds_the_means(spark):
-    df = spark.range(600).selectExpr("IF(id % 2 = 0, 'low', 'high') AS district", "cast(IF(id % 2 = 0, id % 3, 8 + id % 9) AS double) AS y")
-    draws = posterior.sample_effects(df, "y", tune=200, draws=200).persist()
-    mean = {r.parameter: math.exp(r.m) for r in draws.groupBy("parameter").agg(F.avg("value").alias("m")).collect() if r.parameter in ("low", "high")}
-    assert abs(mean["low"] - 1) < 0.25 and abs(mean["high"] - 12) < 1.5
-    assert {r.parameter for r in posterior.bulk_ess(draws).where("ess > 10").collect()} >= {"low", "high"}
-
-
 def test_last_known_neighbours(spark):
     df = spark.createDataFrame([(1, "A", 5), (2, "B", 7), (3, "A", 9), (4, "C", 1), (5, "B", 2), (6, "A", 3)], "o int, district string, cases int")
     edges = spark.createDataFrame([("A", "B"), ("A", "C"), ("B", "A")], "src string, dst string")

@@ -1,12 +1,10 @@
-"""Hierarchical risk: closed-form effects, exceedance, draws and their diagnostics, a sampler."""
+"""Hierarchical risk: closed-form effects, exceedance, draws and their summaries (the sampler is in ``hierarchical``)."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -108,91 +106,10 @@ def split_rhat(draws: DataFrame, value: str = "value") -> DataFrame:
     return g.select("parameter", F.sqrt(F.try_divide(var, F.col("within"))).alias("r_hat"))
 
 
-def bulk_ess(draws: DataFrame, value: str = "value") -> DataFrame:
-    """(parameter, ess) from the chains' autocorrelations, cut at the first negative pair."""
-
-    def ess(pdf: pd.DataFrame) -> pd.DataFrame:
-        chains = [g.sort_values("draw")[value].to_numpy(float) for _, g in pdf.groupby("chain")]
-        n = min(map(len, chains))
-        x = np.array([c[:n] - c[:n].mean() for c in chains])
-        var = (x**2).sum(1) / max(n - 1, 1)
-        means = np.array([c[:n].mean() for c in chains])
-        plus = var.mean() * (n - 1) / n + (means.var(ddof=1) if len(chains) > 1 else 0.0)
-        size = 1 << (2 * n - 1).bit_length()
-        acov = np.fft.irfft(np.abs(np.fft.rfft(x, size, axis=1)) ** 2, axis=1)[:, :n] / n
-        rho = 1 - (var.mean() - acov.mean(0) * n / max(n - 1, 1)) / plus if plus > 0 else np.zeros(n)
-        total, t = 1.0, 1
-        while t + 1 < n and rho[t] + rho[t + 1] > 0:
-            total += 2 * (rho[t] + rho[t + 1])
-            t += 2
-        return pd.DataFrame({"parameter": [pdf["parameter"].iloc[0]], "ess": [len(chains) * n / total]})
-
-    return draws.groupBy("parameter").applyInPandas(ess, "parameter string, ess double")
-
-
 def converged(diagnostics: list[dict], divergences: int = 0, depth: float = 0, r_hat: float = 1.01, ess: float = 400, most_divergences: int = 0, most_depth: float = 10) -> bool:
     return divergences <= most_divergences and depth < most_depth and all(d["r_hat"] is not None and d["r_hat"] <= r_hat and d["ess_bulk"] >= ess for d in diagnostics)
 
 
-def sample_effects(df: DataFrame, y: str, chains: int = 2, tune: int = 300, draws: int = 300, seed: int = 1, district: str = "district") -> DataFrame:
-    """Draws (parameter, chain, draw, value) of a hierarchical negative binomial: district effects
-    around a common mean, and a dispersion.
-
-    The likelihood of a district depends on its rows only by how often each count occurs. So the
-    data are aggregated to a (district, count) table first, which is what every chain reads; the
-    chains are tasks of their own and sample by random-walk Metropolis within Gibbs. The table has
-    districts times different counts rows; it is collected, so the districts must be few
-    (100,000 rows at most)."""
-    spark: SparkSession = df.sparkSession
-    table = df.groupBy(F.coalesce(F.col(district), F.lit("unknown")).alias("d"), F.round(F.coalesce(F.col(y), F.lit(0))).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    rows = table.limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("too many districts and counts for the sampler")
-    names = sorted({r["d"] for r in rows})
-    place = {d: i for i, d in enumerate(names)}
-    d, v, n = np.array([place[r["d"]] for r in rows]), np.array([r["v"] for r in rows], float), np.array([r["n"] for r in rows], float)
-    lg = np.vectorize(math.lgamma)
-
-    def chain(pdfs):
-        for pdf in pdfs:
-            for c in pdf["id"].tolist():
-                rng = np.random.default_rng([seed, c])
-                k = len(names)
-                sums = np.bincount(d, v * n, k) / np.maximum(np.bincount(d, n, k), 1)
-                a, mu, sigma, phi = np.log(sums + 0.1), 0.0, 1.0, 1.0
-                step, step_phi = np.full(k, 0.2), 0.2
-
-                def like(a, phi):
-                    m = np.exp(np.clip(a, -20, 20))[d]
-                    ll = lg(v + phi) - math.lgamma(phi) + phi * math.log(phi) - (v + phi) * np.log(m + phi) + v * np.log(m)
-                    return np.bincount(d, ll * n, k)  # noqa: B023
-
-                now, out = like(a, phi), []
-                for t in range(tune + draws):
-                    new = a + step * rng.normal(size=k)
-                    got = like(new, phi)
-                    ok = np.log(rng.random(k)) < got - now - (((new - mu) ** 2 - (a - mu) ** 2) / (2 * sigma**2))
-                    a, now = np.where(ok, new, a), np.where(ok, got, now)
-                    mu = rng.normal(a.sum() / (k + sigma**2), math.sqrt(sigma**2 / (k + sigma**2)))
-                    sigma = math.sqrt((1 + ((a - mu) ** 2).sum() / 2) / rng.gamma(1 + k / 2))
-                    p = phi * math.exp(step_phi * rng.normal())
-                    got = like(a, p)
-                    yes = math.log(rng.random()) < got.sum() - now.sum() - (1 / p - 1 / phi) + math.log(phi / p)
-                    if yes:
-                        phi, now = p, got
-                    if t < tune:
-                        step *= np.where(ok, 1.05, 0.97)
-                        step_phi *= 1.05 if yes else 0.97
-                    else:
-                        out.append((t - tune, *a, mu, sigma, 1 / phi))
-                wide = pd.DataFrame(out, columns=["draw", *names, "mu", "sigma", "alpha"])
-                long = wide.melt("draw", var_name="parameter", value_name="value")
-                long["chain"] = c
-                yield long[["parameter", "chain", "draw", "value"]]
-
-    return spark.range(chains, numPartitions=chains).mapInPandas(chain, "parameter string, chain long, draw long, value double")
-
-
 def recent_years(df: DataFrame, years: int, date: str = "date") -> DataFrame:
     last = df.agg(F.max(F.year(date)).alias("_y"))
     return df.crossJoin(F.broadcast(last)).where(F.year(date) > F.col("_y") - years).drop("_y")

@@ -9,7 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import clean, decision, features, folds, impute, labels, metrics, models, population, posterior
+from tidewatch.operators import clean, decision, features, folds, hierarchical, impute, labels, metrics, models, population, posterior
+from tidewatch.plans import profiles
 
 NUMERIC = ["cases", "rainfall", "temperature", "temp", "temp_kelvin", "t2m", "humidity", "lat", "lon"]
 
@@ -100,6 +101,36 @@ def effects_out_of_fold(df: DataFrame, plan: DataFrame, target: str = "outbreak_
     return out
 
 
+def hierarchical_risk(train: DataFrame, valid: DataFrame, covariates: list[str], sampling: Mapping[str, Any], strict: bool = False, y: str = "cases", key: tuple[str, ...] = ("district", "date")) -> tuple[DataFrame, dict[str, Any]]:
+    """(key, risk_mean, risk_q05, risk_q95) of the rows ``valid`` by the sampled model of ``train``, and its diagnostics.
+
+    ``sampling`` has the settings of ``hierarchical.fit`` (chains, tune, draws, simplified, force_full, retries) and
+    ``convergence_failure_mode``; other settings, of other samplers, count for nothing. Chains that have not converged
+    are an error or a warning as ``profiles.convergence_mode`` has it."""
+    known = {k: sampling[k] for k in ("chains", "tune", "draws", "simplified", "force_full", "retries", "seed") if sampling.get(k) is not None}
+    fitted = hierarchical.fit(train, y, covariates, **known)
+    mode, why = profiles.convergence_mode(sampling, strict)
+    profiles.enforce(fitted.diagnostics["converged"], mode)
+    rows = hierarchical.linear_draws(fitted, valid.withColumn("_threshold", posterior.resolve_threshold(valid)), [*key, "_threshold"])
+    risks = rows.withColumn("draws", F.transform("linear", lambda x: posterior.exceedance(x, F.col("_threshold"))))
+    out = posterior.draw_summary(risks).select(*key, F.col("mean").alias("risk_mean"), F.col("q05").alias("risk_q05"), F.col("q95").alias("risk_q95"))
+    return out, fitted.diagnostics | {"convergence_mode": mode, "convergence_reason": why}
+
+
+def hierarchical_out_of_fold(df: DataFrame, plan: DataFrame, covariates: list[str], base: Mapping[str, Any], given: Mapping[str, Any] | None = None, profile: str | None = None, strict: bool = False, target: str = "outbreak_label", y: str = "cases") -> tuple[DataFrame, list[dict[str, Any]]]:
+    """(district, date, fold, risk_mean, risk_q05, risk_q95) of the sampled model, fitted on each fold's training years
+    with the settings of the folds' profile (``profiles.settings``), and the diagnostics of each fold."""
+    sampling, out, found = profiles.settings(base, given, profile)["cv"], None, []
+    for fold, train, valid in folds.splits(df, plan, target):
+        part, about = hierarchical_risk(train, valid, covariates, sampling, strict, y)
+        part = part.withColumn("fold", F.lit(fold["fold"]))
+        found.append(about | {"fold": fold["fold"]})
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no fold can be trained")
+    return out, found
+
+
 def manifest(result: Result, cfg: Config) -> dict[str, Any]:
     """What a run made, for its record; each figure is one aggregation."""
     d = result.decisions.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("district").alias("districts")).first()

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import dates, values
-from tidewatch.operators import clean, decision, features, folds, impute, labels, metrics, models, population, posterior, quality
-from tidewatch.plans import bridge
+from tidewatch.operators import clean, decision, diagnostics, features, folds, held, hierarchical, impute, labels, metrics, models, population, posterior, quality
+from tidewatch.plans import bridge, pipeline
 from tidewatch.plans.bridge import full, observed, panel, scores, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -640,11 +640,33 @@ def isotonic_calibration(spark, d):
     return models.calibrate(s.where("key % 2 = 0"), s.where("key % 2 = 1"), "p", "y")
 
 
+def _means(fitted):
+    """Mean and diagnostics of every parameter, the districts' effects among them; few rows for each draw."""
+    by_district = hierarchical.district_draws(fitted).select(F.col("district").alias("parameter"), "chain", "draw", F.col("effect").alias("value"))
+    draws = held.written(fitted.common.unionByName(by_district), "draws")
+    m = draws.groupBy("parameter").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.05)).alias("q05"), F.percentile("value", F.lit(0.95)).alias("q95"))
+    return m.join(diagnostics.rank_diagnostics(draws), "parameter")
+
+
 @query("effect_sampler", "parameter:s mean:d r_hat:d ess:d")
 def effect_sampler(spark, d):
-    draws = posterior.sample_effects(panel(spark, d), "cases", tune=200, draws=200).persist()
-    m = draws.groupBy("parameter").agg(F.avg("value").alias("mean"))
-    return m.join(posterior.split_rhat(draws), "parameter").join(posterior.bulk_ess(draws), "parameter")
+    fitted = hierarchical.fit(panel(spark, d), "cases", [], simplified=True)
+    return _means(fitted).withColumnRenamed("ess_bulk", "ess")
+
+
+CLIMATE = ["rainfall", "temperature"]
+
+
+@query("hierarchical_sampler", "parameter:s mean:d q05:d q95:d r_hat:d ess_bulk:d ess_tail:d")
+def hierarchical_sampler(spark, d):
+    """District and time effects and covariates, default draws."""
+    return _means(hierarchical.fit(full(spark, d), "cases", CLIMATE))
+
+
+@query("hierarchical_risk", "district:s date:s risk_mean:d risk_q05:d risk_q95:d")
+def hierarchical_risk(spark, d):
+    p = labels.global_thresholds(full(spark, d), percentiles=(75,))
+    return pipeline.hierarchical_risk(p, p, CLIMATE, {"chains": 2, "tune": 300, "draws": 300})[0]
 
 
 @query("weekly_events", "user_id:l week:s n:l total:d", "SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
