@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.dates import season
 from tidewatch.functions.values import is_true, ratio
+from tidewatch.operators import held
 from tidewatch.operators.labels import in_order
 
 DEGENERATE = 1e-12
@@ -105,15 +106,54 @@ def centroids(df: DataFrame, district: str = "district", lat: str = "lat", lon:
     return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(district).agg(F.avg(lat).alias(lat), F.avg(lon).alias(lon))
 
 
+#: Sides of the extent are halved so often at most, and cells with up to so many places for each neighbour are searched whole.
+LEVELS, CROWD = 20, 64
+#: Places of different coordinates that are searched in one cell without looking for a finer grid.
+FEW = 2000
+
+
 def neighbours(places: DataFrame, k: int = 3, district: str = "district", lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """(src, dst, rank): the ``k`` nearest other places, ties by name. Places are the entities of
-    a panel; one side is broadcast, each place's ranking keeps ``k``."""
-    a = places.select(F.col(district).alias("src"), F.col(lat).alias("_y"), F.col(lon).alias("_x"))
-    b = places.select(F.col(district).alias("dst"), F.col(lat).alias("_v"), F.col(lon).alias("_u"))
-    dy, dx = F.col("_y") - F.col("_v"), F.col("_x") - F.col("_u")
-    d = F.sqrt(dy * dy + dx * dx)
-    pairs = a.join(F.broadcast(b), F.col("src") != F.col("dst")).select("src", "dst", d.alias("distance"))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("distance", "dst"))).where(F.col("rank") <= k)
+    """(src, dst, distance, rank): the ``k`` nearest other places, ties by name; fewer where there are fewer.
+
+    Places of equal coordinates are one point with its first ``k + 1`` names. Points are dealt to cells of a
+    grid, the finest at first whose cells are not crowded; a point meets those of its own and the eight cells
+    around. Whatever is nearer than a cell's side is among them, so a point is done when its ``k``-th neighbour
+    is; the others go on with cells of twice the side, until one cell holds all. Places without a name or
+    coordinates have no neighbours and are none; repeated rows count once."""
+    named = places.select(F.col(district).alias("name"), F.col(lat).cast("double").alias("y"), F.col(lon).cast("double").alias("x")).where("name IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").distinct()
+    rank = F.row_number().over(W.partitionBy("x", "y").orderBy("name"))
+    points = held.written(named.withColumn("r", rank), "places")
+    firsts = points.where(F.col("r") <= k + 1).groupBy("x", "y").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    firsts = held.written(firsts, "points")
+    about = firsts.agg(F.count("*").alias("n"), F.min("x").alias("x"), F.min("y").alias("y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side")).first()
+    side = max(about["side"] or 0.0, 1e-300) * (1 + 1e-9)
+    cell = lambda c, least, size: F.floor((F.col(c) - F.lit(least)) / F.lit(size))
+    level = 0
+    if about["n"] > FEW:
+        at = firsts.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")).withColumn("size", F.lit(side) / F.pow(F.lit(2.0), F.col("level")))
+        crowd = at.groupBy("level", F.floor((F.col("x") - about["x"]) / F.col("size")), F.floor((F.col("y") - about["y"]) / F.col("size"))).count().groupBy("level").agg(F.max("count").alias("n")).collect()
+        level = min([r["level"] for r in crowd if r["n"] <= CROWD * k] or [LEVELS])
+    todo, done = firsts.select("x", "y"), []
+    while True:
+        size = side / 2**level
+        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in ((-1, 0, 1) if level else (0,)) for j in ((-1, 0, 1) if level else (0,))])
+        asks = todo.withColumns({"cx": cell("x", about["x"], size), "cy": cell("y", about["y"], size), "o": F.explode(around)}).select("x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+        there = firsts.select(F.col("x").alias("u"), F.col("y").alias("v"), "names", cell("x", about["x"], size).alias("cx"), cell("y", about["y"], size).alias("cy"))
+        dy, dx = F.col("y") - F.col("v"), F.col("x") - F.col("u")
+        met = asks.join(there, ["cx", "cy"]).withColumn("distance", F.sqrt(dy * dy + dx * dx)).select("x", "y", "distance", F.explode("names").alias("dst"))
+        near = W.partitionBy("x", "y").orderBy("distance", "dst")
+        best = met.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1)
+        lists = best.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("distance", "dst"))).alias("near"))
+        # one of them can be the place itself, so k + 1 are needed; nothing nearer than a cell's side is missing
+        sure = F.lit(True) if not level else (F.size("near") > k) & (F.element_at("near", -1)["distance"] < F.lit(size * (1 - 1e-9)))
+        found = held.written(lists.withColumn("sure", sure), "near")
+        done.append(found.where("sure").select("x", "y", "near"))
+        if not level or found.where("NOT sure").isEmpty():
+            break
+        todo, level = found.where("NOT sure").select("x", "y"), level - 1
+    lists = reduce(DataFrame.unionByName, done)
+    rows = points.join(lists, ["x", "y"]).select(F.col("name").alias("src"), F.posexplode(F.slice(F.filter("near", lambda e: e["dst"] != F.col("name")), 1, k)).alias("p", "e"))
+    return rows.select("src", "e.dst", "e.distance", (F.col("p") + 1).alias("rank"))
 
 
 def neighbour_mean(df: DataFrame, edges: DataFrame, cases: str = "cases", district: str = "district", date: str = "date") -> DataFrame:
@@ -121,7 +161,7 @@ def neighbour_mean(df: DataFrame, edges: DataFrame, cases: str = "cases", distri
     observation before."""
     daily = df.groupBy(district, date).agg(F.avg(cases).alias("_c"))
     lagged = daily.withColumn("_l", F.lag("_c").over(W.partitionBy(district).orderBy(date)))
-    hit = F.broadcast(edges).join(lagged, edges["dst"] == lagged[district]).groupBy(F.col("src").alias("_s"), F.col(date).alias("_t")).agg(F.avg("_l").alias("neighbor_mean_cases"))
+    hit = edges.join(lagged, edges["dst"] == lagged[district]).groupBy(F.col("src").alias("_s"), F.col(date).alias("_t")).agg(F.avg("_l").alias("neighbor_mean_cases"))
     return df.join(hit, (df[district] == hit["_s"]) & (df[date] == hit["_t"]), "left").drop("_s", "_t")
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewatch.functions.values import is_true
 
@@ -40,10 +46,66 @@ def fixed_label(df: DataFrame, threshold: float, cases: str = "cases") -> DataFr
     return df.withColumn("outbreak_label", is_true(F.col(cases) >= threshold))
 
 
+class RunningQuantile:
+    """The quantile ``q`` of the values so far, by linear interpolation between ranks.
+
+    The values up to the lower rank are in one heap and the others in a second one, so a value costs the
+    logarithm of their number, and the two ranks are the heaps' tops. Without values it is None."""
+
+    def __init__(self, q: float) -> None:
+        self.q, self.low, self.high = q, [], []
+
+    def add(self, value: float) -> None:
+        if self.low and value < -self.low[0]:
+            heapq.heappush(self.low, -value)
+        else:
+            heapq.heappush(self.high, value)
+        rank = math.floor((len(self.low) + len(self.high) - 1) * self.q)
+        while len(self.low) > rank + 1:
+            heapq.heappush(self.high, -heapq.heappop(self.low))
+        while len(self.low) < rank + 1:
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+
+    def value(self) -> float | None:
+        if not self.low:
+            return None
+        place = (len(self.low) + len(self.high) - 1) * self.q
+        share = place - math.floor(place)
+        a = -self.low[0]
+        return a + (self.high[0] - a) * share if share > 0 else a
+
+
+def running_quantile(df: DataFrame, q: float, name: str, by: list[str], cases: str = "cases", date: str = "date") -> DataFrame:
+    """``df`` with the quantile of ``cases`` over the rows of its group up to and with this one by date, null dates last.
+
+    One shuffle and sort; a task takes its rows as a stream, group after group, in time n log n. It holds the
+    numbers of one group, whatever the other columns are. Null cases count for nothing; null keys are a group."""
+    mark = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in df.columns))  # no column begins like this
+    keys = [f"{mark}by_{i}" for i in range(len(by))]
+    carried = [c for c in df.columns if c != name]
+    schema = StructType([*df.select(*carried).schema.fields, StructField(name, DoubleType())])
+    rows = df.select(*carried, *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(cases).cast("double").alias(f"{mark}value"), F.to_date(date).alias(f"{mark}date"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.col(f"{mark}date").asc_nulls_last())
+    n = len(carried)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), RunningQuantile(q)
+        for batch in batches:
+            out = []
+            for key, x in zip(zip(*[batch.column(n + i).to_pylist() for i in range(len(keys))], strict=True), batch.column(n + len(keys)).to_pylist(), strict=True):
+                if key != now:
+                    now, state = key, RunningQuantile(q)
+                if x is not None:
+                    state.add(x)
+                out.append(state.value())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out, pa.float64())], schema=pa.schema([*list(batch.schema)[:n], pa.field(name, pa.float64())]))
+
+    return dealt.mapInArrow(work, schema)
+
+
 def past_thresholds(df: DataFrame, q: float, name: str, cases: str = "cases", district: str = "district", date: str = "date") -> DataFrame:
     """The quantile over a district's rows up to and with this one."""
-    frame = in_order(district, date).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn(name, F.expr(f"percentile(`{cases}`, {q}D)").over(frame))
+    return running_quantile(df, q, name, [district], cases, date)
 
 
 def train_windows(years: DataFrame, window: int | None = 3, start: int | None = None) -> DataFrame:
@@ -63,8 +125,9 @@ def train_thresholds(df: DataFrame, q: float, name: str, window: int | None = 3,
 
 def gap_fill(df: DataFrame, q: float, name: str, cases: str = "cases", district: str = "district", date: str = "date", full_history: bool = False) -> DataFrame:
     """Missing thresholds become past-only ones, over the missing rows or over all."""
-    window = W.partitionBy(district, *([] if full_history else [F.col(name).isNull()])).orderBy(F.col(date).asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn(name, F.coalesce(name, F.expr(f"percentile(`{cases}`, {q}D)").over(window)))
+    rows = df.withColumn("_missing", F.lit(True) if full_history else F.col(name).isNull())
+    filled = running_quantile(rows, q, "_past", [district, "_missing"], cases, date)
+    return filled.withColumn(name, F.coalesce(name, "_past")).select(*df.columns)
 
 
 def next_step_label(df: DataFrame, threshold: Column, name: str, cases: str = "cases", order: list[str] | None = None, district: str = "district") -> DataFrame:

@@ -1,20 +1,23 @@
 """Baseline models: a percentile rule, generalized linear models, trees, calibration.
 
-Spark ML fits what it has; the negative binomial is fitted by reweighted least squares, of which
-each step is one aggregation of a small cross-product matrix.
+Spark ML fits what it has; boosting is in ``boosting``; the negative binomial is fitted by reweighted least
+squares, of which each step is one aggregation of a small cross-product matrix.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators import boosting
 from tidewatch.operators import folds as fold_ops
 from tidewatch.operators.ranks import quantiles
 
@@ -24,6 +27,7 @@ ALIASES = {
     "poisson_regression": "poisson", "glm_poisson": "poisson", "nb": "negative_binomial", "negbin": "negative_binomial", "negativebinomial": "negative_binomial",
     "rf": "random_forest", "randomforest": "random_forest", "xgb": "boosted_4", "xgboost": "boosted_4", "lgbm": "boosted_6", "lightgbm": "boosted_6",
 }
+BOOSTED = {"boosted_4": boosting.LEVELS, "boosted_6": boosting.LEAVES}
 MODELS = ["percentile_rule", "logistic", "poisson", "negative_binomial", "random_forest", "boosted_4", "boosted_6"]
 
 
@@ -74,6 +78,8 @@ def fit_score(model: str, train: DataFrame, valid: DataFrame, numeric: list[str]
     t, v = (_filled(df, numeric, category) for df in (train, valid))
     if model == "negative_binomial":
         return nb_score(t, v, numeric, target)
+    if model in BOOSTED:
+        return boosted_scores(model, [(0, train, valid)], numeric, target, category, seed, trees)[0]
     n = stats["n"]
     t = t.withColumns({"_w": _weights(t, target), "_y": F.col(target).cast("double")})
     common = {"featuresCol": "_features", "labelCol": "_y"}
@@ -83,14 +89,24 @@ def fit_score(model: str, train: DataFrame, valid: DataFrame, numeric: list[str]
     elif model == "poisson":
         est = GeneralizedLinearRegression(**common, family="poisson", link="log", regParam=1e-3, maxIter=50)
         prob = 1 - F.exp(-F.col("prediction"))
-    elif model == "random_forest":
-        est = RandomForestClassifier(**common, weightCol="_w", numTrees=trees or 200, maxDepth=10, minInstancesPerNode=2, seed=seed)
     else:
-        est = GBTClassifier(**common, weightCol="_w", maxIter=trees or 300, stepSize=0.05, maxDepth=int(model[-1]), subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+        est = RandomForestClassifier(**common, weightCol="_w", numTrees=trees or 200, maxDepth=10, minInstancesPerNode=2, seed=seed)
     fitted = Pipeline(stages=[*_assembled(numeric, category), est]).fit(t)
     return fitted.transform(v).withColumn("score", prob).select(*valid.columns, "score")
 
 
+def boosted_scores(model: str, parts: list[tuple[int, DataFrame, DataFrame]], numeric: list[str], target: str, category: str | None = None, seed: int = 42, trees: int | None = None) -> dict[int, DataFrame]:
+    """By fold the validation rows with ``score``, of (fold, train, valid); all folds are fitted in the same passes."""
+    settings = replace(BOOSTED[model], seed=seed, **({"rounds": trees} if trees else {}))
+    fitted = boosting.fit([(fold, _filled(train, numeric, category)) for fold, train, _ in parts], numeric, target, category, settings)
+    out = {}
+    for fold, _, valid in parts:
+        filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_f{i}") for i, c in enumerate(numeric)] + ([F.coalesce(F.col(category).cast("string"), F.lit("__missing__")).alias("_fc")] if category else [])
+        scored = boosting.score(fitted[fold], valid.select(*valid.columns, *filled), [f"_f{i}" for i in range(len(numeric))], "_fc" if category else None, settings)
+        out[fold] = scored.select(*valid.columns, "score")
+    return out
+
+
 def _linear(x: list[Column], beta: np.ndarray) -> Column:
     out = F.lit(float(beta[0]))
     for c, b in zip(x, beta[1:], strict=True):
@@ -139,10 +155,12 @@ def nb_score(train: DataFrame, valid: DataFrame, numeric: list[str], target: str
 
 def out_of_fold(df: DataFrame, folds: DataFrame, models: list[str], numeric: list[str], target: str, key: list[str], category: str | None = None, trees: int | None = None) -> DataFrame:
     """(key, fold, model, score) of all validation rows of all yielded folds."""
-    out = None
-    for fold, train, valid in fold_ops.splits(df, folds, target):
+    out, parts = None, list(fold_ops.splits(df, folds, target))
+    together = {m: boosted_scores(m, [(f["fold"], t, v) for f, t, v in parts], numeric, target, category, trees=trees) for m in dict.fromkeys(map(resolve, models)) if m in BOOSTED}
+    for fold, train, valid in parts:
         for m in models:
-            part = fit_score(m, train, valid, numeric, target, category, trees=trees).select(*key, F.lit(fold["fold"]).alias("fold"), F.lit(resolve(m)).alias("model"), "score", target)
+            scored = together[resolve(m)][fold["fold"]] if resolve(m) in together else fit_score(m, train, valid, numeric, target, category, trees=trees)
+            part = scored.select(*key, F.lit(fold["fold"]).alias("fold"), F.lit(resolve(m)).alias("model"), "score", target)
             out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no fold can be trained")

@@ -629,9 +629,8 @@ def _oof(models_: list[str], trees: int | None = None):
     return run
 
 
-# Boosting is one job a level and tree, one after the other; its queries take 40 rounds of the default 300.
-for _m, _trees in (("logistic", None), ("poisson", None), ("negative_binomial", None), ("random_forest", None), ("boosted_4", 40), ("boosted_6", 40)):
-    query(f"{_m}_oof", "district:s date:s fold:l model:s score:d outbreak_label:l")(_oof([_m], _trees))
+for _m in ("logistic", "poisson", "negative_binomial", "random_forest", "boosted_4", "boosted_6"):
+    query(f"{_m}_oof", "district:s date:s fold:l model:s score:d outbreak_label:l")(_oof([_m]))
 
 
 @query("isotonic_calibration", "key:l calibrated:d")
