@@ -42,6 +42,14 @@ def roc_auc(df: DataFrame, y: str, p: str) -> DataFrame:
     return t.agg(ratio(pairs, (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
 
 
+def average_precision_by(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
+    """(by, average_precision) for each value of the columns ``by``, which are not null and have few values, in one job."""
+    rows = df.select(*by, F.col(y).cast("int").alias("y"), F.col(p).cast("double").alias("p")).where("y IN (0, 1) AND p IS NOT NULL")
+    table = rows.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    t = running(table, "p", ["pos", "neg"], descending=True, by=by)
+    return t.groupBy(*by).agg(ratio(F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))), F.sum("pos").cast("double")).alias("average_precision"))
+
+
 def average_precision(df: DataFrame, y: str, p: str) -> DataFrame:
     t = running(score_table(df, y, p), "p", ["pos", "neg"], descending=True).withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
     return t.agg(ratio(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("pos").cast("double")).alias("average_precision"))

@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import importance, metrics, quality
+from tidewatch.operators import held, importance, metrics, quality
 
 # The weights of the score's parts, and under or over which a feature is weak.
 QUALITY = {"uniqueness_rate": 0.20, "log_variance": 0.25}
 ASSOCIATION = {"spearman": 0.20, "point_biserial": 0.20, "fisher_score": 0.20, "mutual_info": 0.20, "forest": 0.10, "importance": 0.10}
+MISSING, STABLE, QUALITY_SHARE, ASSOCIATION_SHARE = 0.35, 0.20, 0.35, 0.65
 MOST_MISSING, LEAST_UNIQUE, LEAST_STABLE = 0.20, 0.05, 0.40
 
 
@@ -45,8 +46,8 @@ def scored(table: DataFrame) -> DataFrame:
     scaled = metrics.min_max(sides, list(parts)).select("feature", *[f"{c}_scaled" for c in parts])
     weighted = lambda w: sum((F.lit(v) * F.col(f"{c}_scaled") for c, v in w.items()), F.lit(0.0))
     out = table.join(scaled, "feature")
-    out = out.withColumns({"quality": 0.35 * (1 - F.coalesce("missing_rate", F.lit(1.0))) + 0.20 * zero("stability_score") + weighted(QUALITY), "association": weighted(ASSOCIATION)})
-    out = out.withColumn("score", 0.35 * F.col("quality") + 0.65 * F.col("association")).drop(*[f"{c}_scaled" for c in parts])
+    out = out.withColumns({"quality": MISSING * (1 - F.coalesce("missing_rate", F.lit(1.0))) + STABLE * zero("stability_score") + weighted(QUALITY), "association": weighted(ASSOCIATION)})
+    out = out.withColumn("score", QUALITY_SHARE * F.col("quality") + ASSOCIATION_SHARE * F.col("association")).drop(*[f"{c}_scaled" for c in parts])
     middle = out.agg(F.expr("percentile(score, 0.5D)").alias("_middle"))  # of as many rows as there are features
     reasons = {
         "high missingness": F.col("missing_rate") > MOST_MISSING, "low uniqueness": F.col("uniqueness_rate") < LEAST_UNIQUE,
@@ -65,9 +66,11 @@ def label_agreement(a: DataFrame, b: DataFrame, target: str, key: list[str]) ->
 def run(df: DataFrame, labelled: DataFrame, features: list[str], target: str = "outbreak_label", key: tuple[str, ...] = ("district", "date"), repeats: int = 20, trees: int = 400) -> Audit:
     """Audits those ``features`` that ``df`` has; an error if it has none."""
     here = [f for f in features if f in df.columns]
+    df = held.written(df.select(*dict.fromkeys([*key, "district", "date", target, *here])), "audited")  # read once for each feature and measure
     table = measures(df, here, target)
     weights = importance.permutation_importance(df, here, target, list(key), repeats, trees)
-    return Audit(scored(table.join(weights, "feature", "left")), label_agreement(df, labelled, target, list(key)))
+    whole = held.written(table.join(weights, "feature", "left"), "measures")  # a row for each feature, which the scores read several times
+    return Audit(scored(whole), label_agreement(df, labelled, target, list(key)))
 
 
 def report(audit: Audit, most: int = 5) -> str:

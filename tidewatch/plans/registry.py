@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import dates, values
 from tidewatch.operators import clean, decision, diagnostics, features, folds, held, hierarchical, impute, labels, metrics, models, population, posterior, quality
-from tidewatch.plans import bridge, pipeline
+from tidewatch.plans import audit, bridge, pipeline
 from tidewatch.plans.bridge import full, observed, panel, scores, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -280,6 +280,18 @@ def knn_neighbors(spark, d):
     return features.neighbours(bridge.places(spark, d))
 
 
+_SEEN = "seen AS (SELECT n_name AS district, (c_custkey % 97) * 0.5e0 - 10 AS lat, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 31 + n_nationkey END AS lon FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
+@query("place_centroids", "district:s lat:d lon:d", f"WITH {_SEEN} SELECT district, avg(lat) AS lat, avg(lon) AS lon FROM seen WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY 1")
+def place_centroids(spark, d):
+    """Where a nation's customers are on average; those without a place are left out."""
+    c, n = table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "nation")
+    k = F.col("c_custkey")
+    seen = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("n_name").alias("district"), (k % 97 * 0.5 - 10).alias("lat"), F.when(k % 7 != 0, k % 31 + F.col("n_nationkey")).alias("lon"))
+    return features.centroids(seen)
+
+
 @query("neighbor_lag_mean", "district:s date:s neighbor_mean_cases:d", f"""WITH {_KNN}, lg AS (SELECT district, date, lag(cases) {over()} AS l FROM panel)
 SELECT p.district, p.date, m AS neighbor_mean_cases FROM panel p LEFT JOIN (SELECT src, date, avg(l) AS m FROM nn JOIN lg ON lg.district = dst GROUP BY 1, 2) x ON src = p.district AND x.date = p.date""")
 def neighbor_lag_mean(spark, d):
@@ -633,6 +645,14 @@ for _m in ("logistic", "poisson", "negative_binomial", "random_forest", "boosted
     query(f"{_m}_oof", "district:s date:s fold:l model:s score:d outbreak_label:l")(_oof([_m]))
 
 
+@query("feature_audit", "feature:s score:d quality:d association:d importance:d deviation:d forest:d")
+def feature_audit(spark, d):
+    """The whole audit: diagnostics, signals, 20 permutations of each feature by a forest of 400 trees."""
+    f = features.causal(panel(spark, d))
+    f = labels.next_step_label(labels.train_thresholds(f, 0.75, "t"), F.col("t"), "outbreak_label").where("t IS NOT NULL")
+    return audit.run(f, f, NUMERIC).scores
+
+
 @query("isotonic_calibration", "key:l calibrated:d")
 def isotonic_calibration(spark, d):
     s = scores(spark, d)
