@@ -75,3 +75,14 @@ def test_neighbours_of_a_hundred_thousand_places(spark):
     near = F.when(F.col("id") % 3 == 0, 0.01).otherwise(10.0)
     places = spark.range(100_000).select(F.col("id").cast("string").alias("district"), (F.randn(1) * near).alias("lat"), (F.randn(2) * near).alias("lon"))
     assert features.neighbours(places, 3).count() == 300_000 and time.perf_counter() - began < 240
+
+
+def test_stratified_takes_the_exact_share_of_each_class(spark):
+    from tidewatch.operators import posterior
+
+    df = spark.range(5000).select("id", F.when(F.col("id") < 4000, 0).when(F.col("id") < 4990, 1).alias("y"), F.lit("x").alias("_h")).repartition(5)
+    got = posterior.stratified(df, "y", 0.25, ["id"])
+    assert {r.y: r["count"] for r in got.groupBy("y").count().collect()} == {0: 1000, 1: 248, None: 3} and got.columns == df.columns
+    again = posterior.stratified(df.coalesce(1), "y", 0.25, ["id"])
+    assert got.exceptAll(again).isEmpty() and posterior.stratified(df, "y", 1.0, ["id"]).count() == 5000 and posterior.stratified(df, "y", 0.0, ["id"]).isEmpty()
+    assert posterior.stratified(df.limit(0), "y", 0.5, ["id"]).isEmpty()

@@ -39,8 +39,12 @@ def canonical_census(df: DataFrame) -> DataFrame:
 def merge_population(df: DataFrame, census: DataFrame, payload: list[str], state: str = "state", district: str = "district") -> DataFrame:
     """``df`` with the census ``payload``: by state and district; where that finds nothing, by the
     district's name if it stands for one place only; by the name's words only if neither has
-    found anything at all. The three sides are deduplicated first, so no row multiplies."""
-    left = with_keys(df, state, district)
+    found anything at all. The three sides are deduplicated first, so no row multiplies.
+
+    The cascade runs over the distinct names of ``df``, whose number does not grow with the dates; what it
+    finds is joined to the rows once. Null names are names."""
+    names = df.select(F.col(state).alias("_state"), F.col(district).alias("_district")).distinct()
+    left = with_keys(names, "_state", "_district")
     right = keep_one(with_keys(census, state, district), ["_mk"], [F.col(c).asc_nulls_last() for c in ["_mk", *payload]])
 
     def unique(key: str, tag: str) -> DataFrame:
@@ -50,8 +54,9 @@ def merge_population(df: DataFrame, census: DataFrame, payload: list[str], state
     main = right.select("_mk", *[F.col(c).alias(f"m_{c}") for c in payload])
     out = left.join(main, "_mk", "left").join(unique("_dk", "d"), F.col("_dk") == F.col("_d"), "left").join(unique("_tk", "t"), F.col("_tk") == F.col("_t"), "left")
     found = F.coalesce(*[F.col(f"{tag}_{c}") for tag in ("m", "d") for c in payload]).isNotNull()
-    covered = F.coalesce(F.bool_or(found), F.lit(False))
-    any_found = left.join(main, "_mk", "left").join(unique("_dk", "d"), F.col("_dk") == F.col("_d"), "left").agg(covered.alias("_any"))
-    out = out.crossJoin(F.broadcast(any_found))
-    fill = {c: F.coalesce(f"m_{c}", f"d_{c}", F.when(~F.col("_any"), F.col(f"t_{c}"))) for c in payload}
-    return out.withColumns(fill).select(*df.columns, *payload)
+    any_found = out.agg(F.coalesce(F.bool_or(found), F.lit(False)).alias("_any"))
+    fill = {f"_p_{c}": F.coalesce(f"m_{c}", f"d_{c}", F.when(~F.col("_any"), F.col(f"t_{c}"))) for c in payload}
+    known = out.crossJoin(F.broadcast(any_found)).withColumns(fill).select("_state", "_district", *fill)
+    kept = [c for c in df.columns if c not in payload]
+    met = df.join(known, df[state].eqNullSafe(known["_state"]) & df[district].eqNullSafe(known["_district"]), "left")
+    return met.select(*[df[c] for c in kept], *[known[f"_p_{c}"].alias(c) for c in payload])

@@ -120,5 +120,17 @@ def top_cases(df: DataFrame, k: int, cases: str = "cases", order: tuple[str, ...
 
 
 def stratified(df: DataFrame, y: str, fraction: float, key: list[str], seed: int = 7) -> DataFrame:
-    """A share of each class by a hash of the key: the same rows each time, whatever the partitions."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), y, *key), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    """The rounded share ``fraction`` of each class, exactly: its first rows by the md5 of seed and key.
+
+    A class is never sorted whole. Its rows are counted by the first 16 bits of the hash; bins below the
+    one in which the quota ends are taken whole, and rows are ranked within single bins only. The same rows
+    each time, whatever the partitions; a null class is a class; of rows with equal keys any may be taken."""
+    text = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]))
+    rows = df.withColumn("_h", text).withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    by = W.partitionBy("_y")
+    before = F.coalesce(F.sum("n").over(by.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bins = rows.groupBy(F.col(y).alias("_y"), F.col("_b").alias("_bin")).agg(F.count("*").alias("n")).withColumnRenamed("_bin", "_b")
+    open_ = bins.select("_y", F.col("_b").alias("_bin"), (F.floor(F.lit(fraction) * F.sum("n").over(by) + 0.5) - before).alias("_left")).where("_left > 0")
+    met = rows.join(open_, rows[y].eqNullSafe(open_["_y"]) & (rows["_b"] == open_["_bin"]))
+    place = F.row_number().over(W.partitionBy(y, "_b").orderBy("_h", *key))
+    return met.withColumn("_r", place).where("_r <= _left").select(*df.columns)

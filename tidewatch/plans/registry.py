@@ -344,6 +344,15 @@ def population_cascade(spark, d):
     return population.merge_population(panel(spark, d), census, ["population"])
 
 
+@query("population_tokens", "district:s date:s population:l", "SELECT district, date, CASE WHEN n_nationkey % 2 = 0 THEN 1000 + n_nationkey END AS population FROM panel JOIN nation ON n_name = district")
+def population_tokens(spark, d):
+    """A census of other states that writes the words of its names in another order, so that only words are left to join by."""
+    k = F.col("n_nationkey")
+    name = F.concat(F.split("district", "_")[1], F.lit(" of "), F.initcap(F.split("district", "_")[0]))
+    census = bridge.places(spark, d).where(k % 2 == 0).select(F.lit("elsewhere").alias("state"), name.alias("district"), (1000 + k).alias("population"))
+    return population.merge_population(panel(spark, d), census, ["population"])
+
+
 @query("fold_ledger_rolling", "fold:l train_start:l train_end:l valid_year:l n_train:l n_valid:l status:s", f"""WITH y AS (SELECT year(date) AS yr, CAST(cases >= t AS INT) AS l FROM panel p JOIN {P75} x ON x.district = p.district)
 SELECT v - 1995 AS fold, v - 3 AS train_start, v - 1 AS train_end, v AS valid_year, count(*) FILTER (yr < v) AS n_train, count(*) FILTER (yr = v) AS n_valid,
 CASE WHEN count(*) FILTER (yr < v) = 0 OR count(*) FILTER (yr = v) = 0 THEN 'empty_slice' WHEN count(DISTINCT CASE WHEN yr < v THEN l END) = 1 THEN 'single_class_train' ELSE 'yielded' END AS status
@@ -622,7 +631,8 @@ def subset_top_cases(spark, d):
     return posterior.top_cases(panel(spark, d), 50)
 
 
-@query("stratified_sample", "district:s date:s outbreak_label:l")
+@query("stratified_sample", "district:s date:s outbreak_label:l", """SELECT district, date, outbreak_label FROM (SELECT *, row_number() OVER (PARTITION BY outbreak_label ORDER BY md5('7|' || district || '|' || CAST(date AS VARCHAR))) AS r,
+count(*) OVER (PARTITION BY outbreak_label) AS n FROM (SELECT district, date, CAST(cases >= 3 AS INT) AS outbreak_label FROM panel)) WHERE r <= floor(0.2e0 * n + 0.5)""")
 def stratified_sample(spark, d):
     return posterior.stratified(labels.fixed_label(panel(spark, d), 3), "outbreak_label", 0.2, ["district", "date"])
 
@@ -653,7 +663,15 @@ def feature_audit(spark, d):
     return audit.run(f, f, NUMERIC).scores
 
 
-@query("isotonic_calibration", "key:l calibrated:d")
+# The fitted value at a score is the largest over starts of the least mean from there to an end behind it.
+_ISO = """tr AS (SELECT p, sum(y) AS s, count(*) AS n FROM sc WHERE key % 2 = 0 GROUP BY p), c AS (SELECT p, row_number() OVER (ORDER BY p) AS i, sum(s) OVER (ORDER BY p) AS cs, sum(n) OVER (ORDER BY p) AS cn, s, n FROM tr),
+jk AS (SELECT a.i AS j, b.i AS k, CAST(b.cs - a.cs + a.s AS DOUBLE) / (b.cn - a.cn + a.n) AS m FROM c a JOIN c b ON a.i <= b.i),
+low AS (SELECT j, k AS i, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM jk), g AS (SELECT p, g FROM (SELECT i, max(m) AS g FROM low GROUP BY i) JOIN c USING (i)),
+nx AS (SELECT p, g, lead(p) OVER (ORDER BY p) AS p2, lead(g) OVER (ORDER BY p) AS g2 FROM g)"""
+
+
+@query("isotonic_calibration", "key:l calibrated:d", f"""WITH {_ISO} SELECT t.key, CASE WHEN nx.p IS NULL THEN (SELECT arg_min(g, p) FROM g) WHEN t.p = nx.p OR p2 IS NULL THEN g ELSE g + (g2 - g) * (t.p - nx.p) / (p2 - nx.p) END AS calibrated
+FROM (SELECT key, p FROM sc WHERE key % 2 = 1) t ASOF LEFT JOIN nx ON t.p >= nx.p""")
 def isotonic_calibration(spark, d):
     s = scores(spark, d)
     return models.calibrate(s.where("key % 2 = 0"), s.where("key % 2 = 1"), "p", "y")
