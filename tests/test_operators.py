@@ -191,8 +191,12 @@ def test_permutation_importance(spark):
     from tidewatch.operators import importance
 
     df = spark.range(500).selectExpr("id", "date_add(DATE'2020-01-01', cast(id AS int)) AS date", "cast(hash(id) % 2 = 0 AS int) AS y", "cast(hash(id) % 2 AS double) AS good", "cast(hash(id, 5) % 7 AS double) AS noise")
-    moved = importance.permuted(df, "noise", ["id"], 3)
-    assert sorted(col(moved, "noise", "id")) == sorted(col(df, "noise", "id")) and col(moved, "noise", "id") != col(df, "noise", "id")
+    moved = importance.permuted(df, ["noise", "good"], ["id"], 3, 2, rows=100).select("id", "_r", F.col("_donor.noise").alias("other"))
+    a, b = ([r.other for r in moved.where(F.col("_r") == k).select("id", "other").orderBy("id").collect()] for k in (0, 1))
+    assert sorted(a) == sorted(b) == sorted(col(df, "noise", "id")) and a != b and a != col(df, "noise", "id")
+    scored = spark.range(300).selectExpr("id % 3 AS g", "cast(hash(id) % 2 = 0 AS int) AS y", "cast(pmod(hash(id, 3), 40) AS double) / 40 AS p")
+    by = {r.g: r.average_precision for r in metrics.average_precision_by(scored, "y", "p", ["g"]).collect()}
+    assert all(math.isclose(by[g], metrics.average_precision(scored.where(F.col("g") == g), "y", "p").first()[0]) for g in (0, 1, 2))
     out = {r.feature: r for r in importance.permutation_importance(df, ["good", "noise"], "y", ["id"], repeats=2, trees=5).collect()}
     assert out["good"].importance > 0.2 > abs(out["noise"].importance) and out["good"].forest > out["noise"].forest
 
