@@ -26,6 +26,39 @@ def test_paged_source(spark):
     assert total == 4 * (10 + 11 + 20 + 21 + 30 + 31)
 
 
+def counted_pages(url, headers):
+    """As ``pages_of``; each request leaves a line in the file that the url names, and page 2 of a region ``bad`` fails."""
+    with open(url.split("//")[1].split("?")[0], "a") as f:
+        f.write(url + "\n")
+    if "uf=bad" in url and "page=2" in url:
+        raise OSError("no page")
+    return pages_of(url, headers)
+
+
+def test_cache_of_chunks(spark, tmp_path):
+    spark.dataSource.register(paged.PagedSource)
+    log, cache = tmp_path / "requests", tmp_path / "cache"
+    requests = lambda: len(log.read_text().splitlines()) if log.exists() else 0
+
+    def read(regions="AA,B B/é", **more):
+        options = {"url": f"x://{log}", "regions": regions, "start": "2015", "end": "2016", "fetch": "tests.test_sources:counted_pages", "size": "2", "pause": "0", "cache": f"file://{cache}"}
+        return sorted(map(tuple, spark.read.format("paged").options(**options | more).load().collect()))
+
+    first = read()
+    assert requests() == 12 and len(first) == 24 and len(list(cache.rglob("*.jsonl"))) == 4
+    assert read() == first and requests() == 12
+    assert read(refresh="true") == first and requests() == 24
+    assert read(regions="AA", query='{"disease": "x"}') and requests() == 30  # another question
+    with pytest.raises(Exception, match="no page"):
+        read(regions="bad")
+    assert not list(cache.rglob("*bad*/*")) and not list(cache.rglob("*.part"))
+    half = paged.through_cache(f"file://{cache}", "half", iter([{"a": 1}, {"a": 2}]))
+    next(half)
+    half.close()
+    assert not list(cache.rglob("half*"))
+    assert list(paged.through_cache(f"file://{cache}", "none", iter([]))) == [] == list(paged.through_cache(f"file://{cache}", "none", iter([{"a": 1}])))
+
+
 def test_payload_forms():
     assert paged.payload([{"a": 1}, 2]) == ([{"a": 1}], None, None)
     assert paged.payload({"results": [], "links": {"next": "u"}})[1] == "u"

@@ -6,15 +6,19 @@ options, so that tests and other transports can stand in for HTTP.
 
 from __future__ import annotations
 
+import hashlib
 import importlib
+import io
 import json
 import os
 import time
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
+from pyarrow import fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidewatch.sources.readers import year_chunks
@@ -67,6 +71,36 @@ def pages(fetch, base: str, query: dict[str, Any], headers: dict[str, str], size
     raise ValueError(f"{base} goes on after {most} pages")
 
 
+def through_cache(folder: str, name: str, rows: Iterator[dict], refresh: bool = False) -> Iterator[str]:
+    """The records of a chunk as JSON texts: those of the file ``name`` below ``folder`` if it is there, else ``rows``,
+    which are written as they pass.
+
+    The file gets its name when the last record is written. A chunk that fails, or whose reader stops early,
+    leaves nothing; of two tasks that write the same chunk the later one's file stays. ``refresh`` fetches
+    anew, and the old file stays until the new one is whole. ``folder`` is a path or URI that
+    ``pyarrow.fs`` opens and all executors share."""
+    fs, where = pafs.FileSystem.from_uri(folder)
+    path = f"{where.rstrip('/')}/{name}.jsonl"
+    if not refresh and fs.get_file_info(path).type == pafs.FileType.File:
+        with fs.open_input_stream(path) as f, io.TextIOWrapper(f, "utf-8") as lines:
+            for line in lines:
+                yield line.rstrip("\n")
+        return
+    fs.create_dir(path.rpartition("/")[0])
+    aside = f"{path}.{uuid.uuid4().hex}.part"
+    try:
+        with fs.open_output_stream(aside) as f:
+            for row in rows:
+                text = json.dumps(row)
+                f.write(text.encode() + b"\n")
+                yield text
+        fs.move(aside, path)
+    except BaseException:
+        if fs.get_file_info(aside).type == pafs.FileType.File:
+            fs.delete_file(aside)
+        raise
+
+
 class Chunk(InputPartition):
     def __init__(self, region: str, start: int, end: int) -> None:
         self.region, self.start, self.end = region, start, end
@@ -86,13 +120,19 @@ class PagedReader(DataSourceReader):
         module, _, name = o.get("fetch", "tidewatch.sources.paged:http").partition(":")
         fetch = getattr(importlib.import_module(module), name)
         query = {"uf": partition.region, "year_start": partition.start, "year_end": partition.end} | json.loads(o.get("query", "{}"))
-        for row in pages(fetch, o["url"], query, headers_of(o), min(100, int(o.get("size", "100"))), float(o.get("pause", "0.25"))):
-            yield partition.region, partition.start, json.dumps(row)
+        rows = pages(fetch, o["url"], query, headers_of(o), min(100, int(o.get("size", "100"))), float(o.get("pause", "0.25")))
+        texts = (json.dumps(row) for row in rows)
+        if o.get("cache"):
+            asked = hashlib.md5(f"{o['url']}?{o.get('query', '')}".encode()).hexdigest()[:12]  # other questions have other folders
+            name = f"{asked}/{urllib.parse.quote(partition.region, safe='')}/{partition.start}-{partition.end}"
+            texts = through_cache(o["cache"], name, rows, o.get("refresh", "false").lower() == "true")
+        for text in texts:
+            yield partition.region, partition.start, text
 
 
 class PagedSource(DataSource):
-    """``spark.dataSource.register(PagedSource)``; ``spark.read.format("paged").options(...)``.
-    Rows are (region, year, record); the record is JSON text for ``from_json``."""
+    """``spark.dataSource.register(PagedSource)``; ``spark.read.format("paged").options(...)``. With the option
+    ``cache`` (a folder) a chunk of a region and years is fetched once; ``refresh`` fetches it anew (``through_cache``). Rows are (region, year, record); the record is JSON text for ``from_json``."""
 
     @classmethod
     def name(cls) -> str:
