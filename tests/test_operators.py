@@ -212,6 +212,13 @@ def test_quantiles_by_ranks(spark):
     df = spark.createDataFrame(rows, "a double, b int, c double, d double")
     at = [0.0, 0.05, 0.37, 0.5, 0.95, 1.0]
     r = quantiles(df, ["a", "b", "c", "d"], at).collect()
+    from tidewatch.operators import ranks
+
+    now = [ranks.quantiles_now(df, ["a", "b", "c", "d"], at)]
+    few, ranks.FEW = ranks.FEW, 10
+    now.append(ranks.quantiles_now(df, ["a", "b", "c", "d"], at))
+    ranks.FEW = few
+    assert all(x["c"] is None and all(np.allclose(x[c], r[0][c]) for c in "abd") for x in now)
     some = [y for _, y, _, _ in rows if y is not None]
     assert len(r) == 1 and np.allclose(r[0]["a"], np.quantile(a, at)) and np.allclose(r[0]["b"], np.quantile(some, at))
     assert r[0]["c"] is None and r[0]["d"] == [7.0] * 6

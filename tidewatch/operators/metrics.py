@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions.values import ratio
-from tidewatch.operators.ranks import quantiles, running
+from tidewatch.operators.ranks import quantiles, quantiles_now, running
 
 
 def _clean(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -80,9 +80,11 @@ def _bins(df: DataFrame) -> DataFrame:
 
 
 def reliability_quantile(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
+    """By bins between the quantiles of the scores, which are read at once: in the plan they would repeat all that is before it."""
     rows = _clean(df, y, p)
-    edges = quantiles(rows, ["p"], [k / bins for k in range(bins + 1)]).select(F.array_distinct("p").alias("edges"))
-    return _bins(_bin(rows.crossJoin(F.broadcast(edges)), F.col("edges")))
+    found = quantiles_now(rows, ["p"], [k / bins for k in range(bins + 1)])["p"]
+    edges = F.array(*[F.lit(x) for x in dict.fromkeys(found)]) if found else F.lit(None).cast("array<double>")
+    return _bins(_bin(rows, edges))
 
 
 def reliability_uniform(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:

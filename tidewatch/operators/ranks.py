@@ -6,11 +6,14 @@ window runs within each part, and the sums of the parts before, a row for each,
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PARTS = 200
+#: Counted values that are few enough to be read at once.
+FEW = 100_000
 
 
 def running(t: DataFrame, key: str, columns: list[str], descending: bool = False, parts: int = PARTS, by: list[str] | None = None) -> DataFrame:
@@ -41,12 +44,29 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quantiles_now(df: DataFrame, columns: list[str], at: list[float]) -> dict[str, list[float] | None]:
-    """The quantiles as numbers. ``df`` is computed once; what is held meanwhile are its counted values."""
+    """The quantiles as numbers, None for a column without values. ``df`` is computed once, for all columns
+    together; what is held meanwhile are its counted values. Where these are few, they are read in the same
+    job and ranked here; else they are ranked by parts, with equal results."""
     counts = value_counts(df, columns).persist()
     try:
-        return quantiles(df, columns, at, counts).first().asDict()
+        few = counts.limit(FEW + 1).toArrow()
+        if few.num_rows > FEW:
+            return quantiles(df, columns, at, counts).first().asDict()
     finally:
         counts.unpersist()
+    names, v, n = np.array(few["name"].to_pylist(), object), few["v"].to_numpy(), few["n"].to_numpy()
+    return {c: _of_counts(v[names == c], n[names == c], at) for c in columns}
+
+
+def _of_counts(v: np.ndarray, n: np.ndarray, at: list[float]) -> list[float] | None:
+    """Quantiles of values ``v`` that occur ``n`` times each."""
+    if not len(v):
+        return None
+    order = np.argsort(v, kind="stable")
+    v, upto = v[order], np.cumsum(n[order])
+    place = (upto[-1] - 1) * np.array(at, float)
+    low, high = (v[np.searchsorted(upto, f(place), "right")] for f in (np.floor, np.ceil))
+    return (low + (high - low) * (place - np.floor(place))).tolist()
 
 
 def quantiles(df: DataFrame, columns: list[str], at: list[float], counts: DataFrame | None = None) -> DataFrame:
