@@ -187,6 +187,16 @@ def test_last_known_neighbours(spark):
     assert col(features.neighbour_last_mean(df, edges, "o"), "neighbor_mean_cases", "o") == [None, 5, 7, None, 9, 1.5]
 
 
+def test_names_and_alerts_of_models(spark):
+    assert models.safe_names(["a.b", "a b", "2x", "%", "_c__d_", "a_b"], ["a_b"]) == {"a.b": "a_b_2", "a b": "a_b_3", "2x": "f_2x", "%": "feature", "_c__d_": "c_d", "a_b": "a_b_4"}
+    df = spark.range(200).selectExpr("cast(id % 2 AS int) AS y", "cast(id % 2 AS double) AS `x.1`", "cast(id % 7 AS double) AS x_1")
+    out = models.fit_score("logistic", df, df, ["x.1"], "y")
+    assert out.columns == [*df.columns, "score"] and out.where("(score > 0.5) <> (y = 1)").isEmpty()
+    oof = spark.createDataFrame([(1, "a", 0.5), (1, "b", 1.7), (2, "a", -1.0), (2, "b", None)], "k int, model string, score double")
+    assert sorted(map(tuple, models.wide_scores(oof, ["k"], ["a", "b", "c"]).collect())) == [(1, 0.5, 1.0, 0.0), (2, 0.0, 0.0, 0.0)]
+    assert sorted(map(tuple, models.alerts(oof, ["k"], ["a", "b"]).collect())) == [(1, 1, 1), (2, 0, 0)]
+
+
 def test_permutation_importance(spark):
     from tidewatch.operators import importance
 

@@ -59,10 +59,13 @@ def test_cache_of_chunks(spark, tmp_path):
     assert list(paged.through_cache(f"file://{cache}", "none", iter([]))) == [] == list(paged.through_cache(f"file://{cache}", "none", iter([{"a": 1}])))
 
 
-def test_payload_forms():
+def test_payload_forms(spark):
     assert paged.payload([{"a": 1}, 2]) == ([{"a": 1}], None, None)
     assert paged.payload({"results": [], "links": {"next": "u"}})[1] == "u"
     assert paged.payload({"data": [{}], "pagination": {"page": 2, "total_pages": 2}})[2] is False
+    texts = ['{"items": [{"a": 1}, 2, "x"], "results": [{"b": {"c": [1]}}]}', '[{"a": 3}]', '{"items": 5, "data": []}', "broken", None]
+    found = paged.records_of(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "record_id int, t string"), "t").orderBy("record_id").collect()
+    assert [(r.record_id, json.loads(r.record)) for r in found] == [(0, {"b": {"c": [1]}}), (1, {"a": 3})]
     seen = list(paged.pages(lambda u, h: json.dumps({"items": [{}], "next": "http://same"}), "http://b", {}, {}, 1))
     assert len(seen) == 2  # the loop of urls ends
 

@@ -6,6 +6,9 @@ squares, of which each step is one aggregation of a small cross-product matrix.
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Iterable
 from dataclasses import replace
 
 import numpy as np
@@ -39,6 +42,30 @@ def resolve(name: str) -> str:
     return key
 
 
+def safe_names(names: list[str], taken: Iterable[str] = ()) -> dict[str, str]:
+    """For each name one of letters, digits and single underscores that begins with a letter (``f_`` before a digit, ``feature``
+    for nothing). Names that become equal, to each other or to one of ``taken``, get ``_2``, ``_3`` and so on in their order."""
+    used, out = set(taken), {}
+    for name in names:
+        plain = "_".join(x for x in re.split("[^0-9A-Za-z]+", name) if x) or "feature"
+        plain = f"f_{plain}" if plain[0].isdigit() else plain
+        free = (plain if k == 1 else f"{plain}_{k}" for k in itertools.count(1))
+        out[name] = next(x for x in free if x not in used)
+        used.add(out[name])
+    return out
+
+
+def wide_scores(oof: DataFrame, key: list[str], models: list[str]) -> DataFrame:
+    """(key, a column of scores between 0 and 1 for each model); 0 where a model has none."""
+    clipped = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
+    return oof.withColumn("_s", clipped).groupBy(*key).pivot("model", models).agg(F.first("_s", ignorenulls=True)).fillna(0.0, models)
+
+
+def alerts(oof: DataFrame, key: list[str], models: list[str], threshold: float = 0.5) -> DataFrame:
+    """(key, 1 or 0 for each model): whether its score reaches the threshold."""
+    return wide_scores(oof, key, models).select(*key, *[(F.col(m) >= threshold).cast("int").alias(m) for m in models])
+
+
 def percentile_rule(train: DataFrame, valid: DataFrame, cases: str = "cases", district: str = "district", q: float = 0.75) -> DataFrame:
     """``valid`` with ``score``: 1 where cases reach the district's quantile in ``train``, or that of
     all rows for a district that is not in it."""
@@ -70,6 +97,10 @@ def _filled(df: DataFrame, numeric: list[str], category: str | None) -> DataFram
 def fit_score(model: str, train: DataFrame, valid: DataFrame, numeric: list[str], target: str, category: str | None = None, seed: int = 42, trees: int | None = None) -> DataFrame:
     """``valid`` with ``score`` by a model fitted on ``train``; the target's mean with one class."""
     model = resolve(model)
+    if any("." in c or "`" in c for c in numeric):  # names that expressions would read as paths
+        names = safe_names(numeric, [c for c in train.columns + valid.columns if c not in numeric])
+        out = fit_score(model, train.withColumnsRenamed(names), valid.withColumnsRenamed(names), list(names.values()), target, category, seed, trees)
+        return out.withColumnsRenamed({v: k for k, v in names.items()})
     stats = train.agg(F.min(target).alias("a"), F.max(target).alias("b"), F.avg(target).alias("m"), F.count(F.lit(1)).alias("n")).first()
     if stats["n"] == 0 or stats["a"] == stats["b"]:
         return valid.withColumn("score", F.lit(float(stats["m"] or 0.0)))

@@ -15,6 +15,7 @@ from tidewatch.functions import dates, values
 from tidewatch.operators import clean, decision, diagnostics, features, folds, held, hierarchical, impute, labels, metrics, models, population, posterior, quality
 from tidewatch.plans import audit, bridge, pipeline
 from tidewatch.plans.bridge import full, observed, panel, scores, table
+from tidewatch.sources import paged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -711,6 +712,16 @@ def weekly_events(spark, d):
     return table(spark, d, "events").groupBy("user_id", bridge.monday("ts").alias("week")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+@query("payload_records", "customer:l id:l status:s", "SELECT o_custkey AS customer, o_orderkey AS id, o_orderstatus AS status FROM orders")
+def payload_records(spark, d):
+    """Each customer's orders as a page of JSON, in one container or another or in none, and the records of all pages."""
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))).alias("r"))
+    name = F.element_at(F.array(*[F.lit(c) for c in paged.CONTAINERS]), (F.col("customer") % len(paged.CONTAINERS) + 1).cast("int"))
+    page = F.when(F.col("customer") % 7 == 0, F.to_json("r")).otherwise(F.concat(F.lit('{"has_more": false, "'), name, F.lit('": '), F.to_json("r"), F.lit("}")))
+    r = paged.records_of(orders.select("customer", page.alias("page")), "page")
+    return r.select("customer", F.get_json_object("record", "$.id").cast("long").alias("id"), F.get_json_object("record", "$.status").alias("status"))
+
+
 @query("json_payload", "event_id:l keys:l", "SELECT event_id, len(json_keys(props)) AS keys FROM events")
 def json_payload(spark, d):
     return table(spark, d, "events").select("event_id", F.size(F.json_object_keys("props")).alias("keys"))

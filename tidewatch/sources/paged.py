@@ -19,6 +19,8 @@ from collections.abc import Iterator
 from typing import Any
 
 from pyarrow import fs as pafs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidewatch.sources.readers import year_chunks
@@ -47,6 +49,15 @@ def payload(page: Any) -> tuple[list[dict], str | None, bool | None]:
     return [x for x in rows if isinstance(x, dict)], following if isinstance(following, str) else None, more
 
 
+def records_of(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``record``, a row for each record of the page of JSON text in ``column``: the objects of the first of
+    ``CONTAINERS`` that is an array, or of the page itself if it is one. Null and broken pages have no records."""
+    text = F.col(column).cast("string")
+    arrays = [F.when(F.startswith(F.ltrim(x), F.lit("[")), x) for x in (text, *[F.get_json_object(text, f"$.{k}") for k in CONTAINERS])]
+    items = F.filter(F.from_json(F.coalesce(*arrays), "array<string>"), lambda x: F.startswith(F.ltrim(x), F.lit("{")))
+    return df.select(*df.columns, F.explode(items).alias("record"))
+
+
 def headers_of(options: dict[str, str]) -> dict[str, str]:
     token = options.get("token") or os.environ.get(options.get("tokenvariable", ""), "")
     return {"Accept": "application/json"} | ({options.get("tokenheader", "Authorization"): token} if token else {})
