@@ -196,7 +196,7 @@ def fit(parts: list[tuple[int, DataFrame]], numeric: list[str], target: str, cat
         return models
     columns = len(numeric) + bool(category)
     single = np.array([False] * len(numeric) + [True] * bool(category))
-    n_bins = max([BINS, *(len(x) + 1 for x in names.values())])
+    n_bins = max([2, *(len(e) + 1 for m in models.values() for e in m.edges), *(len(x) + 1 for x in names.values())])  # as many as any column has
     spark = rows.sparkSession
     known = spark.sparkContext.broadcast(models)
 
