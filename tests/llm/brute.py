@@ -79,12 +79,12 @@ def article(page):
 
 
 def block_distribution(lines):
-    """Kept lines of (text, characters in links, boilerplate, marked) by the sums of all windows, each computed anew."""
+    """Kept lines of (text, characters in links, boilerplate, article or 0) by the sums of all windows, each computed anew."""
     on_page = any(m and not b for _, _, b, m in lines)
-    w = [0 if b else max(60, 4 * len(t)) if m else max(0, len(t) - 2 * min(k, len(t))) for t, k, b, m in lines]
+    w = [0 if b else 4 * len(t) if m else max(0, len(t) - 2 * min(k, len(t))) for t, k, b, m in lines]
     groups, parts = [], []
     for i, x in enumerate(lines):
-        if not groups or (x[3] and on_page) != (lines[groups[-1][-1]][3] and on_page):
+        if not groups or (on_page and x[3]) != (on_page and lines[groups[-1][-1]][3]):
             groups.append([])
         groups[-1].append(i)
     for g in groups:
@@ -100,16 +100,15 @@ def block_distribution(lines):
                 runs[-1].append(i)
         some = [i for i in g if w[i]]
         runs = runs or ([list(range(some[0], some[-1] + 1))] if some else [])
-        parts += [(r, lines[g[0]][3] and on_page) for r in runs]
-    total = sum(w[i] for r, m in parts if m for i in r)
-    weight = [total if m else sum(w[i] for i in r) for r, m in parts]
-    out = []
-    for (r, _), x in zip(parts, weight, strict=True):
+        parts += [(r, g, lines[g[0]][3] if on_page else 0) for r in runs]
+    weight = [sum(w[i] for r2, _, m2 in parts if (m2 == m if m else r2 is r) for i in r2) for r, _, m in parts]
+    out = {}
+    for (r, g, m), x in zip(parts, weight, strict=True):
         while r and not w[r[-1]]:
             r = r[:-1]
         if 5 * x >= max(weight):
-            out += [lines[i][0] for i in r if not lines[i][2] and (w[i] or lines[i][1] < len(lines[i][0]))]
-    return " ".join(out)
+            out |= {i: lines[i][0] for i in (g if m else r) if not lines[i][2] and (m or w[i] or lines[i][1] < len(lines[i][0]))}
+    return " ".join(out[i] for i in sorted(out))
 
 
 def edit_within_one(a, b):

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -376,22 +377,62 @@ def test_html_distribution_decides():
 
 def test_html_against_all_windows():
     rng, changed = random.Random(6), 0
-    for n in range(200):
-        marked, blocks = n % 2, []
+    for n in range(300):
+        blocks = []
         for _ in range(rng.randint(1, 25)):
             words = " ".join("word" * rng.randint(1, 3) for _ in range(rng.choice([1, 3, 10, 40])))
             blocks.append(rng.choice([f"<p>{words}</p>", f"<p>{words}</p>", f"<p><a href=x>{words}</a></p>", f"<p>{words} <a href=y>{words}</a></p>", f'<div class="ad">{words}</div>', "<hr>"]))
-        if marked:
+        for _ in range(n % 3):  # articles beside and within each other
             a, b = sorted(rng.randrange(len(blocks) + 1) for _ in range(2))
             blocks[a:b] = ["<article>", *blocks[a:b], "</article>"]
-        page = "".join(blocks)
-        lines = html_text.lines_of(page)
-        want = brute.block_distribution([(x.text, x.links, x.boiler, x.marked) for x in lines])
-        assert html_text.main_text(page) == want
+        lines = html_text.lines_of("".join(blocks))
+        want = brute.block_distribution([(x.text, x.links, x.boiler, x.which) for x in lines])
+        assert html_text.main_text("".join(blocks)) == want
         changed += want != " ".join(x.text for x in lines if not x.boiler and (x.marked or not any(y.marked for y in lines)))
     assert changed > 100  # pages of which the distribution, and not the marks alone, says what stays
 
 
+def test_html_article_loses_no_text():
+    page = '<article><h1>T</h1><p>A.</p>{}<p>The story goes on for a while here, and then it ends.</p><p>End.</p></article>'
+    kept = [
+        '<div class="related-work"><p>Related work text</p></div>', '<p class="search-algorithms">We search.</p>', "<p>Let <math><mi>x</mi></math> be.</p>", "<p><object>Fall-back</object></p>",
+        "<p><canvas>Drawn</canvas></p>", '<p class="tags-of-nature">Deer</p>', "<header><p>By line</p></header>", '<p><a href="x">Only a link</a></p>', "<p>a < b and c <= d</p>", "<p>1</p><p>2</p><p>3</p>",
+    ]
+    for part in kept:
+        text = html_text.main_text(page.format(part))
+        assert text.startswith("T A. ") and text.endswith(" The story goes on for a while here, and then it ends. End.") and len(text) > 61, part
+    assert "Let x be." in html_text.main_text(page.format(kept[2]))
+    for part in (
+        '<div class="related-posts"><p>Lost</p></div>', '<div class="adBox"><p>Lost</p></div>', '<aside class="x"><p>Lost</p></aside>', '<div class="big social-share-buttons"><p>Lost</p></div>', "<nav>Lost</nav>",
+        "<math><annotation>Lost</annotation></math>", '<div id="comments"><p>Lost</p></div>', '<script>"Lost"</script>', "<!-- <p>Lost</p> -->", '<p title="> Lost"></p>',
+    ):
+        assert html_text.main_text(page.format(part)) == "T A. The story goes on for a while here, and then it ends. End.", part
+    # Of several articles each stays that is heavy for the page; a light teaser goes.
+    long, teaser = f"<p>{'One of the stories that are told. ' * 9}</p>", "<article><p>Read on.</p></article>"
+    assert html_text.main_text(f"<article>{long}</article>{teaser}<article>{long}</article>").count("told") == 18
+    assert "Read" not in html_text.main_text(f"<article>{long}</article>{teaser}")
+
+
+def test_html_tags_that_do_not_close():
+    for page, text in (
+        ("a <b c", "a"), ("<p>x</p> <i <p y", "x"), ('<p class="x>one</p><p class="y">two</p>', "two"), ('<p class="x>one</p><p>two</p>', "one two"), ("<i b='>' <p>x", "x"), ("1 < 2 <3 </", "1 < 2 <3"),
+        ("<p>x</p></p></section></b>y", "x y"), ("<b><div>x</b>y</div>z", "xy z"), ("<!-- x", ""), ("<script>x", ""), ("<script>x</scripts></script>y", "y"), ("<p>x<hr>y", "x y"), ("<P CLASS='AD'>x</P>y", "y"),
+    ):
+        assert html_text.main_text(page) == text, page
+
+
+def test_html_odd_pages_in_linear_time():
+    """Each of these took time by the square of its length, or would if tags or open elements were searched again and again."""
+    pages = (
+        "<a " * 2_000_000, "<a " * 500_000 + ">", "<div>" * 1_000_000 + "x", "<div>x</p></section>" * 100_000, "<p><button>" + "<b>" * 200_000 + "<hr>" * 200_000,
+        '<a b=">" ' * 200_000, "<" * 1_000_000, "<ul>" * 1000 + "<li>a" * 100_000, "<div><span>" * 100_000 + "x</div>" * 100_000, "<!-- " * 500_000, "<script>x</scriptx>" * 100_000,
+    )
+    for page in pages:
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 60, page[:20]
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "t"), (1, "u", None, "t"), (None, None, "<article><p>A&nbsp;b</article>", "t")], "page_id long, url string, html string, text string")
     assert sorted(str(tuple(r)) for r in html_text.extract(pages).collect()) == sorted(map(str, [(1, "u", "", 0), (1, "u", "", 0), (None, None, "A b", 3)]))

@@ -4,9 +4,12 @@ The markup is stripped to lines, one for each block element's text. A line's wei
 length; lines in menus, headers, footers and other parts that are named as such weigh nothing, and
 text in links counts for none. Weights are summed over a sliding window of lines; a surge is where
 the sum rises over a threshold, a dive where it falls to nothing. The text between surges and
-their dives is the main text, as far as it is heavy for the page. Where a page marks its article,
-the lines in it weigh more and no window spans the mark's bounds; text outside still wins if the
-mark holds a small part of the page's text only.
+their dives is the main text, as far as it is heavy for the page. Where a page marks articles,
+their lines weigh more and no window spans a mark's bounds. The distribution says which articles
+and which parts outside stay; of an article that stays, every line does, however short.
+
+Pages are read once from front to back: tags are found by their first character, attributes are
+scanned forwards only, and open elements are kept by name, so that odd pages cost no more than others.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from tidewatch.llm.common import arrow_map, table
 #: less than one HEAVY-th of the heaviest one's weight is dropped.
 WINDOW, SURGE, MARKED, HEAVY = 3, 60, 4, 5
 # HTML's elements by what they mean for the lines.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "object", "math", "canvas", "select"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "select", "annotation", "annotation-xml"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "button", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Parts that never belong to the main text, by element and by words in class, id or role.
@@ -38,9 +41,12 @@ NAMED = re.compile(
     re.I,
 )
 HEADERS = re.compile(r"(?:^|[\s_-])(?:masthead|top-?bar|header)(?:$|[\s_-])", re.I)  # outside an article
+#: Within an article a class, id or role is a part's name only if all its words are names of parts or of what holds them.
+HOLDERS = {"area", "articles", "bar", "block", "box", "buttons", "container", "form", "inner", "item", "items", "links", "list", "posts", "section", "slot", "stories", "unit", "wrap", "wrapper"}
 HUMP = re.compile("([a-z0-9])([A-Z])")
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^'">])*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: One attribute: name and value; what a missing end quote leaves is read as a name.
+ATTRIBUTE = re.compile(r"""[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)?+""")
 #: What an article element is called if it is none of the page's own.
 NOT_THE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|respon(?:se|ses|d)|ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|related|recommend(?:ed|ations)?|teaser)(?:$|[\s_-])", re.I)
 UNSEEN = re.compile(r"display\s*:\s*none", re.I)
@@ -50,12 +56,116 @@ ENDS = {"p": ({"p"}, None), "li": ({"li"}, {"ul", "ol", "menu"}), "td": ({"td",
 CLOSES_P = BLOCKS - {"br", "body", "html", "head", "button"}
 
 
-def attributes(text: str) -> dict[str, str]:
-    """Names (lower-case) and values of a tag's attributes; of repeated ones the first, as browsers do."""
-    out: dict[str, str] = {}
-    for m in ATTRIBUTE.finditer(text):
-        out.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
-    return out
+class Tags:
+    """The tags of a page from front to back, each with where it starts and ends.
+
+    A tag ends at the first ``>`` outside of its quoted values. If no ``>`` follows at all, it ends
+    before the next ``<``. If the quotes of a tag never close, quotes mean nothing from there on."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def attributes(self, at: int, out: dict[str, str]) -> int:
+        """Puts the attributes from ``at`` on into ``out`` (names in lower case; of repeated ones the
+        first, as browsers do); where the ``>`` stands, or -1."""
+        page, end = self.page, len(self.page)
+        if not self.quotes:
+            end = page.find(">", at)
+            if end < 0:
+                return -1
+        while at < end:
+            m = ATTRIBUTE.match(page, at, end)
+            at = m.end()
+            if m[1]:
+                out.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+            elif at < end:  # it stands at a >
+                return at
+        return -1 if self.quotes else end
+
+    def next(self, at: int) -> tuple[int, int, str, bool, dict[str, str], bool] | None:
+        """Start, end, name ("" for comments and declarations), end tag, attributes, and whether
+        ``/>`` ends it, of the first tag from ``at`` on."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            sign = page[start + 1 : start + 2]
+            if sign in ("!", "?"):
+                long = page.startswith("<!--", start)
+                end = page.find("-->" if long else ">", start + (4 if long else 2))
+                return start, len(page) if end < 0 else end + (3 if long else 1), "", False, {}, False
+            closing = sign == "/"
+            m = NAME.match(page, start + 1 + closing)
+            if not m:
+                if not sign or closing and start + 2 == len(page):
+                    return start, len(page), "", False, {}, False
+                at = start + 1
+                continue
+            found: dict[str, str] = {}
+            name = m[0].lower()
+            if start > self.last:
+                end = page.find("<", start + 1)
+                return start, len(page) if end < 0 else end, "", False, found, False
+            end = m.end() if page.startswith(">", m.end()) else self.attributes(m.end(), found)
+            if end < 0:
+                self.quotes, found = False, {}
+                end = self.attributes(m.end(), found)
+            if end < 0:
+                return start, len(page), "", False, found, False
+            return start, end + 1, name, closing, found, page[end - 1] == "/"
+        return None
+
+
+class Open:
+    """The open elements of a page, also by name, and the blocks among them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple] = [("", False, 0, 0, False)]  # name, in a part, in main (1) or an article (2), which one, in a link
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def at(self, *names: str) -> int:
+        """Where the innermost of the named ones stands (0: none is open)."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def push(self, *entry) -> None:
+        self.places.setdefault(entry[0], []).append(len(self.stack))
+        if entry[0] in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(entry)
+
+    def cut(self, to: int) -> None:
+        """Closes the element at ``to`` and all within."""
+        while len(self.stack) > to:
+            name = self.stack.pop()[0]
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+
+    def end(self, name: str) -> None:
+        """An end tag: closes the innermost of its name; an inline one does not reach out of a block."""
+        k = self.at(name)
+        if k and (name in BLOCKS or k > self.blocks[-1]):
+            self.cut(k)
+
+    def begin(self, name: str) -> None:
+        """Closes what a start tag ends by itself."""
+        if name in CLOSES_P and self.at("p") == self.blocks[-1] > 0:
+            self.cut(self.blocks[-1])
+        if name in ENDS:
+            kinds, walls = ENDS[name]
+            k = self.at(*kinds)
+            if k and (k == len(self.stack) - 1 if walls is None else k > self.at(*walls)):
+                self.cut(k)
+
+
+def named(marks: str) -> bool:
+    """Whether one of the words of ``marks`` (class, id and role) as a whole names a part."""
+    for token in marks.split():
+        if NAMED.fullmatch(token):
+            return True
+        words = re.split("[_-]+", token.strip("_-").lower())
+        if len(words) > 1 and all(w in HOLDERS or NAMED.fullmatch(w) for w in words) and not all(w in HOLDERS for w in words):
+            return True
+    return False
 
 
 def hidden(at: dict[str, str]) -> bool:
@@ -63,17 +173,17 @@ def hidden(at: dict[str, str]) -> bool:
 
 
 class Line:
-    __slots__ = ("boiler", "links", "marked", "text")
+    __slots__ = ("boiler", "links", "marked", "text", "which")
 
-    def __init__(self, text: str, links: int, boiler: bool, marked: int) -> None:
-        self.text, self.links, self.boiler, self.marked = text, links, boiler, marked
+    def __init__(self, text: str, links: int, boiler: bool, marked: int, which: int) -> None:
+        self.text, self.links, self.boiler, self.marked, self.which = text, links, boiler, marked, which
 
 
 def lines_of(page: str) -> list[Line]:
     """The page's lines in order. Raw elements have no text; unclosed elements end with what
     they stand in."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # name, in a part, in main (1) or an article (2), in a link
+    tags, elements, marks_seen = Tags(page), Open(), 0
     run: list[str] = []
     linked = at = 0
 
@@ -81,7 +191,7 @@ def lines_of(page: str) -> list[Line]:
         nonlocal linked
         text = " ".join(html.unescape("".join(run)).split())
         if text:
-            out.append(Line(text, linked, stack[-1][1], stack[-1][2]))
+            out.append(Line(text, linked, *elements.stack[-1][1:4]))
         run.clear()
         linked = 0
 
@@ -89,79 +199,59 @@ def lines_of(page: str) -> list[Line]:
         nonlocal linked
         if until > at:
             run.append(page[at:until])
-            linked += (until - at) * stack[-1][3]
+            linked += (until - at) * elements.stack[-1][4]
 
-    while m := TOKEN.search(page, at):
-        text(m.start())
-        at = m.end()
-        name = (m[2] or "").lower()
+    while tag := tags.next(at):
+        start, end, name, closing, at_of, empty = tag
+        text(start)
+        at = end
         if not name:
             continue
-        if name in RAW and not m[1]:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+        if name in RAW and not closing:
+            if not empty:
+                last = re.compile(rf"</{re.escape(name)}(?![^\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = last.end() if last else len(page)
             if name == "title":
                 flush()
             continue
         if name in BLOCKS:
             flush()
-        if name in VOID or m[1] and name == "p" and all(s[0] != "p" for s in stack):
+        if name in VOID:
+            if name in CLOSES_P:
+                elements.begin(name)
             continue
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if name not in BLOCKS and stack[k][0] in BLOCKS:  # an inline end does not end a block
-                    break
+        if closing:
+            elements.end(name)
             continue
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
-        if name in ENDS:
-            kinds, walls = ENDS[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in kinds:
-                    del stack[k:]
-                    break
-                if walls is None or stack[k][0] in walls:
-                    break
-        if m[3].endswith("/") and name not in BLOCKS:
+        elements.begin(name)
+        if empty and name not in BLOCKS:
             continue
-        _, part, article, link = stack[-1]
-        at_of = attributes(m[3]) if m[3] else {}
-        marks = HUMP.sub(r"\1-\2", " ".join(at_of.get(k, "") for k in ("class", "id", "role")))
+        _, part, article, which, link = elements.stack[-1]
+        marks = HUMP.sub(r"\1-\2", " ".join(at_of.get(k, "") for k in ("class", "id", "role"))).strip()
         own = name in ("article", "main")
         part = part or name in PARTS or name == "header" and not article or hidden(at_of)
-        if name not in ("html", "body") and marks.strip():
-            part = part or bool(NOT_THE_ARTICLE.search(marks) if own else NAMED.search(marks) or not article and HEADERS.search(marks))
+        if name not in ("html", "body") and marks:
+            part = part or (bool(NOT_THE_ARTICLE.search(marks)) if own else named(marks) if article else bool(NAMED.search(marks) or HEADERS.search(marks)))
         if not part:
-            article = max(article, 2 if name == "article" or "articleBody" in at_of.get("itemprop", "") else 1 if name == "main" or MAIN.search(marks) else 0)
-        stack.append((name, part, article, link or name == "a"))
-    if "<" in page[at:]:  # a tag that the page's end cuts off
-        tail = page.find("<", at)
-        text(tail if re.match(r"</?[a-zA-Z!]|<\Z|</\Z", page[tail:]) else len(page))
-    else:
-        text(len(page))
+            level = 2 if name == "article" or "articleBody" in at_of.get("itemprop", "") else 1 if name == "main" or MAIN.search(marks) else 0
+            if level > article:
+                marks_seen += 1
+                article, which = level, marks_seen
+        elements.push(name, part, article, which, link or name == "a")
+    text(len(page))
     flush()
     return out
 
 
 def weights(lines: list[Line]) -> tuple[list[int], int]:
-    """What each line adds to the distribution; how strongly the page marks its article (0: not). A
-    marked line adds enough for a surge of its own, so that short lines of an article stay."""
+    """What each line adds to the distribution; how strongly the page marks articles (0: not)."""
     level = max((x.marked for x in lines if not x.boiler), default=0)
 
     def weight(x: Line) -> int:
         if x.boiler:
             return 0
         if level and x.marked == level:
-            return max(SURGE, MARKED * len(x.text))
+            return MARKED * len(x.text)
         return max(0, len(x.text) - 2 * min(x.links, len(x.text)))
 
     return [weight(x) for x in lines], level
@@ -189,24 +279,38 @@ def parts(weight: list[int], window: int = WINDOW, surge: int = SURGE) -> list[t
     return out or ([(some[0], last)] if some else [])
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, marks: bool = True) -> str:
     """The lines of the parts that are heavy for the page, without those that are boilerplate or
     nothing but a link.
 
-    A distribution of its own is taken of each run of lines that are all in the marked article or
-    all outside. What it finds in the article counts as one part, however many advertisements
-    cut it; outside, each part counts alone."""
+    A distribution of its own is taken of each run of lines of one marked article or of none.
+    What it finds in an article counts as one part, however many advertisements cut it, and if
+    that is heavy the whole article stays; outside, each part counts alone. Without ``marks``
+    articles are not told from their surroundings."""
     lines = lines_of(page or "")
+    if not marks:
+        for x in lines:
+            x.marked = 0
     weight, level = weights(lines)
-    inside = [bool(level) and x.marked == level for x in lines]
+    inside = [x.which if level and x.marked == level else 0 for x in lines]
     edges = [0, *(i for i in range(1, len(lines)) if inside[i] != inside[i - 1]), len(lines)]
-    found = [(a + p, a + q) for a, b in pairwise(edges) for p, q in parts(weight[a:b])]
-    heavy = {p: sum(weight[slice(*p)]) for p in found}
-    marked = sum(w for (a, _), w in heavy.items() if inside[a])
-    heavy = {p: marked if inside[p[0]] else w for p, w in heavy.items()}
-    least = max(heavy.values(), default=0) / HEAVY
-    kept = [i for p in found if heavy[p] >= least for i in range(*p) if not lines[i].boiler and (weight[i] or lines[i].links < len(lines[i].text))]
-    return " ".join(lines[i].text for i in kept)
+    runs = list(pairwise(edges)) if lines else []
+    found = [[(a + p, a + q) for p, q in parts(weight[a:b])] for a, b in runs]
+    articles: dict[int, int] = {}
+    for (a, _), spans in zip(runs, found, strict=True):
+        if inside[a]:
+            articles[inside[a]] = articles.get(inside[a], 0) + sum(sum(weight[slice(*p)]) for p in spans)
+    heaviest = max([*articles.values(), *(sum(weight[slice(*p)]) for (a, _), spans in zip(runs, found, strict=True) if not inside[a] for p in spans)], default=0)
+    kept: list[str] = []
+    for (a, b), spans in zip(runs, found, strict=True):
+        if inside[a]:
+            if HEAVY * articles[inside[a]] >= heaviest:
+                kept += [x.text for x in lines[a:b] if not x.boiler]
+            continue
+        for p, q in spans:
+            if HEAVY * sum(weight[p:q]) >= heaviest:
+                kept += [lines[i].text for i in range(p, q) if not lines[i].boiler and (weight[i] or lines[i].links < len(lines[i].text))]
+    return " ".join(kept)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
