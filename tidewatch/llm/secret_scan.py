@@ -121,7 +121,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -137,9 +137,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         for text in batch.column(1).to_pylist():
             base, added = scan(text or "")
             n = [sum(1 for x in base if x[1] == k) for k in range(3)]
-            rows.append((*n, len(added), hashlib.sha256(written(base).encode()).hexdigest(), written([*base, *added])))
+            rows.append((*n, hashlib.sha256(written(base).encode()).hexdigest(), written([*base, *added]), len(added)))
         cols = list(zip(*rows, strict=True))
-        types = [pa.int64()] * 4 + [pa.string()] * 2
+        types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
         return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, SCHEMA)
