@@ -1,5 +1,6 @@
 """Each operator against a plain version, on nulls, empty and long texts, ties and repeated rows."""
 
+import pickle
 import random
 import re
 import time
@@ -188,6 +189,26 @@ def test_decontamination(spark, docs, rows):
     assert decontamination.judge(docs, bench.limit(0)).where("contaminated").isEmpty()
 
 
+def test_a_block_of_items_stays_small():
+    """1 MB of items, each fiftieth repeated: what goes to the workers is a few times their bytes, and windows and owners are those of a plain dict."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 10))) for _ in range(9000)]
+    items = [(str(i), " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 12, 13, 100, 300]))).encode()) for i in range(2000)]
+    items += [(f"again{i}", items[i][1].upper()) for i in range(0, 2000, 50)]
+    windows, want = decontamination.Windows(items), {}
+    for name, text in items:
+        w = text.decode().lower().split()
+        for i in range(max(1, len(w) - 12)):
+            want.setdefault(" ".join(w[i : i + 13]), set()).add(name)
+    assert {windows.plain.run(a, a + n).decode().strip(): windows.items_of({k}) for k, (a, n) in enumerate(zip(windows.start, windows.size, strict=True))} == want
+    keys = decontamination.np.unique(decontamination.np.concatenate([x.values for x in windows.by_size.values()]))
+    windows.choose(keys, decontamination.np.arange(len(keys)) % 7)
+    assert len(pickle.dumps(windows)) < 5 * sum(len(t) for _, t in items) + (4 << 20)
+    text = decontamination.Words([b"x", items[5][1], items[1][1] + b" y " + items[3][1]], decontamination.SIGNS)
+    hit = windows.hits(text)
+    assert 0 not in hit and items[5][0] in windows.items_of({k for _, _, k in hit[1]}) and {items[1][0], items[3][0]} <= windows.items_of({k for _, _, k in hit[2]})
+
+
 def test_line_dedup(spark, docs, rows):
     """Against all pairs of lines, with repeated rows, equal doc_ids of different texts, and rows without one."""
     more = [(7, rows[0][1]), (7, (rows[9][1] or "") + "\n" + (rows[4][1] or "")), (9, rows[9][1].replace("w1", "w2")), (2, rows[1][1])]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.common import LOWER, UPPER, pieces, table
-from tidewatch.llm.words import SIGNS, Words
+from tidewatch.llm.words import SIGNS, Sums, Words
 
 WINDOW, SHINGLE = 13, 3
 #: A document is contaminated if 1 in so many of its words is hit.
@@ -50,50 +50,99 @@ class Lookup:
         return at[same], place[same]
 
 
+class Plain:
+    """The words of ``Words`` in lower case with a space after each, as one byte string; equal runs of words are equal slices."""
+
+    def __init__(self, words: Words) -> None:
+        raw = np.frombuffer(words.data, np.uint8).copy()
+        inside = np.zeros(len(raw) + 1, np.int8)
+        inside[words.starts], inside[words.ends] = 1, -1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        raw[words.ends], inside[words.ends] = 0x20, True
+        self.data = raw[inside].tobytes().lower()
+        self.at = np.zeros(len(words.starts) + 1, np.int32 if len(self.data) < 1 << 31 else np.int64)
+        np.cumsum(words.ends - words.starts + 1, out=self.at[1:])
+
+    def run(self, start: int, end: int) -> bytes:
+        return self.data[self.at[start] : self.at[end]]
+
+
 class Windows:
-    """The distinct windows of a block of items and the shingles that they consist of."""
+    """The distinct windows of a block of items and the shingles that they consist of.
+
+    The items' words are held once; a window is a start and a length in them, and its items are a
+    stretch of one array, so a block takes a few times its bytes. Windows are told apart by 64-bit
+    hashes, and where these are equal by their words."""
 
     def __init__(self, items: list[tuple[str, bytes]]) -> None:
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        hashes: dict[tuple[bytes, ...], np.ndarray] = {}
-        all_words = Words([text for _, text in items], SIGNS)
-        runs = {k: all_words.runs(k) for k in range(1, SHINGLE + 1)}
-        for (item_id, _), at, end in zip(items, all_words.first[:-1].tolist(), all_words.first[1:].tolist(), strict=True):
-            words = [all_words.text_of(i) for i in range(at, end)]
-            size = min(WINDOW, len(words))
-            shingle = min(SHINGLE, size)
-            for i in range(len(words) - size + 1 if size else 0):
-                window = tuple(words[i : i + size])
-                owners[window].add(item_id)
-                hashes[window] = runs[shingle][at + i : at + i + size - shingle + 1]
-        self.words = list(owners)
-        self.items = [sorted(x) for x in owners.values()]
-        self.shingles = [hashes[w] for w in self.words]
-        self.sizes = sorted({min(SHINGLE, len(w)) for w in self.words})
-        self.by_size = {s: Lookup(np.concatenate([h for h, w in zip(self.shingles, self.words, strict=True) if min(SHINGLE, len(w)) == s])) for s in self.sizes}
-
-    def choose(self, counts: dict[int, int]) -> None:
-        """Takes each window's rarest shingle as its prefix; ties by hash."""
-        self.prefix: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, hashes in enumerate(self.shingles):
-            at = min(range(len(hashes)), key=lambda i: (counts.get(int(hashes[i]), 0), int(hashes[i]), i))
-            self.prefix[int(hashes[at])].append((k, at))
-        self.by_size = {s: Lookup(np.array([h for h, ks in self.prefix.items() if min(SHINGLE, len(self.words[ks[0][0]])) == s], np.uint64)) for s in self.sizes}
-        self.shingles = []
+        items = sorted(items)
+        words = Words([text for _, text in items], SIGNS)
+        self.names, self.plain = [name for name, _ in items], Plain(words)
+        first = words.first.astype(np.int64)
+        n = np.diff(first)
+        many = np.where(n > 0, np.maximum(n - WINDOW + 1, 1), 0)
+        owner = np.repeat(np.arange(len(items)), many)
+        start = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + first[owner]
+        size = np.minimum(n, WINDOW)[owner]
+        hashes = Sums(words.hashes).of(start, start + size)
+        order = np.lexsort((owner, hashes))
+        owner, start, size, hashes = owner[order], start[order], size[order], hashes[order]
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        for i in np.flatnonzero(~new).tolist():  # repeated windows only; unequal words are a window of their own
+            new[i] = self.plain.run(start[i - 1], start[i - 1] + size[i - 1]) != self.plain.run(start[i], start[i] + size[i])
+        self.start, self.size = start[new].astype(np.int32), size[new].astype(np.int8)
+        self.owner, self.owned = owner.astype(np.int32), np.append(np.flatnonzero(new), len(order)).astype(np.int32)
+        kinds = np.minimum(self.size, SHINGLE)
+        self.sizes = np.unique(kinds).tolist()
+        self.runs = {s: words.runs(s) for s in self.sizes}
+        self.by_size = {s: Lookup(np.concatenate([self.runs[s][a : b - s + 1] for a, b in zip(first[:-1], first[1:], strict=True) if min(SHINGLE, b - a) == s])) for s in self.sizes}
+
+    def choose(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Takes each window's rarest shingle as its prefix, by the ``counts`` of the sorted ``keys`` (others: 0); ties by hash."""
+        prefix, place = np.zeros(len(self.start), np.uint64), np.zeros(len(self.start), np.int8)
+        for s in self.sizes:
+            mine = np.flatnonzero(np.minimum(self.size, SHINGLE) == s)
+            best = np.full(len(mine), np.iinfo(np.int64).max)
+            for i in range(WINDOW - s + 1):
+                some = np.flatnonzero(i + s <= self.size[mine])
+                at = mine[some]
+                h = self.runs[s][self.start[at] + i]
+                c = np.zeros(len(h), np.int64)
+                if len(keys):
+                    where = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    c = np.where(keys[where] == h, counts[where], 0)
+                less = (c < best[some]) | (c == best[some]) & (h < prefix[at])
+                best[some[less]], prefix[at[less]], place[at[less]] = c[less], h[less], i
+        self.place, self.by_prefix, self.groups = place, {}, {}
+        for s in self.sizes:
+            mine = np.flatnonzero(np.minimum(self.size, SHINGLE) == s)
+            mine = mine[np.argsort(prefix[mine], kind="stable")]
+            self.by_size[s] = Lookup(prefix[mine])
+            self.by_prefix[s] = mine.astype(np.int32)
+            self.groups[s] = np.append(np.searchsorted(prefix[mine], self.by_size[s].values), len(mine)).astype(np.int32)
+        self.runs = {}
+
+    def items_of(self, windows: set[int]) -> set[str]:
+        return {self.names[i] for k in windows for i in self.owner[self.owned[k] : self.owned[k + 1]].tolist()}
 
     def hits(self, words: Words) -> dict[int, list[tuple[int, int, int]]]:
         """For each text that has any the (start, end, window) of all occurrences in it."""
         out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        plain = None
         for size in self.sizes:
-            lookup = self.by_size[size]
-            pos, place = lookup.find(words.runs(size))
+            pos, place = self.by_size[size].find(words.runs(size))
+            if not len(pos):
+                continue
+            plain = plain or Plain(words)
             texts = np.searchsorted(words.first, pos, "right") - 1
-            for p, h, t in zip(pos.tolist(), lookup.values[place].tolist(), texts.tolist(), strict=True):
+            edges = self.groups[size]
+            for p, a, b, t in zip(pos.tolist(), edges[place].tolist(), edges[place + 1].tolist(), texts.tolist(), strict=True):
                 first, last = int(words.first[t]), int(words.first[t + 1])
-                for k, at in self.prefix[h]:
-                    window = self.words[k]
-                    start, end = p - at, p - at + len(window)
-                    if start >= first and end <= last and all(words.text_of(start + i) == w for i, w in enumerate(window)):
+                for k in self.by_prefix[size][a:b].tolist():
+                    start = p - int(self.place[k])
+                    end, own = start + int(self.size[k]), int(self.start[k])
+                    if start >= first and end <= last and plain.run(start, end) == self.plain.run(own, own + end - start):
                         out[t].append((start - first, end - first, k))
         return out
 
@@ -118,28 +167,30 @@ def blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[st
         yield [(r[0], r[1].encode()) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
 
 
-def shingle_counts(docs: DataFrame, windows: Windows) -> dict[int, int]:
-    """How often each of the block's shingles occurs in all documents; at most one row for each
-    of them leaves a task and reaches the driver."""
-    held = docs.sparkSession.sparkContext.broadcast(windows)
+def shingle_counts(docs: DataFrame, lookups: dict[int, Lookup]) -> tuple[np.ndarray, np.ndarray]:
+    """The block's shingles that occur in documents, sorted, and how often each does in all of them; at
+    most one row for each leaves a task and reaches the driver."""
+    held = docs.sparkSession.sparkContext.broadcast(lookups)
 
     def run(batches):
-        counts: dict[int, int] = defaultdict(int)
-        w = held.value
+        by_size = held.value
+        counts = {size: np.zeros(len(x.values), np.int64) for size, x in by_size.items()}
         for batch in batches:
             for part in pieces(batch):
                 words = Words(part.column(0).cast(pa.binary()).to_pylist(), SIGNS)
-                for size in w.sizes:
-                    pos, place = w.by_size[size].find(words.runs(size))
+                for size, lookup in by_size.items():
+                    pos, place = lookup.find(words.runs(size))
                     text = np.searchsorted(words.first, pos, "right") - 1
-                    within = pos + size <= words.first[text + 1]
-                    for h in w.by_size[size].values[place[within]].tolist():
-                        counts[h] += 1
-        keys = np.array(list(counts), np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(counts.values()), pa.int64())], names=["h", "n"])
+                    at, n = np.unique(place[pos + size <= words.first[text + 1]], return_counts=True)
+                    counts[size][at] += n
+        for size, n in counts.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(by_size[size].values[some].view(np.int64)), pa.array(n[some])], names=["h", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
-    return {r["h"] % (1 << 64): r["n"] for r in rows}
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
+    keys, counts = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
 
 
 _FOUND = T.StructType([
@@ -158,7 +209,7 @@ def find(docs: DataFrame, items: DataFrame, carried: list[str]) -> DataFrame:
     schema = df.schema
     for block in blocks(items):
         windows = Windows(block)
-        windows.choose(shingle_counts(docs, windows))
+        windows.choose(*shingle_counts(docs, windows.by_size))
         held = docs.sparkSession.sparkContext.broadcast(windows)
 
         def run(batches, held=held):
@@ -170,7 +221,7 @@ def find(docs: DataFrame, items: DataFrame, carried: list[str]) -> DataFrame:
                     for i, hits in w.hits(words).items():
                         merge = merged([*((x["start"], x["end"]) for x in spans[i]), *((a, b) for a, b, _ in hits)])
                         spans[i] = [{"start": a, "end": b} for a, b in merge]
-                        found[i] = sorted({*found[i], *(x for k in {k for _, _, k in hits} for x in w.items[k])})
+                        found[i] = sorted({*found[i], *w.items_of({k for _, _, k in hits})})
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.string())), part.column(4)], names=["row", "n_words", "spans", "items", "text"])
 
         df = df.mapInArrow(run, schema)
