@@ -44,8 +44,9 @@ def test_parts_against_a_plain_count(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     got = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
     want, label = {}, dict(labels)
+    texts_of = {t: (i, x) for i, t, x in docs if None not in (i, t, label.get(i))}  # equal texts count once
     for lang in ("de", "fr", "it"):
-        rows = [(i, re.findall(r"[^\W\d_]+", t.lower()), label[i]) for i, t, x in docs if x == lang and t is not None and label.get(i) is not None]
+        rows = [(i, re.findall(r"[^\W\d_]+", t.lower()), label[i]) for t, (i, x) in texts_of.items() if x == lang]
         bad, good, texts = Counter(), Counter(), Counter()
         for i, found, toxic in rows:
             starts = [w[:k] for w in found for k in range(4, min(8, len(w)) + 1)]
@@ -73,7 +74,8 @@ def test_pattern_is_the_same_as_all_parts():
 def test_score_of_a_language_and_of_none(spark):
     parts = {"de": ["übel"], "en": ["loser"]}
     filler = " ".join(f"{a}{b}" for a in "abcdefgh" for b in ("lder", "mine", "stone", "reed"))
-    rows = [(1, "de", "Übeltat üble übel"), (2, "en", "Losers loser"), (3, "en", "Übel übel"), (4, "it", "losers übel"), (5, None, "übel loser"), (6, "de", "übel xübel"), (7, "de", None)]
+    other = [f"{a}{b}stone" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] + [f"{a}{b}reed" for a in "abcdefghijklm" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(1, "de", "Übeltat üble übel"), (2, "en", "Losers loser"), (3, "en", "Übel übel"), (4, "it", "losers übel"), (5, None, "übel loser"), (6, "de", "übel xübel"), (7, "de", None), (8, "de", "übel " * 3 + " ".join(other[:600])), (9, "de", "übel " * 4 + " ".join(other[:600])), (10, "de", "übel " * 4 + " ".join(other[:900]))]
     frame = spark.createDataFrame([(i, t and f"{filler} {t}", x) for i, x, t in rows], "doc_id long, text string, lang string")
     got = {r.doc_id: r.kept for r in quality_rules.judge(frame, parts, ["toxic"]).collect()}
-    assert got == {1: False, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False}
+    assert got == {1: False, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False, 8: True, 9: False, 10: True}

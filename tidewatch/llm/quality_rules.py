@@ -22,8 +22,6 @@ from tidewatch.llm.common import LOWER, SPACE_CLASS, SPACES, UPPER, let, table
 #: Words in a window, and the limits of the base rules.
 WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
-#: English insults; the insults rule counts words that are one of these. Other languages: ``toxicity``.
-INSULTS = ["clown", "disgusting", "dumb", "filthy", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless"]
 #: Rows of the sample on which cost and selectivity are estimated, about; times that a rule is timed.
 SAMPLE_ROWS, REPEATS = 1000, 2
 Parts = dict[str, list[str]] | None
@@ -91,7 +89,6 @@ def rules(of: Callable[[str], Column], toxic: Callable[[Column], Column] | None
     whether the toxicity score rejects. Each names its measures once where they are dear, for in a
     branch of a CASE a measure is computed at each mention."""
     text, n = of("text"), of("n_words")
-    found = F.regexp_count(text, F.lit(r"(?i)(?<![a-z])(?:" + "|".join(INSULTS) + r")(?![a-z])"))
     out = [
         Rule("few_words", n < MIN_WORDS),
         Rule("repeated_windows", 100 * of("n_repeat_words") > MAX_REPEATED * n),
@@ -100,7 +97,6 @@ def rules(of: Callable[[str], Column], toxic: Callable[[Column], Column] | None
         Rule("repeated_lines", let(of("lines"), lambda x: 2 * x["dup"] > x["n"])),
         Rule("capitals", chars_in(text, UPPER) > chars_in(text, LOWER)),
         Rule("exclamations", 4 * chars_in(text, "!") > n),
-        Rule("insults", let(found, lambda k: (100 * k > n) | (k >= 3))),
     ]
     return [*out, Rule("toxic", toxic(n))] if toxic else out
 
@@ -207,7 +203,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = rf"""
 WITH {toxicity.PARTS_SQL},
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low, CASE WHEN lang IN (SELECT lang FROM parts) THEN lang END AS tongue,
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN (SELECT lang FROM parts) THEN lang END AS tongue,
   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 s AS (SELECT r, k, count(*) OVER (PARTITION BY r, array_to_string(w[k + 1 : k + 8], ' ')) AS c FROM d, unnest(range(0, len(w) - 7)) u(k)),
@@ -217,11 +213,10 @@ y AS (SELECT DISTINCT r, word, c FROM x, unnest(range({toxicity.SHORTEST}, {toxi
 z AS (SELECT r, sum(c) AS toxic_words FROM y GROUP BY r),
 b AS (SELECT d.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS caps,
-  length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) AS small, length(t) - length(replace(t, '!', '')) AS shouts, coalesce(toxic_words, 0) AS toxic_words,
-  len(list_filter(regexp_extract_all(low, '[a-z]+'), lambda x: x IN ({", ".join(f"'{x}'" for x in INSULTS)}))) AS insults FROM d LEFT JOIN p USING (r) LEFT JOIN z USING (r))
+  length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) AS small, length(t) - length(replace(t, '!', '')) AS shouts, coalesce(toxic_words, 0) AS toxic_words FROM d LEFT JOIN p USING (r) LEFT JOIN z USING (r))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR word_chars > 15 * n_words OR 10 * word_chars < 25 * n_words
-    OR 2 * n_dup_lines > len(ls) OR caps > small OR 4 * shouts > n_words OR 100 * insults > n_words OR insults >= 3 OR toxic_words >= 2 AND 200 * toxic_words > 3 * n_words) AS kept FROM b"""
+    OR 2 * n_dup_lines > len(ls) OR caps > small OR 4 * shouts > n_words OR {toxicity.OVER_SQL}) AS kept FROM b"""
 QUERIES = {"op8_quality_rules": op8_quality_rules}
 ORACLE_SQL = {"op8_quality_rules": ORACLE}
