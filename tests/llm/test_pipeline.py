@@ -1,11 +1,16 @@
 """The pipeline's stages one after the other on the small tables."""
 
 import os
+import re
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tests.llm import brute
+from tidewatch.llm import common, sequence_packing
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -39,3 +44,33 @@ def test_stages(spark):
     assert all(comp[i] == i for i in texts)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(texts)
+
+
+class Taken:
+    """Stands for a DataFrame: ``mapInArrow`` gives the function of the task."""
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory can't be read here")
+def test_a_task_gives_back_what_it_freed():
+    held = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+    pins = []
+
+    def work(batch):
+        some = [np.ones(100_000, np.uint8) for _ in range(3000)]
+        pins.append(np.ones(50_000, np.uint8))  # above the others in the heap, so that it can't shrink from its end
+        assert held() > before + 200
+        del some
+        return batch
+
+    before = held()
+    assert len(list(common.arrow_map(Taken(), work, "")([pa.RecordBatch.from_pydict({"text": ["a"]})]))) == 1
+    assert held() < before + 100
+
+
+def test_the_plan_of_a_packing_starts_no_python_workers(spark):
+    docs = spark.createDataFrame(pa.table({"doc_id": [1, 2, 3], "text": ["a", "b c", "d"]}))
+    plan = sequence_packing.pack_documents(docs)._jdf.queryExecution().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan and "ExistingRDD" not in plan

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -87,6 +89,27 @@ def pieces(batch: pa.RecordBatch, texts: int | None = None, limit: int = CHUNK_C
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Returns memory that Arrow and the C library have free to the system; the latter where it can (glibc)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, after which what the task has freed goes back to the system: its worker
+    stays beside the JVM while later stages run."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` of ``work`` over slices of bounded size; the text is the last column."""
 
@@ -97,7 +120,7 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def _set_bits(df: DataFrame, column: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import LOWER, UPPER, pieces, table
+from tidewatch.llm.common import LOWER, UPPER, pieces, table, tidy
 from tidewatch.llm.words import SIGNS, Sums, Words
 
 WINDOW, SHINGLE = 13, 3
@@ -187,7 +187,7 @@ def shingle_counts(docs: DataFrame, lookups: dict[int, Lookup]) -> tuple[np.ndar
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(by_size[size].values[some].view(np.int64)), pa.array(n[some])], names=["h", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
     keys, counts = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(keys)
     return keys[order], counts[order]
@@ -224,7 +224,7 @@ def find(docs: DataFrame, items: DataFrame, carried: list[str]) -> DataFrame:
                         found[i] = sorted({*found[i], *w.items_of({k for _, _, k in hits})})
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.string())), part.column(4)], names=["row", "n_words", "spans", "items", "text"])
 
-        df = df.mapInArrow(run, schema)
+        df = df.mapInArrow(tidy(run), schema)
     return df.drop("text")
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import LOWER, MASK_BITS, SPACE_CLASS, UPPER, bits_of, in_bits, keep, let, mask_of, pieces, table
+from tidewatch.llm.common import LOWER, MASK_BITS, SPACE_CLASS, UPPER, bits_of, in_bits, keep, let, mask_of, pieces, table, tidy
 
 #: Lines of fewer words are not compared by edits: one word is too large a part of them.
 MIN_WORDS = 8
@@ -105,7 +105,7 @@ def line_rows(docs: DataFrame, least: int, shortest: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([_longs(h), pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.ListArray.from_arrays(offsets, _longs(keys))], names=["h", "doc_id", "row", "line", "halves"])
 
     some = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
-    return some.mapInArrow(run, "h long, doc_id long, row long, line int, halves array<long>")
+    return some.mapInArrow(tidy(run), "h long, doc_id long, row long, line int, halves array<long>")
 
 
 def word_rows(docs: DataFrame, least: int, met: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def word_rows(docs: DataFrame, least: int, met: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, _longs([w for r in rows for w in r]))], names=["h", "words"])
 
     some = docs.where("doc_id IS NOT NULL").select(F.xxhash64(F.col("doc_id").cast("long")).alias("at"), F.col("text").cast("string").alias("text"))
-    return some.mapInArrow(run, "h long, words array<long>").dropDuplicates(["h"])
+    return some.mapInArrow(tidy(run), "h long, words array<long>").dropDuplicates(["h"])
 
 
 def variant_rows(lines: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def variant_rows(lines: DataFrame) -> DataFrame:
                 rows = pa.array(np.repeat(np.arange(part.num_rows), np.reshape(counts, (-1, 3)).sum(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(kind), *[part.column(k).take(rows) for k in range(3)]], names=["key", "kind", "h", "doc_id", "line"])
 
-    return lines.select("h", "doc_id", "line", "roles", "words").mapInArrow(run, "key long, kind byte, h long, doc_id long, line int")
+    return lines.select("h", "doc_id", "line", "roles", "words").mapInArrow(tidy(run), "key long, kind byte, h long, doc_id long, line int")
 
 
 def near_pairs(keys: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(same, pa.bool_()))], names=["h"])
 
     both = pairs.join(words.select("h", F.col("words").alias("x")), "h").join(words.select(F.col("h").alias("other"), F.col("words").alias("y")), "other")
-    return both.select("h", "x", "y").mapInArrow(run, "h long").distinct()
+    return both.select("h", "x", "y").mapInArrow(tidy(run), "h long").distinct()
 
 
 def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS, shortest: int | None = None) -> DataFrame:

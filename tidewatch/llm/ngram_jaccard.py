@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import LOWER, MASK_BITS, UPPER, keep, mask_of, pieces, table
+from tidewatch.llm.common import LOWER, MASK_BITS, UPPER, keep, mask_of, pieces, table, tidy
 from tidewatch.llm.components import components
 from tidewatch.llm.words import ODD, Words, mix
 
@@ -155,7 +155,7 @@ def _sets(docs: DataFrame, size: int, mask: np.ndarray | None, emit, schema: str
                 if found:
                     yield emit(list(found.items()))
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def key_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -280,7 +280,7 @@ def base_rows(docs: DataFrame, size: int = WORDS) -> DataFrame:
                 ], names=["doc_id", "n_shingles", "d", "sketch"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return out.mapInArrow(run, "doc_id long, n_shingles long, d long, sketch array<long>")
+    return out.mapInArrow(tidy(run), "doc_id long, n_shingles long, d long, sketch array<long>")
 
 
 def find(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -27,7 +27,7 @@ from tidewatch.llm.common import arrow_map, keep, table
 
 CAPACITY, END = 2048, 0
 #: Words whose ids a worker remembers; then it starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 #: Pieces of one length that are ranked in one group, about.
 GROUP_ROWS = 1_000
 #: Largest plan (intervals of about 60 bytes) that is broadcast; a larger one is joined by shuffle.
@@ -242,6 +242,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
+def _local(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """Rows of longs as a local relation: read from Arrow by the JVM, it starts no Python workers."""
+    columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))]
+    return spark.createDataFrame(pa.table(columns, names=names))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (the columns of ``PIECES``) with ``sequence_id`` and ``offset``.
 
@@ -252,13 +258,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     rows = pieces.groupBy("length").count().collect()  # at most ``capacity`` rows
     places = plan({r["length"]: r["count"] for r in rows}, capacity)
-    groups = spark.createDataFrame([(r["length"], 1 + r["count"] // GROUP_ROWS) for r in rows], "length long, groups long")
+    groups = _local(spark, ["length", "groups"], [(r["length"], 1 + r["count"] // GROUP_ROWS) for r in rows])
     salted = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("groups"))).drop("groups")
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     starts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     place_in = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
     ranked = salted.withColumn("place_in", place_in).join(starts, ["length", "salt"]).withColumn("rank", F.col("first") + F.col("place_in"))
-    found = spark.createDataFrame(pa.table([pa.array([p[k] for p in places], pa.int64()) for k in range(6)], names=["length", "lo", "hi", "seq", "at", "times"])) if places else spark.createDataFrame([], "length long, lo long, hi long, seq long, at long, times long")
+    found = _local(spark, ["length", "lo", "hi", "seq", "at", "times"], places)
     if len(places) <= PLAN_ROWS:
         found = F.broadcast(found)
     hit = ranked.join(found, [ranked["length"] == found["length"], F.col("rank") >= F.col("lo"), F.col("rank") < F.col("hi")])
