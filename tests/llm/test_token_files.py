@@ -59,6 +59,35 @@ def test_runs_have_the_tokenizers_ids(tokenizer):
             assert np.frombuffer(got, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+class Counted:
+    """A tokenizer that keeps what it is asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.asked += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_stay_known_while_they_are_used(monkeypatch, tokenizer):
+    ids = tf.Ids(str(public_tokenizers.path("byte_bpe_50k.json")))
+    ids.tokenizer = asked = Counted(ids.tokenizer)
+    monkeypatch.setattr(tf, "CACHE_RUNS", 8)
+    for i in range(20):
+        text = f"so word, {chr(97 + i)}q\nword {chr(97 + i)}z"
+        assert np.frombuffer(ids.of_all([text])[0], "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert "".join(asked.asked).count(" word,") == 1 and len(ids.cache) + len(ids.before) <= 16
+
+
+def test_texts_with_other_white_space_are_cut_by_runs(tokenizer):
+    ids = tf.Ids(str(public_tokenizers.path("byte_bpe_50k.json")))
+    for text in ["a b", "\na b", "a b\nc", "a\tb c", "a  b", "a \nb", "a\n b", "a\n\nb c", "a\r\nb", " a b", "a b ", "a\t b", "a \tb", "\x85 a", "a \x85", "a\u3000 b", "a \x1cb", " ", "\n", ""]:
+        assert np.frombuffer(ids.of_all([text])[0], "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert bool(ids.runs) == (text not in ("a b", "a b\nc", "a\tb c", "")), text
+        ids.runs.clear()
+
+
 def rows():
     rng = random.Random(2)
     out = [(i, " ".join(rng.choice(["alpha", "beta.", "Γ", "12", "\n"]) for _ in range(rng.randint(0, 50)))) for i in [rng.randint(-(2**62), 2**62) for _ in range(150)]]

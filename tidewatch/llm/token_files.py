@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import itertools
 import json
 import os
 import re
@@ -42,8 +43,8 @@ BINS, SUB_BITS = 8192, 6
 FILE_IDS, FILE_DOCS = 1 << 28, 1 << 22
 #: Bytes of ids, and documents, that a reader has in memory at a time, but for longer single documents.
 READ_BYTES, READ_DOCS = 1 << 22, 8192
-#: Runs whose ids a worker remembers; then it starts anew.
-CACHE_RUNS = 800_000
+#: Pieces whose ids a worker remembers at most: half of them since the last turn, and half from before it.
+CACHE_RUNS = 1_200_000
 MANIFEST, MAGIC = "manifest.json", b"TOKEF001"
 _FOOT = struct.Struct("<IIIIQQ8s")  # bytes of an id, documents, of these without doc_id, bytes of the ends' code, of the doc_ids' code, ids, magic
 
@@ -54,11 +55,24 @@ _RUNS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 MARK, TOGETHER = " \x01", 64
 
 
+def _run(piece: str) -> str:
+    """What a piece stands for: itself after a line end, the start of a text (after a space), or else with a space before."""
+    return piece[1:] if piece[0] == " " else piece if piece[0] == "\n" else f" {piece}"
+
+
+def _sound(piece: str) -> bool:
+    """Whether a piece has no white space at its ends, so that its text may be cut there."""
+    body = piece[1:] if piece[:1] in (" ", "\n") else piece
+    return body != "" and body == body.strip()
+
+
 class Ids:
     """Token ids of texts, the same as the tokenizer gives for whole texts.
 
     White space begins a new token wherever it follows other characters, so a text's ids are those
-    of its runs (white space, then other characters) one after the other; a worker remembers them."""
+    of its runs (white space, then other characters) one after the other. Where each white space that
+    is cut at is one space or line end between others, the runs are the text's pieces at spaces, which a
+    worker remembers; other texts are cut by ``_RUNS``."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -67,29 +81,56 @@ class Ids:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         alone = self.tokenizer.encode(MARK[1:], add_special_tokens=False).tokens
         self.together = len(self.mark) == 2 and len(alone) == 1 and sum(alone[0] in t for t in self.tokenizer.get_vocab()) == 1
 
     def of_all(self, texts: list[str]) -> list[bytes]:
+        if len(self.cache) > CACHE_RUNS // 2:
+            self.before, self.cache = self.cache, {}
         cache = self.cache
-        if len(cache) > CACHE_RUNS:
-            cache.clear()
-        runs = [_RUNS.findall(t) for t in texts]
-        new = list({r for rs in runs for r in rs if r not in cache})
-        spaced = [r for r in new if self.together and r[0] in " \n" and not r.isspace() and MARK[1:] not in r]
-        for at in range(0, len(spaced), 64 * TOGETHER):
-            part = spaced[at : at + 64 * TOGETHER]
-            lines = ["".join([r + MARK for r in part[i : i + TOGETHER]]) for i in range(0, len(part), TOGETHER)]
+        cut = [t.replace("\n", " \n").split(" ") for t in texts]
+        for pieces in cut:
+            pieces[0] = f" {pieces[0]}"
+        ids = [list(map(cache.get, pieces)) for pieces in cut]
+        gaps = [[k for k, x in enumerate(known) if x is None] for known in ids]
+        new = {pieces[k] for pieces, ks in zip(cut, gaps, strict=True) for k in ks}
+        cache.update((p, x) for p in new if (x := self.before.get(p)) is not None)
+        learned = [p for p in new if p not in cache and (p == p.strip() != "" or _sound(p))]
+        self.learn(learned, [_run(p) for p in learned], cache)
+        out = []
+        for text, pieces, known, ks in zip(texts, cut, ids, gaps, strict=True):
+            for k in ks:
+                known[k] = cache.get(pieces[k])
+            out.append(self.by_runs(text) if any(known[k] is None for k in ks) else b"".join(known))
+        return out
+
+    def by_runs(self, text: str) -> bytes:
+        runs = _RUNS.findall(text)
+        if len(self.runs) > CACHE_RUNS // 4:
+            self.runs.clear()
+        new = [r for r in dict.fromkeys(runs) if r not in self.runs]
+        self.learn(new, new, self.runs)
+        return b"".join([self.runs[r] for r in runs])
+
+    def learn(self, keys: list[str], runs: list[str], cache: dict[str, bytes]) -> None:
+        """The ids of each run go into ``cache`` under its key."""
+        alone = [not self.together or r[0] not in " \n" or MARK[1:] in r or r.isspace() for r in runs]
+        if any(alone):
+            rest = list(itertools.compress(keys, alone)), list(itertools.compress(runs, alone))
+            keys, runs = ([x for x, y in zip(some, alone, strict=True) if not y] for some in (keys, runs))
+            for at in range(0, len(rest[0]), 4096):
+                found = self.tokenizer.encode_batch_fast(rest[1][at : at + 4096], add_special_tokens=False)
+                cache.update(zip(rest[0][at : at + 4096], [np.array(e.ids, self.kind).tobytes() for e in found], strict=True))
+        for at in range(0, len(runs), 64 * TOGETHER):
+            part = runs[at : at + 64 * TOGETHER]
+            lines = [MARK.join([*part[i : i + TOGETHER], ""]) for i in range(0, len(part), TOGETHER)]
             ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], self.kind)
             ends = self.width * (np.flatnonzero(ids == self.mark[1]) - 1)
-            data = ids.tobytes()
-            cache.update((r, data[a:b]) for r, a, b in zip(part, [0, *(ends + 2 * self.width).tolist()], ends.tolist()))  # noqa: B905
-        rest = [r for r in new if r not in cache]
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            cache.update((r, np.array(e.ids, self.kind).tobytes()) for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        return [b"".join([cache[r] for r in rs]) for rs in runs]
+            data, starts = ids.tobytes(), [0, *(ends + 2 * self.width).tolist()]
+            cache.update(zip(keys[at : at + 64 * TOGETHER], [data[a:b] for a, b in zip(starts, ends.tolist())], strict=True))  # noqa: B905
 
 
 @functools.cache
