@@ -302,6 +302,66 @@ def test_packing(spark, docs, rows):
         assert -(-total // capacity) <= len(bins) <= 1.25 * total / capacity + 1
 
 
+ODD_TEXTS = [
+    "it's IT'S l're ''s 's's x'Ve 'llama don't've '' '", "a1b22 x_y-z -- é1É ÀÖ Þ ÿ Ÿ ß ẞ İ ſ 'ſ ǅ ﬁ", "J\u030c e\u0301 \u0301a x \u0301 ½ ² ª µ × ÷x",
+    "<|endoftext|> x<|startoftext|>y <|ENDOFTEXT|> <|EndOfText|>s <| |> </w> w</w>", "a\x0bb\x0cc\x1cd\x85e\xa0f\u3000g\u2028h \x00 \x01 a\x01b",
+    "‘x’s “y” – — … € ‰ \u2009z \u200b \ufeff", "日本語 Привет ΣΑΣ 가 😀😀 naïve", "'", "s", "\u0301", " \t\n", "", None, "É" * 3000, "x" * 3000, "1" * 3000,
+]
+
+
+def test_packing_has_the_ids_of_odd_texts(spark):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = sequence_packing.pack_documents(frame(spark, list(enumerate(ODD_TEXTS))), capacity=1 << 20).collect()
+    want = [np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in ODD_TEXTS]
+    assert sorted((r.doc_id, r.length, r.ids_crc32) for r in got) == [(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(want)]
+
+
+def test_packing_encodes_a_part_of_words_once(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    import tokenizers
+
+    encoded = []
+
+    class Counted:
+        """A tokenizer whose lines are seen."""
+
+        def __init__(self, of):
+            self.__dict__["real"] = of if isinstance(of, Real) else Real(of)
+
+        from_file = staticmethod(lambda path: Counted(Real.from_file(path)))
+        __getattr__ = lambda self, name: getattr(self.real, name)
+        __setattr__ = lambda self, name, value: setattr(self.real, name, value)
+
+        def encode_batch_fast(self, lines, **kw):
+            encoded.extend(x for t in lines for x in t.split() if x != "\x01")
+            return self.real.encode_batch_fast(lines, **kw)
+
+    Real = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    ids = sequence_packing.Ids(str(public_tokenizers.path("word_bpe_49k.json")))
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdé") for _ in range(8)) for _ in range(500)]
+    some = [rng.choice("\"(-").join(["", w]) + rng.choice([",", ".", "", ")"]) for w in words for _ in range(6)]
+    texts = [" ".join(some), " ".join(words).upper(), None]
+    make = lambda: ids.of_all(pa.array(texts))
+    got, tok = [x.tolist() for x in make()], Real.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(encoded) == len({*encoded}) <= len({*words}) + 20
+    #: What the last slice has is known when the others are forgotten.
+    monkeypatch.setattr(sequence_packing, "CACHE_PARTS", 100)
+    n = len(encoded)
+    assert [x.tolist() for x in make()] == got and [x.tolist() for x in make()] == got and len(encoded) == n
+    ids.of_all(pa.array(["new"]))
+    assert len(ids.keys) == 1 and [x.tolist() for x in make()] == got
+
+
 def test_packing_is_near_the_bound():
     rng = random.Random(2)
     for _ in range(200):

@@ -110,12 +110,12 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return whole
 
 
-def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = CHUNK_CHARS) -> DataFrame:
     """``mapInArrow`` of ``work`` over slices of bounded size; the text is the last column."""
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit=limit):
                 out = work(part)
                 if out is not None and out.num_rows:
                     yield out
