@@ -7,6 +7,8 @@ all words and for any runs at once. The numbers are fixed, so hashes agree betwe
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import xxhash
 
@@ -18,6 +20,8 @@ INVERSE = pow(ODD, -1, 1 << 64)
 #: ASCII but letters and digits.
 WHITE = SPACES.encode()
 SIGNS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]).translate(None, UPPER.encode())
+#: Bytes of text whose words are hashed at a time (a longer word goes whole): the numbers for each byte take 40 times as much.
+BLOCK = 1 << 16
 _RANDOM = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=11) for b in range(256)], np.uint64)
 _RANDOM[list(UPPER.encode())] = _RANDOM[list(LOWER.encode())]
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -64,7 +68,12 @@ class Words:
         inside[list(cuts)] = 0
         edge = np.diff(inside[raw], prepend=np.int8(0))
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.hashes = Sums(_RANDOM[raw]).of(self.starts, self.ends)
+        self.hashes = np.empty(len(self.starts), np.uint64)
+        blocks = np.searchsorted(self.starts, np.arange(0, len(raw) + BLOCK, BLOCK))
+        for i, j in pairwise(blocks.tolist()):
+            if i < j:  # a word's hash does not depend on where it is
+                at, end = self.starts[i], self.ends[j - 1]
+                self.hashes[i:j] = Sums(_RANDOM[raw[at:end]]).of(self.starts[i:j] - at, self.ends[i:j] - at)
         self.offsets = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
         self.first = np.searchsorted(self.starts, self.offsets)
 
